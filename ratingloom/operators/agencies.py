@@ -14,8 +14,9 @@ from ratingloom.functions.ratings import harmonise, notch_to_rating, rating_notc
 
 def unpivot_agencies(wide: DataFrame, keys: Sequence[str], agencies: Sequence[str] = tuple(V.AGENCY_COLUMNS)) -> DataFrame:
     """One (key, agency, rating, notch) row per given rating on the common scale."""
-    tall = wide.unpivot(list(keys), list(agencies), "agency", "_given")
-    tall = tall.withColumn("rating", harmonise(blank_to_null(F.col("_given"))))
+    cells = F.array(*[F.struct(F.lit(a).alias("agency"), F.col(a).alias("given")) for a in agencies])
+    tall = wide.select(*keys, F.explode(cells).alias("_c"))
+    tall = tall.select(*keys, "_c.agency", harmonise(blank_to_null(F.col("_c.given"))).alias("rating"))
     return tall.where(F.col("rating").isNotNull()).select(*keys, "agency", "rating", rating_notch(F.col("rating")).alias("notch"))
 
 

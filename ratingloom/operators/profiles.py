@@ -100,10 +100,13 @@ def exact_quantiles(
 
     Pass 1 brackets each quantile by approximate ones on both sides, whose rank
     error is known. Pass 2 counts the rows below the bracket and keeps only the
-    distinct values inside it, a share of about 1/accuracy of the rows, on which
-    the two neighbouring ranks are found exactly.
+    distinct values inside it, a share of a few 1/accuracy of the rows, on which
+    the two neighbouring ranks are found exactly. Probabilities lie strictly
+    between 0 and 1.
     """
     slack = 3.0 / accuracy
+    # the bracket must exceed the rank error by the neighbouring ranks; a small group is one bracket
+    whole = F.col("_n") * F.lit(slack) < 4
     points = [p for q in probabilities for p in (max(0.0, q - slack), min(1.0, q + slack))]
     rough = values.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("value").alias("_min"), F.max("value").alias("_max"),
@@ -113,8 +116,8 @@ def exact_quantiles(
         *[
             F.struct(
                 F.lit(float(q)).alias("p"),
-                (F.col("_min") if q <= slack else F.col("_a")[2 * i]).alias("lo"),
-                (F.col("_max") if q >= 1 - slack else F.col("_a")[2 * i + 1]).alias("hi"),
+                F.when(whole, F.col("_min")).otherwise(F.col("_a")[2 * i]).alias("lo"),
+                F.when(whole, F.col("_max")).otherwise(F.col("_a")[2 * i + 1]).alias("hi"),
             )
             for i, q in enumerate(probabilities)
         ]
