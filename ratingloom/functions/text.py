@@ -71,13 +71,29 @@ def normalise_article(item: Column, ticker: Column, fallback: Column) -> Column:
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """Number with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", c.cast("double"))
+    """Number with a fixed count of decimals, rounded from the exact binary value.
+
+    The JVM rounds the shortest decimal that reads back as the number, so
+    0.2345 would become 0.235 although the number is a little below it. Where
+    the scaled number looks like a half, the part lost in scaling (exact, as
+    the number is split into two short halves) decides; a true half goes to the
+    even digit.
+    """
+    x, scale, pattern = c.cast("double"), float(10**digits), f"%.{digits}f"
+    size = F.abs(x)
+    whole = F.floor(size * scale)
+    split = size * 134217729.0  # 2**27 + 1
+    high = split - (split - size)
+    rest = (high * scale - (whole + 0.5)) + (size - high) * scale
+    nearest = F.when(rest < 0, whole).when(rest > 0, whole + 1).otherwise(whole + whole % 2)
+    sign = F.when(x < 0, "-").otherwise("")
+    half = F.concat(sign, F.format_string(pattern, nearest.cast("double") / scale))
+    return F.when(size * scale - whole == 0.5, half).otherwise(F.format_string(pattern, x))
 
 
 def percent(c: Column, digits: int = 0) -> Column:
     """Share as a percentage; halves go to the even digit."""
-    return F.concat(F.format_string(f"%.{digits}f", F.bround(c.cast("double") * 100, digits)), F.lit("%"))
+    return F.concat(fixed(c.cast("double") * 100, digits), F.lit("%"))
 
 
 def numbers_in(text: Column) -> Column:
