@@ -16,6 +16,17 @@ from ratingloom.operators.panel import KEYS
 _c = F.col
 
 
+# Columns of written numbers, made once per row and used in many texts.
+_TEXT = {name: f"_{name}_text" for name in [*V.RATIOS, "score"]}
+_SCORE = "_score"
+
+
+def _with_texts(df: DataFrame) -> DataFrame:
+    scored = df.withColumn(_SCORE, mean_ratio_score(_c("liquid"), _c("cumprof"), _c("profitab")))
+    written = {_TEXT[r]: fixed(_c(r), 4) for r in V.RATIOS} | {_TEXT["score"]: fixed(_c(_SCORE), 4)}
+    return scored.withColumns({**written, "_confidence_text": percent(_c("confidence"))})
+
+
 def _present(items: list[Column]) -> Column:
     return F.array_compact(F.array(*items))
 
@@ -24,7 +35,7 @@ def _ladder(ratio: str, side: str) -> Column:
     """The ladder's text if its step falls on this side, else NULL."""
     out = F.lit(None).cast("string")
     for limit, step_side, text in reversed(V.VERDICT_LADDERS[ratio]):
-        step = fill(text, v=fixed(_c(ratio), 4)) if step_side == side else F.lit(None).cast("string")
+        step = fill(text, v=_c(_TEXT[ratio])) if step_side == side else F.lit(None).cast("string")
         out = step if limit is None else F.when(_c(ratio) > limit, step).otherwise(out)
     return out
 
@@ -47,6 +58,8 @@ def template_verdict(df: DataFrame, method: str = "template") -> DataFrame:
     Needs the four ratios, predicted_category and confidence. Fillers ("none
     found") are decided before news and flags add their own lines.
     """
+    given = df.columns
+    df = _with_texts(df)
     zero = F.lit(0)
     count = _value("news_count", df, zero).cast("int")
     mean = _value("sentiment_mean", df, F.lit(0.0))
@@ -79,17 +92,13 @@ def template_verdict(df: DataFrame, method: str = "template") -> DataFrame:
             risks.alias("key_risks"),
             _analysis(df).alias("prediction_analysis"),
         ),
-    ).withColumn("generation_method", F.lit(method))
-
-
-def _score() -> Column:
-    return mean_ratio_score(_c("liquid"), _c("cumprof"), _c("profitab"))
+    ).select(*given, "verdict", F.lit(method).alias("generation_method"))
 
 
 def _analysis(df: DataFrame) -> Column:
-    score, predicted = _score(), _c("predicted_category")
+    score, predicted = _c(_SCORE), _c("predicted_category")
     investment = predicted.isin(V.INVESTMENT_CATEGORIES)
-    places = {r: fixed(_c(r), 4) for r in V.RATIOS} | {"p": predicted, "avg": fixed(score, 4)}
+    places = {r: _c(_TEXT[r]) for r in V.RATIOS} | {"p": predicted, "avg": _c(_TEXT["score"])}
     text = (
         F.when(investment & (score > V.ANALYSIS_LIMIT), fill(V.ANALYSIS_ALIGNED, **places))
         .when(investment, fill(V.ANALYSIS_MODEST, **places))
@@ -106,7 +115,7 @@ def _analysis(df: DataFrame) -> Column:
 def _overall(df: DataFrame) -> Column:
     profile = F.lit(V.PROFILE_LIMITS[-1][1])
     for limit, word in reversed(V.PROFILE_LIMITS[:-1]):
-        profile = F.when(_score() > limit, word).otherwise(profile)
+        profile = F.when(_c(_SCORE) > limit, word).otherwise(profile)
     predicted = _c("predicted_category")
     return fill(
         V.OVERALL_TEXT,
@@ -116,7 +125,7 @@ def _overall(df: DataFrame) -> Column:
         year=_c("fiscal_year"),
         p=predicted,
         risk=risk_class(predicted),
-        confidence=percent(_c("confidence")),
+        confidence=_c("_confidence_text"),
     )
 
 
@@ -272,19 +281,25 @@ def _share(parts: list[Column]) -> Column:
     return total / F.lit(len(parts))
 
 
+def _with_verdict_text(df: DataFrame, verdict: str) -> DataFrame:
+    """The verdict as lower-case JSON text ("" for none) and the decimals in it."""
+    text = F.coalesce(F.lower(F.to_json(_c(verdict), {"writeNonAsciiCharacterAsCodePoint": "true"})), F.lit(""))
+    return df.withColumn("_text", text).withColumn("_numbers", numbers_in(_c("_text")))
+
+
 def score_verdict(df: DataFrame, verdict: str = "verdict") -> DataFrame:
     """Adds the checks of a verdict against the row's ratios and their mean over eight.
 
     A number counts as right when it is part of any of the four ratios written
     with four decimals. A NULL ratio is written as "nan".
     """
-    v = _c(verdict)
-    text = F.lower(F.to_json(v, {"writeNonAsciiCharacterAsCodePoint": "true"}))
-    written = F.array(*[F.coalesce(fixed(_c(r), 4), F.lit("nan")) for r in V.RATIOS])
-    numbers = numbers_in(text)
+    v, text, numbers, written = _c(verdict), _c("_text"), _c("_numbers"), _c("_written")
+    prepared = _with_verdict_text(df, verdict).withColumn(
+        "_written", F.array(*[F.coalesce(fixed(_c(r), 4), F.lit("nan")) for r in V.RATIOS])
+    )
     right = F.size(F.filter(numbers, lambda n: F.exists(written, lambda w: w.contains(n))))
     cited = sum((text.contains(r).cast("int") for r in V.RATIOS), F.lit(0))
-    out = df.withColumns(
+    out = prepared.withColumns(
         {
             "has_company_name": F.coalesce(v["company"], F.lit("")) != "",
             "has_overall_assessment": _long(v["overall_assessment"]),
@@ -302,16 +317,15 @@ def score_verdict(df: DataFrame, verdict: str = "verdict") -> DataFrame:
         _c("has_overall_assessment"), _c("has_strengths"), _c("has_weaknesses"), _c("has_prediction_analysis"),
         _c("citation_rate") >= 0.5, _c("numbers_accuracy") >= 0.5, _c("mentions_risk"), _c("mentions_strength"),
     ]
-    return out.withColumn("overall_score", _share(parts))
+    return out.withColumn("overall_score", _share(parts)).drop("_text", "_numbers", "_written")
 
 
 def score_reply(df: DataFrame, verdict: str = "verdict") -> DataFrame:
     """The second scoring, for parsed replies: a missing verdict fails every check."""
-    v = _c(verdict)
+    v, text = _c(verdict), _c("_text")
     valid = v.isNotNull()
-    text = F.coalesce(F.lower(F.to_json(v, {"writeNonAsciiCharacterAsCodePoint": "true"})), F.lit(""))
     cited = sum((text.contains(r).cast("int") for r in V.RATIOS), F.lit(0))
-    out = df.withColumns(
+    out = _with_verdict_text(df, verdict).withColumns(
         {
             "json_valid": valid,
             "has_company": F.coalesce(v["company"], F.lit("")) != "",
@@ -321,14 +335,14 @@ def score_reply(df: DataFrame, verdict: str = "verdict") -> DataFrame:
             "has_analysis": _long(v["prediction_analysis"]),
             "ratios_cited": cited,
             "citation_rate": cited / F.lit(len(V.RATIOS)),
-            "numbers_found": F.size(numbers_in(text)),
+            "numbers_found": F.size("_numbers"),
         }
     )
     parts = [
         _c("json_valid"), _c("has_overall"), _c("has_strengths"), _c("has_weaknesses"), _c("has_analysis"),
         _c("citation_rate") >= 0.5, _c("numbers_found") >= 2,
     ]
-    return out.withColumn("overall_score", _share(parts))
+    return out.withColumn("overall_score", _share(parts)).drop("_text", "_numbers")
 
 
 def verdict_summary(scored: DataFrame) -> DataFrame:

@@ -139,10 +139,9 @@ def first_item(spark, sf):
         aliases = V.LINE_ITEM_ALIASES[line]
         for status, i in _ALIAS_STATUS.items():
             name = F.when((kind == code) & (F.col("o_orderstatus") == status), aliases[min(i, len(aliases) - 1)]).otherwise(name)
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long") * (100 - F.round(F.col("l_discount") * 100).cast("long"))
     lines = item.join(orders, item["l_orderkey"] == orders["o_orderkey"]).groupBy(
         R.ticker_of(F.col("o_custkey")).alias("ticker"), F.year("o_orderdate").alias("fiscal_year"), name.alias("item")
-    ).agg((F.sum(cents) / F.lit(10000.0)).alias("value"))
+    ).agg((F.sum(R.line_amount()) / F.lit(10000.0)).alias("value"))
     # at most one entry per alias name and key
     maps = lines.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("item", "value"))).alias("lines"))
     return rounded(maps.select(*KEYS, *[first_line_item(F.col("lines"), n).alias(n) for n in R.LINES]), list(R.LINES), 4)
@@ -182,7 +181,7 @@ SELECT ticker, CAST(year(period_end) AS INTEGER) AS fiscal_year, CAST(period_end
 def fiscal_pick(spark, sf):
     orders = R.table(spark, sf, "orders")
     periods = orders.groupBy(R.ticker_of(F.col("o_custkey")).alias("ticker"), F.last_day("o_orderdate").alias("period_end")).agg(
-        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("amount")
+        F.sum(F.rint(F.col("o_totalprice") * 100).cast("long")).alias("amount")
     )
     picked = P.pick_period(periods, ["ticker"])
     return picked.select(*KEYS, F.col("period_end").cast("string").alias("period_end"), "amount")

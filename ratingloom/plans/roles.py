@@ -70,6 +70,15 @@ def rating_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_amount() -> Column:
+    """Discounted price of a line in whole ten-thousandths.
+
+    `rint` instead of `round`: prices have two decimals, so there are no halves
+    to decide, and it needs no decimal arithmetic.
+    """
+    return F.rint(F.col("l_extendedprice") * 100).cast("long") * (100 - F.rint(F.col("l_discount") * 100).cast("long"))
+
+
 def key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement lines (in ten-thousandths) and flag facts per panel key, in one pass over line items.
 
@@ -77,8 +86,11 @@ def key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     order key, which the join with orders then reuses.
     """
     item, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long") * (100 - F.round(F.col("l_discount") * 100).cast("long"))
-    kind = F.concat("l_returnflag", "l_linestatus")
+    item = item.select(
+        "l_orderkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+        F.concat("l_returnflag", "l_linestatus").alias("kind"), line_amount().alias("cents"),
+    )
+    kind, cents = F.col("kind"), F.col("cents")
     flag = lambda condition: F.max(condition.cast("int"))
     per_order = item.groupBy("l_orderkey").agg(
         *[F.sum(F.when(kind == code, cents)).alias(name) for name, code in LINES.items()],
@@ -163,7 +175,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         ticker_of(F.col("user_id")).alias("ticker"),
         (F.lit(1995) + F.pmod("event_id", F.lit(7))).cast("int").alias("fiscal_year"),
-        ((F.round(F.col("value") * 100).cast("long") - 5000) / F.lit(10000.0)).alias("score"),
+        ((F.rint(F.col("value") * 100).cast("long") - 5000) / F.lit(10000.0)).alias("score"),
         "ts",
         "event_type",
         "props",
