@@ -161,11 +161,13 @@ def whole_sample_forest(trees: int = V.FOREST["trees"], seed: int = V.BOOSTING["
     )
 
 
-def decision_tree(seed: int = V.BOOSTING["seed"]) -> Model:
+def decision_tree(seed: int = V.BOOSTING["seed"], weighted: bool = False) -> Model:
+    """With `weighted` rows count by their `weight` column."""
+    weight = {"weightCol": "weight"} if weighted else {}
     return Model(
         "Decision Tree",
         lambda f, k: DecisionTreeClassifier(
-            labelCol=LABEL, maxDepth=V.SINGLE_TREE["depth"], minInstancesPerNode=V.SINGLE_TREE["min_leaf"], seed=seed
+            labelCol=LABEL, maxDepth=V.SINGLE_TREE["depth"], minInstancesPerNode=V.SINGLE_TREE["min_leaf"], seed=seed, **weight
         ),
     )
 
