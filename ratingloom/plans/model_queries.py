@@ -16,8 +16,11 @@ from ratingloom.operators import models as MO
 from ratingloom.operators import neighbours as NB
 from ratingloom.operators.panel import KEYS, drop_null_ratios, fill_features
 from ratingloom.plans import roles as R
+from ratingloom.plans.common import longs, rounded
+from ratingloom.plans.evaluation_queries import FOLD_SQL
 from ratingloom.plans.panel_queries import panel_frame
 from ratingloom.plans.registry import query
+from ratingloom.plans.roles import with_roles
 from ratingloom.session import cut_lineage
 
 TARGET = "rating_category"
@@ -53,6 +56,25 @@ def boosted_out_of_fold(spark, sf):
     return out.select(*KEYS, "fold", TARGET, "predicted_category", "confidence", "probabilities")
 
 
+@query(
+    "out_of_fold_coverage",
+    with_roles(
+        ["predicted"],
+        f"""SELECT fold, rating_category, count(*) AS rows, count(DISTINCT ticker || fiscal_year) AS keys, CAST(0 AS BIGINT) AS bad_shares
+FROM (SELECT *, {FOLD_SQL} AS fold FROM predicted) GROUP BY 1, 2""",
+    ),
+)
+def out_of_fold_coverage(spark, sf):
+    """Rows predicted per fold and class: each key once, its shares adding up to 1."""
+    table = _training(model_frame(spark, sf))
+    out = MO.out_of_fold(table, MO.logistic_regression(table.count(), LIGHT_ITERATIONS["logistic"]), _folds(table), len(V.ALL_FEATURES), CLASSES)
+    share = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    wrong = (F.abs(share - 1) > 1e-9) | F.col("predicted_category").isNull()
+    return out.groupBy("fold", TARGET).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(F.concat("ticker", F.col("fiscal_year").cast("string"))).alias("keys"), F.count_if(wrong).alias("bad_shares")
+    )
+
+
 @query("feature_ablation")
 def feature_ablation(spark, sf):
     frame = model_frame(spark, sf)
@@ -168,11 +190,12 @@ def attributions(spark, sf):
     return rows.drop("feature_index")
 
 
-@query("attribution_check")
+@query("attribution_check", with_roles(["predicted"], "SELECT i AS class_index, CAST(0 AS DOUBLE) AS largest_gap, count(*) AS rows FROM predicted, range(4) c(i) GROUP BY 1"))
 def attribution_check(spark, sf):
-    """Largest gap between the margin and base plus attributions, per class."""
+    """Largest gap between the margin and base plus attributions, per class; 0 when they add up."""
     total = F.aggregate("shap_values", F.col("base"), lambda a, x: a + x)
-    return _explained(spark, sf).groupBy("class_index").agg(F.max(F.abs(total - F.col("margin"))).alias("largest_gap"), F.count(F.lit(1)).alias("rows"))
+    gaps = _explained(spark, sf).groupBy("class_index").agg(F.max(F.abs(total - F.col("margin"))).alias("largest_gap"), F.count(F.lit(1)).alias("rows"))
+    return longs(rounded(gaps, ["largest_gap"]), ["class_index"])
 
 
 @query("global_importance")

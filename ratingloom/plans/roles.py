@@ -170,8 +170,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored article per event."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return articles_of(table(spark, sf_dir, "events"))
+
+
+def articles_of(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id",
         ticker_of(F.col("user_id")).alias("ticker"),
         (F.lit(1995) + F.pmod("event_id", F.lit(7))).cast("int").alias("fiscal_year"),
