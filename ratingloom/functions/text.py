@@ -88,7 +88,8 @@ def fixed(c: Column, digits: int) -> Column:
     nearest = F.when(rest < 0, whole).when(rest > 0, whole + 1).otherwise(whole + whole % 2)
     sign = F.when(x < 0, "-").otherwise("")
     half = F.concat(sign, F.format_string(pattern, nearest.cast("double") / scale))
-    return F.when(size * scale - whole == 0.5, half).otherwise(F.format_string(pattern, x))
+    near_half = F.abs(size * scale - whole - 0.5) <= size * scale * 1e-15
+    return F.when(near_half, half).otherwise(F.format_string(pattern, x))
 
 
 def percent(c: Column, digits: int = 0) -> Column:
