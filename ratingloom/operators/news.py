@@ -159,26 +159,42 @@ def entity_phrases(entities: DataFrame, extra: Mapping[str, Sequence[str]] = V.E
     return own.unionByName(more.join(entities.select("ticker"), "ticker", "left_semi"))
 
 
-def phrase_hits(articles: DataFrame, phrases: DataFrame, text: str = "text", article_id: str = "article_id") -> DataFrame:
+# Up to this many different phrases are looked up inside each article's row.
+IN_ROW_PHRASES = 2_000
+
+
+def _runs(n: int) -> Column:
+    """All runs of n tokens of `_t`, blanks between; none when the article is shorter."""
+    starts = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.greatest(F.size("_t") - (n - 1), F.lit(1))))
+    run = lambda i: F.array_join(F.slice("_t", i, F.lit(n)), " ")
+    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), run) if n > 1 else F.col("_t")
+
+
+def phrase_hits(
+    articles: DataFrame, phrases: DataFrame, text: str = "text", article_id: str = "article_id", in_row: int = IN_ROW_PHRASES
+) -> DataFrame:
     """(article, ticker, tier) where the article's words contain the phrase's words in a row.
 
-    Every run of words as long as some phrase is looked up by equality, so no
-    article is compared with a phrase it does not contain. The number of
-    different phrase lengths is small: a phrase has at most 120 characters.
+    Runs of as many words as some phrase has are looked up by equality, so no
+    article is compared with a phrase it does not contain. Few phrases are
+    looked up inside the article's row; many are a table joined to the runs.
+    The number of phrase lengths is small: a phrase has at most 120 characters.
     """
     wanted = phrases.withColumn("_words", words(F.col("phrase"))).where(F.size("_words") > 0)
-    lengths = sorted(r[0] for r in wanted.select(F.size("_words")).distinct().collect())
-    wanted = wanted.select("ticker", "tier", F.array_join("_words", " ").alias("_run")).distinct()
+    wanted = wanted.select("ticker", "tier", F.size("_words").alias("_n"), F.array_join("_words", " ").alias("_run")).distinct()
     tokens = articles.select(article_id, words(F.col(text)).alias("_t"))
-
-    def runs(n: int) -> Column:
-        starts = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("_t", i, F.lit(n)), " ")))
-
-    if not lengths:
-        return wanted.limit(0).select(F.lit(None).cast("long").alias(article_id), "ticker", "tier")
-    exploded = tokens.select(article_id, F.explode(F.concat(*[runs(n) for n in lengths])).alias("_run"))
-    return exploded.join(wanted, "_run").select(article_id, "ticker", "tier").distinct()
+    few = wanted.select("_n", "_run").distinct().limit(in_row + 1).collect()
+    if len(few) <= in_row:
+        by_length: dict[int, list[str]] = {}
+        for r in few:
+            by_length.setdefault(r["_n"], []).append(r["_run"])
+        found = [F.array_intersect(_runs(n), F.array(*[F.lit(p) for p in sorted(ps)])) for n, ps in sorted(by_length.items())]
+    else:
+        lengths = sorted(r[0] for r in wanted.select("_n").distinct().collect())
+        found = [F.array_distinct(_runs(n)) for n in lengths]
+    every = F.concat(*found) if found else F.array().cast("array<string>")
+    exploded = tokens.select(article_id, F.explode(every).alias("_run"))
+    return exploded.join(wanted.drop("_n"), "_run").select(article_id, "ticker", "tier").distinct()
 
 
 def match_articles(entities: DataFrame, articles: DataFrame, symbols: DataFrame, phrases: DataFrame) -> DataFrame:

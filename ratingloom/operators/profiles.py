@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratingloom import fixed_values as V
+from ratingloom.session import cut_lineage
 
 
 def flag_prevalence(df: DataFrame, flags: Sequence[str] = tuple(V.KAM_FIVE)) -> DataFrame:
@@ -147,7 +148,8 @@ def exact_quantiles(
 
 def box_statistics(df: DataFrame, columns: Sequence[str] = tuple(V.RATIOS), group: str = "rating_category") -> DataFrame:
     """Quartiles, whiskers (furthest value within 1.5 quartile ranges) and outliers per group and feature."""
-    values = _exploded_values(df, group, columns)
+    # read three times below: keep the narrow input instead of computing it again
+    values = _exploded_values(cut_lineage(df.select(group, *columns), "box-values"), group, columns)
     keys = [group, "feature"]
     q = exact_quantiles(values, keys, [0.25, 0.5, 0.75])
     wide = q.groupBy(*keys).agg(

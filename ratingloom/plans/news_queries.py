@@ -278,7 +278,7 @@ def ticker_stems(spark, sf):
   CASE WHEN lang = 'en' THEN source ELSE 'fallback ' || source END AS search_term, CAST(1.0 AS DOUBLE) AS sentiment_neu FROM documents""",
 )
 def normalised_articles(spark, sf):
-    docs = R.table(spark, sf, "documents")
+    docs = R.spread_table(spark, sf, "documents")
     symbol = F.when(F.col("lang") == "en", F.col("source"))
     item = F.struct(
         F.concat(F.lit(" "), F.col("source")).alias("title"), F.col("text").alias("description"), F.lit(None).cast("string").alias("snippet"),
@@ -304,7 +304,7 @@ def _hits(words) -> str:
     f"""SELECT doc_id, {r6(f"coalesce(({_hits(_UP)} - {_hits(_DOWN)}) / nullif({_hits(_UP)} + {_hits(_DOWN)}, 0)::DOUBLE, 0)", "score")} FROM documents""",
 )
 def lexicon_score(spark, sf):
-    return rounded(R.table(spark, sf, "documents").select("doc_id", TX.lexicon_score(F.col("text"), _UP, _DOWN).alias("score")), ["score"])
+    return rounded(R.spread_table(spark, sf, "documents").select("doc_id", TX.lexicon_score(F.col("text"), _UP, _DOWN).alias("score")), ["score"])
 
 
 def _load_word_scorer():
@@ -329,7 +329,7 @@ SELECT source, lang, {r6("avg(score)", "sentiment_mean")}, {r6("stddev_pop(score
   {r6("avg(CASE WHEN score < 0 THEN 1.0 ELSE 0.0 END)", "sentiment_neg_pct")}, count(*) AS news_count FROM s GROUP BY 1, 2""",
 )
 def batch_scored_news(spark, sf):
-    docs = R.table(spark, sf, "documents").select("source", "lang", "text")
+    docs = R.spread_table(spark, sf, "documents").select("source", "lang", "text")
     scored = N.score_articles(docs, F.col("text"), _load_word_scorer)
     return rounded(N.aggregate_scores(scored, keys=["source", "lang"]), V.SENTIMENTS)
 
@@ -344,7 +344,7 @@ def _count_sql(words) -> str:
     "SELECT source AS ticker, length(lang) AS fiscal_year, " + ", ".join(i8(f"sum({_count_sql(w)})", n) for n, w in V.EVENT_WORDS.items()) + " FROM documents GROUP BY 1, 2",
 )
 def event_features(spark, sf):
-    docs = R.table(spark, sf, "documents")
+    docs = R.spread_table(spark, sf, "documents")
     text = F.concat("text", F.lit(" "), F.col("source"), F.lit(" growth"))
     rows = docs.select(F.col("source").alias("ticker"), F.length("lang").alias("fiscal_year"), text.alias("text"))
     return longs(N.event_features(rows), ["fiscal_year", *V.EVENT_WORDS])
@@ -369,7 +369,7 @@ def match_tier(spark, sf):
     items = R.table(spark, sf, "benchmark")
     phrase = F.array_join(F.slice(TX.words(F.col("text")), 1, 2), " ")
     entities = items.select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("ticker"), phrase.alias("company_name"))
-    docs = R.table(spark, sf, "documents")
+    docs = R.spread_table(spark, sf, "documents")
     articles = docs.select(F.col("doc_id").alias("article_id"), F.length("lang").alias("fiscal_year"), "text")
     symbols = docs.select(F.col("doc_id").alias("article_id"), F.col("source").alias("symbol"))
     phrases = N.entity_phrases(entities, {"src39": ["the", "of the and"]})

@@ -133,18 +133,22 @@ SELECT ticker, fiscal_year, {", ".join(_first_sql(n) for n in R.LINES)} FROM lin
 )
 def first_item(spark, sf):
     item, orders = R.table(spark, sf, "lineitem"), R.table(spark, sf, "orders")
-    kind = F.concat("l_returnflag", "l_linestatus")
-    name = F.lit(None).cast("string")
+    item = item.select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("kind"), R.line_amount().alias("cents"))
+    per_order = item.groupBy("l_orderkey", "kind").agg(F.sum("cents").alias("cents"))
+    sums = per_order.join(orders, per_order["l_orderkey"] == orders["o_orderkey"]).groupBy(
+        "o_custkey", F.year("o_orderdate").alias("fiscal_year"), "kind", "o_orderstatus"
+    ).agg((F.sum("cents") / F.lit(10000.0)).alias("value"))
+    names = {}
     for line, code in R.LINES.items():
         aliases = V.LINE_ITEM_ALIASES[line]
         for status, i in _ALIAS_STATUS.items():
-            name = F.when((kind == code) & (F.col("o_orderstatus") == status), aliases[min(i, len(aliases) - 1)]).otherwise(name)
-    lines = item.join(orders, item["l_orderkey"] == orders["o_orderkey"]).groupBy(
-        R.ticker_of(F.col("o_custkey")).alias("ticker"), F.year("o_orderdate").alias("fiscal_year"), name.alias("item")
-    ).agg((F.sum(R.line_amount()) / F.lit(10000.0)).alias("value"))
+            names[code + status] = aliases[min(i, len(aliases) - 1)]
+    alias = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    lines = sums.groupBy("o_custkey", "fiscal_year", alias[F.concat("kind", "o_orderstatus")].alias("item")).agg(F.sum("value").alias("value"))
     # at most one entry per alias name and key
-    maps = lines.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("item", "value"))).alias("lines"))
-    return rounded(maps.select(*KEYS, *[first_line_item(F.col("lines"), n).alias(n) for n in R.LINES]), list(R.LINES), 4)
+    maps = lines.groupBy("o_custkey", "fiscal_year").agg(F.map_from_entries(F.collect_list(F.struct("item", "value"))).alias("lines"))
+    named = [first_line_item(F.col("lines"), n).alias(n) for n in R.LINES]
+    return rounded(maps.select(R.ticker_of(F.col("o_custkey")).alias("ticker"), "fiscal_year", *named), list(R.LINES), 4)
 
 
 @query(

@@ -24,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are worth spreading before heavy work on each.
+
+    A table in fewer files than there are cores is dealt out evenly; one in
+    many files is read as it is, so a large table is never shuffled for this.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def ticker_of(c: Column) -> Column:
     return F.concat(c.cast("string"), F.lit(".SR"))
 
@@ -104,12 +115,13 @@ def key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     joined = orders.join(per_order, orders["o_orderkey"] == per_order["l_orderkey"])
     maxima = ["big_quantity", "high_tax", "high_discount", "small_quantity", "returned", "open_line"]
-    return joined.groupBy(ticker_of(F.col("o_custkey")).alias("ticker"), F.year("o_orderdate").alias("fiscal_year")).agg(
+    by_key = joined.groupBy("o_custkey", F.year("o_orderdate").alias("fiscal_year")).agg(
         *[F.sum(n).alias(n) for n in LINES],
         *[F.max(n).alias(n) for n in maxima],
         F.sum("line_count").alias("line_count"),
         F.count(F.lit(1)).alias("order_count"),
     )
+    return by_key.select(ticker_of(F.col("o_custkey")).alias("ticker"), *by_key.columns[1:])
 
 
 def total_of_lines() -> Column:

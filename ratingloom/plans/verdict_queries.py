@@ -243,7 +243,7 @@ g AS (SELECT {by}, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS gram FROM (SELE
     + f" SELECT lang, count(DISTINCT gram) AS unique_trigrams, count(*) AS total_trigrams, {r6('count(DISTINCT gram) / count(*)::DOUBLE', 'diversity_ratio')} FROM g GROUP BY 1",
 )
 def trigram_diversity(spark, sf):
-    return rounded(VD.trigram_diversity(R.table(spark, sf, "documents"), F.col("text"), ["lang"]), ["diversity_ratio"])
+    return rounded(VD.trigram_diversity(R.spread_table(spark, sf, "documents"), F.col("text"), ["lang"]), ["diversity_ratio"])
 
 
 @query(
@@ -331,9 +331,7 @@ def service_prompt(spark, sf):
 
 def _sft_rows(spark, sf) -> DataFrame:
     made = VD.template_verdict(predicted_panel(spark, sf))
-    verdicts = made.select(*KEYS, "verdict")
-    features = predicted_panel(spark, sf).withColumn("predicted_rating", F.col("predicted_category"))
-    return VD.instruction_set(VD.pair_with_verdicts(features, verdicts))
+    return VD.instruction_set(made.withColumn("predicted_rating", F.col("predicted_category")))
 
 
 _GRADE = "CASE WHEN predicted_category = 'BB' THEN 'Speculative Grade' ELSE 'Investment Grade' END"
@@ -364,6 +362,18 @@ def sft_set(spark, sf):
     return _sft_rows(spark, sf)
 
 
+@query(
+    "paired_verdicts",
+    with_roles(["predicted"], f"WITH {_VERDICT} SELECT ticker, fiscal_year, {_SFT_INPUT} AS input, overall_assessment FROM v WHERE rating_agency <> 'SP'"),
+)
+def paired_verdicts(spark, sf):
+    """Feature rows with the verdicts of the same keys, from two tables."""
+    features = predicted_panel(spark, sf).withColumn("predicted_rating", F.col("predicted_category"))
+    verdicts = VD.template_verdict(predicted_panel(spark, sf).where("rating_agency <> 'SP'"))
+    paired = VD.pair_with_verdicts(features, verdicts)
+    return paired.select(*KEYS, VD.instruction_input(paired).alias("input"), F.col("verdict.overall_assessment").alias("overall_assessment"))
+
+
 @query(
     "sft_patched",
     with_roles(

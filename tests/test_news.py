@@ -93,11 +93,13 @@ def test_urls(spark):
 def test_matching_tiers(spark):
     entities = spark.createDataFrame([("a", "Alpha Oil (Holding)"), ("b", "Beta")], "ticker string, company_name string")
     articles = spark.createDataFrame(
-        [(1, 2023, "About alpha, OIL today"), (2, 2023, "alpha gas oil"), (3, 2023, "betamax"), (4, 2023, "see Beta!"), (5, 2024, "Bravo news"), (6, 2023, "Bravo")],
+        [(1, 2023, "About alpha, OIL today: alpha oil"), (2, 2023, "alpha gas oil"), (3, 2023, "betamax"), (4, 2023, "see Beta!"), (5, 2024, "Bravo news"), (6, 2023, "Bravo")],
         "article_id long, fiscal_year int, text string",
     )
     symbols = spark.createDataFrame([(2, "a")], "article_id long, symbol string")
     phrases = N.entity_phrases(entities, {"b": ["Bravo"]})
+    hits = [rows(N.phrase_hits(articles, phrases, in_row=n)) for n in (0, 2000)]
+    assert hits[0] == hits[1] == [(1, "a", 3), (4, "b", 3), (5, "b", 4), (6, "b", 4)]
     got = N.match_articles(entities, articles, symbols, phrases).select("ticker", "fiscal_year", "article_id", "tier")
     # a symbol hit hides the phrase hit of the same year; an extra phrase counts only where the name fails
     assert rows(got) == [("a", 2023, 2, 0), ("b", 2023, 4, 3), ("b", 2024, 5, 4)]
