@@ -303,6 +303,7 @@ MAX_FOLDS = 5
 CONFIDENCE_BINS = 12
 SHOWN_SAMPLES = 8
 REPORTED_FACTORS = 25
+TOP_FEATURES = 3
 DEPENDENCE_PAIRS = [("leverage", "profitab"), ("liquid", "cumprof"), ("news_count", "sentiment_mean")]
 
 # Words counted per article for the three specified event features; the

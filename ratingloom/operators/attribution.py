@@ -160,6 +160,11 @@ def top_factors(explained: DataFrame, keep: Sequence[str], classes: Sequence[str
     )
 
 
+def reported_factors(factors: DataFrame, order: Sequence[str], rows: int = V.REPORTED_FACTORS) -> DataFrame:
+    """The first rows of the factor table, as the printed report shows them."""
+    return factors.orderBy(*order).limit(rows)
+
+
 def dependence(
     explained: DataFrame, keep: Sequence[str], class_index: int, features: Sequence[str], pairs=tuple(V.DEPENDENCE_PAIRS)
 ) -> DataFrame:

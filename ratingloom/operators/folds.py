@@ -17,7 +17,11 @@ def key_hash(keys: Sequence[str], seed: int) -> Column:
 
 
 def fold_count(df: DataFrame, label: str, at_most: int = V.MAX_FOLDS, at_least: int = 2) -> int:
-    """min(at_most, smallest class), not below `at_least`. One small aggregate runs."""
+    """min(at_most, smallest class), not below `at_least`. One small aggregate runs.
+
+    With `at_least=0` a result under 2 says that there is nothing to
+    cross-validate, which one of the published scripts reports as a score of 0.
+    """
     smallest = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
     return max(min(at_most, int(smallest)), at_least)
 

@@ -237,7 +237,8 @@ def training_table(
 ) -> DataFrame:
     """Vectors, labels, folds and carried columns as a table, read by every fit."""
     columns = [*dict.fromkeys([*carry, target]), LABEL, "features"]
-    made = assemble(df, features, target, classes).select(*columns, *[c for c in ("fold",) if c not in columns])
+    made = assemble(df, features, target, classes)
+    made = made.select(*columns, *[c for c in ("fold",) if c in df.columns and c not in columns])
     return cut_lineage(made, "training")
 
 
@@ -301,6 +302,20 @@ def feature_importance(fitted: Fitted, features: Sequence[str], like: DataFrame)
     return rank_by(made, "importance", "feature")
 
 
+def top_features(
+    df: DataFrame, blocks: Mapping[str, Sequence[str]], target: str, classes: Sequence[str], model: Model | None = None, n: int = V.TOP_FEATURES
+) -> DataFrame:
+    """The n most important features of each block's model, fitted on all rows."""
+    model = model or boosted_trees()
+    out = None
+    for name, features in blocks.items():
+        table = training_table(df, features, target, classes, ())
+        ranked = feature_importance(model.fit(table, len(features), classes), features, table)
+        part = ranked.where(F.col("rank") <= n).withColumn("block", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def train_accuracy(fitted: Fitted, table: DataFrame, target: str) -> DataFrame:
     """Share of training rows the model gets right."""
     return fitted.predict(table).agg(F.avg((F.col(target) == F.col(PREDICTED)).cast("double")).alias("train_accuracy"))

@@ -81,6 +81,11 @@ def feature_ablation(spark, sf):
     return MO.ablation(frame, V.FEATURE_BLOCKS, TARGET, CLASSES, _folds(frame), MO.boosted_trees(LIGHT_ROUNDS))
 
 
+@query("ablation_top_features")
+def ablation_top_features(spark, sf):
+    return MO.top_features(model_frame(spark, sf), V.FEATURE_BLOCKS, TARGET, CLASSES, MO.boosted_trees(LIGHT_ROUNDS))
+
+
 @query("three_model_ablation")
 def three_model_ablation(spark, sf):
     frame = model_frame(spark, sf)

@@ -17,6 +17,7 @@ from ratingloom.operators import profiles as PR
 def test_fold_count(spark, smallest, expected):
     df = spark.createDataFrame([("a",)] * smallest + [("b",)] * 9, "label string")
     assert FO.fold_count(df, "label") == expected
+    assert FO.fold_count(df, "label", at_least=0) == min(5, smallest)
 
 
 def test_stratified_folds_are_even_and_stable(spark):
@@ -170,10 +171,19 @@ def test_attributions_add_up(training):
     long = AT.long_form(explained, ["id"], ["a", "b", "c"], ["x0", "x1", "x2"])
     ranked = [r["feature"] for r in AT.global_importance(long).orderBy("rank").collect()]
     assert ranked[-1] == "x2"
-    assert AT.top_factors(explained, ["id"], ["a", "b", "c"], ["x0", "x1", "x2"]).count() == 240
+    factors = AT.top_factors(explained, ["id"], ["a", "b", "c"], ["x0", "x1", "x2"])
+    assert factors.count() == 240
+    assert [r["id"] for r in AT.reported_factors(factors, ["id"]).collect()] == list(range(25))
     assert AT.dependence(explained, ["id"], 0, ["x0", "x1", "x2"], [("x0", "x1")]).count() == 240
 
 
+def test_top_features_per_block(spark):
+    df = spark.range(200).select("id", *[F.rand(i).alias(f"x{i}") for i in range(4)]).withColumn("name", F.when(F.col("x1") > 0.5, "a").otherwise("b"))
+    got = MO.top_features(df, {"all": ["x0", "x1", "x2", "x3"], "pair": ["x0", "x2"]}, "name", ["a", "b"], MO.decision_tree()).collect()
+    assert sorted((r["block"], r["rank"]) for r in got) == [("all", 1), ("all", 2), ("all", 3), ("pair", 1), ("pair", 2)]
+    assert [r["feature"] for r in got if r["block"] == "all" and r["rank"] == 1] == ["x1"]
+
+
 @pytest.mark.parametrize("model", [MO.boosted_trees(5), MO.decision_tree(), MO.logistic_regression(160, 50), MO.linear_svc(160, 30), MO.naive_bayes()], ids=lambda m: m.name)
 def test_out_of_fold_predictions(training, model):
     got = MO.out_of_fold(training, model, [0, 1, 2], 3, ["a", "b", "c"])
