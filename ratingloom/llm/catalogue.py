@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from ratingloom.llm import byte_bpe, ngram_join, secret_ledger, token_files  # noqa: F401
+from ratingloom.llm import byte_bpe, ngram_join, secret_ledger, template_decontamination, token_files  # noqa: F401
 from ratingloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

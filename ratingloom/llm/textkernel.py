@@ -124,28 +124,39 @@ class Words:
     hash: np.ndarray
 
 
-def words(s: Slice, members: np.ndarray = WORD_BYTES, values: np.ndarray = _LOWERED_VALUES) -> Words:
-    """Maximal runs of the member bytes within each text; A-Z hash as a-z."""
-    data, n = s.data, len(s.data)
-    if n == 0:
-        none = np.zeros(0, np.int64)
-        return Words(none, none, none, np.zeros(0, np.uint64))
-    inside = members[data]
+def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the maximal runs of set flags that lie within one text each."""
+    n = len(inside)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:]
-    cuts = s.bounds[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < n)]  # a word never runs on into the next text
+    cuts = bounds[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < n)]  # a run never goes on into the next text
     begins[cuts] |= inside[cuts]
     ends[cuts - 1] |= inside[cuts - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _LOWERED_VALUES) -> np.ndarray:
+    """A hash of the bytes of each span; A-Z hash as a-z."""
+    n = len(data)
     up, down = powers(n + 1)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(values[data] * up[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(start, end, np.searchsorted(s.bounds, start, side="right") - 1, h)
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def text_of(s: Slice, start: np.ndarray) -> np.ndarray:
+    """The number of the text each position lies in."""
+    return np.searchsorted(s.bounds, start, side="right") - 1
+
+
+def words(s: Slice, members: np.ndarray = WORD_BYTES, values: np.ndarray = _LOWERED_VALUES) -> Words:
+    """Maximal runs of the member bytes within each text; A-Z hash as a-z."""
+    start, end = runs(members[s.data], s.bounds)
+    return Words(start, end, text_of(s, start), span_hashes(s.data, start, end, values))
 
 
 _ODD = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
