@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -40,44 +41,69 @@ FILE_OPTIONS = {
     "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
     "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "parquet.writer.version": "v2", "compression": "zstd",
 }
-#: Words an encoder remembers, and the longest of them.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 48
+#: Pieces an encoder remembers, and the longest of them.
+REMEMBERED, REMEMBERED_LENGTH = 600_000, 48
 _RUNS = re.compile(r"[^ \t\n\r]+")
+#: Python takes these for white space, the tokenizer doesn't.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Texts that are lower-cased letter by letter and need no normalising: ASCII and Latin letters (but not U+0130).
+_PLAIN = re.compile("[\x09-\x0d\x20-\x7e\u00c0-\u012f\u0131-\u017f]*")
+#: On these, what the tokenizer's own pattern matches.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
-class WordEncoder:
-    """Ids of a text, put together from the ids of its runs without white space.
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte: itself if it is printable, else the next from U+0100 on."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(0x100 + rest.index(b)) for b in range(256)]
+
 
-    The tokenizer drops white space and neither its normaliser nor its pattern
-    looks across it, so each run is encoded once and remembered. The memory is
-    emptied when it is full; it never changes a result.
+class WordEncoder:
+    """Ids of a text, put together from the ids of its pieces.
+
+    The tokenizer's pattern cuts a text into pieces that are merged each for
+    itself. A text of ASCII and Latin letters is cut by the same pattern here, and
+    only its distinct pieces go through the tokenizer's merges. Another text is
+    cut at white space, which the tokenizer drops and neither its normaliser nor
+    its pattern looks across; its plain runs go the same way, the others through
+    the whole tokenizer. What is remembered is emptied when it is full and never
+    changes a result.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merges = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
 
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        found = [t.id for t in self.merges.tokenize(shown)]
+        ids = struct.pack(f"<{len(found)}I", *found)
+        if len(piece) <= REMEMBERED_LENGTH:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[piece] = ids
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        get, piece = self.known.get, self._piece
+        return b"".join([get(p) or piece(p) for p in _PIECES.findall(text.lower())])
+
+    def _run(self, run: str) -> bytes:
+        if _PLAIN.fullmatch(run):
+            return self._plain(run)
+        found = self.tokenizer.encode(run, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        runs = _RUNS.findall(text)
-        known = self.known
-        missing = [r for r in set(runs) if r not in known]
-        long = {}
-        if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(set(runs))
-            for run, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, "<u4").tobytes()
-                if len(run) <= REMEMBERED_LENGTH:
-                    known[run] = ids
-                else:
-                    long[run] = ids
-        if long:
-            return b"".join([known[r] if r in known else long[r] for r in runs])
-        return b"".join([known[r] for r in runs])
+        if _PLAIN.fullmatch(text):
+            return self._plain(text)
+        return b"".join([self._run(r) for r in (_RUNS.findall(text) if _SEPARATORS.search(text) else text.split())])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
