@@ -160,8 +160,8 @@ def posteriors(scored: DataFrame) -> DataFrame:
     prior = total if total is not None else 0.5
     hosts = hosts.withColumn("prior", F.lit(prior))
     k = _strength(hosts, "prior")
-    hosts = hosts.select("host", "prior", ((F.col("s") + k * F.col("prior")) / (F.col("n") + k)).alias("host_posterior"))
-    both = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).select(paths["host"], "path", "n", "s", "prior", "host_posterior")
+    hosts = hosts.select(F.col("host").alias("above"), "prior", ((F.col("s") + k * F.col("prior")) / (F.col("n") + k)).alias("host_posterior"))
+    both = paths.join(hosts, F.col("host").eqNullSafe(F.col("above"))).select("host", "path", "n", "s", "prior", "host_posterior")
     k = _strength(both, "host_posterior")
     return both.select("host", "path", "prior", "host_posterior", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior"))
 

@@ -148,6 +148,19 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def beginnings(data: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: tuple[int, ...], values: np.ndarray = _LOWERED_VALUES) -> Iterator[np.ndarray]:
+    """For each size a hash of the first bytes of every span; a shorter span hashes whole."""
+    n = len(data)
+    up, down = powers(n + 1)
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values[data] * up[:n], out=sums[1:])
+    base, shift = sums[start], down[start]
+    for size in sizes:
+        stop = np.minimum(start + size, end)
+        yield mix((sums[stop] - base) * shift + np.uint64(1000 + size))
+
+
 def text_of(s: Slice, start: np.ndarray) -> np.ndarray:
     """The number of the text each position lies in."""
     return np.searchsorted(s.bounds, start, side="right") - 1

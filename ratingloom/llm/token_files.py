@@ -41,8 +41,8 @@ FILE_OPTIONS = {
     "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
     "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "parquet.writer.version": "v2", "compression": "zstd",
 }
-#: Pieces an encoder remembers, and the longest of them.
-REMEMBERED, REMEMBERED_LENGTH = 600_000, 48
+#: Runs and pieces an encoder remembers, and the longest of them.
+REMEMBERED, REMEMBERED_LENGTH = 800_000, 48
 _RUNS = re.compile(r"[^ \t\n\r]+")
 #: Python takes these for white space, the tokenizer doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -60,15 +60,13 @@ def _byte_letters() -> list[str]:
 
 
 class WordEncoder:
-    """Ids of a text, put together from the ids of its pieces.
-
-    The tokenizer's pattern cuts a text into pieces that are merged each for
-    itself. A text of ASCII and Latin letters is cut by the same pattern here, and
-    only its distinct pieces go through the tokenizer's merges. Another text is
-    cut at white space, which the tokenizer drops and neither its normaliser nor
-    its pattern looks across; its plain runs go the same way, the others through
-    the whole tokenizer. What is remembered is emptied when it is full and never
-    changes a result.
+    """Ids of a text, put together from the ids of its runs without white space.
+
+    The tokenizer drops white space, and neither its normaliser nor its pattern
+    looks across it. Runs of a text of ASCII and Latin letters are lower-cased and
+    cut by the tokenizer's pattern here, and only new pieces go through its
+    merges; the other runs go through the whole tokenizer. What is remembered is
+    emptied when it is full and never changes a result.
     """
 
     def __init__(self, definition: str):
@@ -79,31 +77,38 @@ class WordEncoder:
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        found = [t.id for t in self.merges.tokenize(shown)]
-        ids = struct.pack(f"<{len(found)}I", *found)
-        if len(piece) <= REMEMBERED_LENGTH:
+    def _remember(self, run: str, ids: bytes) -> bytes:
+        if len(run) <= REMEMBERED_LENGTH:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[piece] = ids
+            self.known[run] = ids
         return ids
 
-    def _plain(self, text: str) -> bytes:
-        get, piece = self.known.get, self._piece
-        return b"".join([get(p) or piece(p) for p in _PIECES.findall(text.lower())])
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        found = [t.id for t in self.merges.tokenize(shown)]
+        return self._remember(piece, struct.pack(f"<{len(found)}I", *found))
 
     def _run(self, run: str) -> bytes:
-        if _PLAIN.fullmatch(run):
-            return self._plain(run)
-        found = self.tokenizer.encode(run, add_special_tokens=False).ids
-        return struct.pack(f"<{len(found)}I", *found)
+        """The ids of a lower-cased plain run that is not known."""
+        if run.isalpha():
+            return self._piece(run)
+        get = self.known.get
+        return self._remember(run, b"".join([get(p) or self._piece(p) for p in _PIECES.findall(run)]))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
+        get, run = self.known.get, self._run
         if _PLAIN.fullmatch(text):
-            return self._plain(text)
-        return b"".join([self._run(r) for r in (_RUNS.findall(text) if _SEPARATORS.search(text) else text.split())])
+            return b"".join([get(r) or run(r) for r in text.lower().split()])
+        out = []
+        for r in _RUNS.findall(text) if _SEPARATORS.search(text) else text.split():
+            if _PLAIN.fullmatch(r):
+                out.append(get(r.lower()) or run(r.lower()))
+            else:
+                found = self.tokenizer.encode(r, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(found)}I", *found))
+        return b"".join(out)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

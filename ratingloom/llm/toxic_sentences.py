@@ -5,8 +5,9 @@ document's score is the noisy-or of its sentences, 1 - prod(1 - p). The weights
 are fitted from document labels alone, through the noisy-or, on a bounded sample
 of labelled rows; the sentences that make a document toxic are then located.
 
-Words are runs of letters, lower-cased in A-Z, known by a 64-bit hash. Words that
-fewer than `LEAST_DOCUMENTS` sampled documents have take no part.
+The features of a word (a run of letters, lower-cased in A-Z) are itself and its
+beginnings of 3 to 8 bytes, so inflected and compounded forms share them; each
+is known by a 64-bit hash. The sample keeps those that clearly prefer toxic documents.
 
 Defined results: a text without words (NULL, empty) has no sentence and scores 0;
 repeated rows are scored each; without labels of both kinds every score is the
@@ -15,6 +16,7 @@ share of label 1 (0 without labels); columns beside those named are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,15 +31,19 @@ from ratingloom.llm.sampling import bounded
 
 #: Labelled rows the model is fitted on at most.
 SAMPLE_ROWS = 8_000
+#: Bytes of a word's beginnings that are features of it.
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: A feature is kept if at least so many toxic documents have it, and so many standard deviations more than expected.
+LEAST_DOCUMENTS, LEAST_SURPRISE = 4, 4.0
 #: A weight must save about `LASSO` documents' worth of loss to leave zero.
-LEAST_DOCUMENTS, LASSO, STEPS, RATE = 4, 2.0, 300, 0.3
+LASSO, STEPS, RATE = 1.0, 300, 0.3
 _STOPS = K.classes(b".!?\n")
 _FILTER_BITS = 1 << 20
 
 
 @dataclass
 class Sentences:
-    """Words of a slice by sentence: hash and sentence of each word; of each sentence its text and its words."""
+    """Features of a slice by sentence: hash and sentence of each; of each sentence its text and its span."""
 
     hash: np.ndarray
     sentence: np.ndarray
@@ -56,7 +62,13 @@ def sentences(s: K.Slice) -> Sentences:
     new[1:] = (key[1:] != key[:-1]) | (w.text[1:] != w.text[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:] - 1, len(key) - 1)
-    return Sentences(w.hash, np.cumsum(new) - 1, w.text[first], w.start[first], w.end[last])
+    number = np.cumsum(new) - 1
+    hashes, places = [w.hash], [number]
+    for size, begin in zip(BEGINNINGS, K.beginnings(s.data, w.start, w.end, BEGINNINGS), strict=True):
+        longer = np.flatnonzero(w.end - w.start > size)
+        hashes.append(begin[longer])
+        places.append(number[longer])
+    return Sentences(np.concatenate(hashes), np.concatenate(places), w.text[first], w.start[first], w.end[last])
 
 
 @dataclass
@@ -90,33 +102,79 @@ class Model:
         return -np.expm1(-np.bincount(found.text, weights=np.logaddexp(0, z), minlength=count)), z
 
 
-def fitted(word: np.ndarray, sentence: np.ndarray, text: np.ndarray, label: np.ndarray) -> Model:
+def _members(part: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are among the ordered features, and their numbers."""
+    if len(features) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(features, part), len(features) - 1)
+    found = np.flatnonzero(features[at] == part)
+    return found, at[found]
+
+
+def _documents(found: Sentences) -> np.ndarray:
+    return found.text[found.sentence] if len(found.text) else found.sentence
+
+
+def selected(texts: pa.Array, label: np.ndarray) -> np.ndarray:
+    """Hashes, in order, of the features that clearly prefer toxic documents.
+
+    Copies of one text count once, as all their words would agree by chance.
+    """
+    once = np.zeros(len(label), bool)
+    seen: set[bytes] = set()
+    toxic: list[np.ndarray] = []
+    for s in K.slices(texts):
+        for k in range(s.count):
+            digest = hashlib.blake2b(s.text(k), digest_size=16).digest()
+            once[s.first + k] = digest not in seen
+            seen.add(digest)
+    positive = once & (label > 0.5)
+    for s in K.slices(texts.filter(pa.array(positive))):
+        found = sentences(s)
+        pairs = np.unique(np.stack((_documents(found).astype(np.uint64), found.hash)), axis=1) if len(found.hash) else np.zeros((2, 0), np.uint64)
+        toxic.append(pairs[1])
+    if not toxic:
+        return np.zeros(0, np.uint64)
+    features, plus = np.unique(np.concatenate(toxic), return_counts=True)
+    features, plus = features[plus >= LEAST_DOCUMENTS], plus[plus >= LEAST_DOCUMENTS]
+    minus = np.zeros(len(features), np.int64)
+    for s in K.slices(texts.filter(pa.array(once & (label <= 0.5)))):
+        found = sentences(s)
+        at, number = _members(found.hash, features)
+        pairs = np.unique(_documents(found)[at].astype(np.int64) * max(len(features), 1) + number)
+        minus += np.bincount(pairs % max(len(features), 1), minlength=len(features))
+    rate = positive.sum() / max(once.sum(), 1)
+    total = plus + minus
+    return features[plus - rate * total >= LEAST_SURPRISE * np.sqrt(rate * (1 - rate) * total)]
+
+
+def fitted(texts: pa.Array, label: np.ndarray) -> Model:
     """Sparse weights that maximise the likelihood of the document labels under the noisy-or.
 
-    The absolute penalty leaves words at zero that explain only a few documents,
-    as those of a copied toxic text do. Steps are scaled per weight (Adam), each
+    The absolute penalty leaves features at zero that explain only a few documents
+    or that another one explains better. Steps are scaled per weight (Adam), each
     followed by the shrinkage of its own scale.
-
-    word: hash of each word, sentence: its sentence; text: document of each
-    sentence; label: of each document.
     """
     none = np.zeros(0, np.uint64)
     if len(np.unique(label)) < 2:
         return Model(none, np.zeros(0), 0.0, float(label.mean()) if len(label) else 0.0)
-    names, feature = np.unique(word, return_inverse=True)
-    of = text[sentence]
-    pairs = np.unique(feature.astype(np.int64) * len(label) + of)
-    often = np.bincount(pairs // len(label), minlength=len(names))
-    keep = often >= LEAST_DOCUMENTS
-    number = np.cumsum(keep) - 1
-    chosen = keep[feature]
-    feature, sentence, names = number[feature[chosen]], sentence[chosen], names[keep]
-    w, bias, n = np.zeros(len(names)), float(np.log(label.mean() / max(np.bincount(text).mean(), 1))), len(label)
+    names = selected(texts, label)
+    features, places, texts_of, count = [], [], [], 0
+    for s in K.slices(texts):
+        found = sentences(s)
+        at, number = _members(found.hash, names)
+        features.append(number)
+        places.append(found.sentence[at] + count)
+        texts_of.append(found.text + s.first)
+        count += len(found.text)
+    feature, sentence, text = np.concatenate(features), np.concatenate(places), np.concatenate(texts_of)
+    n = len(label)
+    w, bias = np.zeros(len(names)), float(np.log(label.mean() / max(count / n, 1)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        z = bias + np.bincount(sentence, weights=w[feature], minlength=len(text))
-        total = np.maximum(np.bincount(text, weights=np.logaddexp(0, z), minlength=n), 1e-12)
-        slope = np.where(label > 0.5, -1 / np.expm1(np.minimum(total, 500)), 1.0) / n  # of the loss by the sum of a document
+        z = np.clip(bias + np.bincount(sentence, weights=w[feature], minlength=count), -60, 60)
+        total = np.clip(np.bincount(text, weights=np.logaddexp(0, z), minlength=n), 1e-12, 500)
+        slope = np.where(label > 0.5, -1 / np.expm1(total), 1.0) / n  # of the loss by the sum of a document
         gz = slope[text] / (1 + np.exp(-z))
         g, gb = np.bincount(feature, weights=gz[sentence], minlength=len(w)), float(gz.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -124,39 +182,17 @@ def fitted(word: np.ndarray, sentence: np.ndarray, text: np.ndarray, label: np.n
         rate = RATE * min(1.0, 2.0 * (1 - t / (STEPS + 1)))
         scale = rate / (np.sqrt(v / b) + 1e-2 / n)
         w -= scale * m / a
-        w = np.sign(w) * np.maximum(np.abs(w) - scale * LASSO / n, 0)
+        w = np.maximum(w - scale * LASSO / n, 0)
         bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-9)
     return Model(names[w != 0], w[w != 0], bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model from at most about `rows` labelled rows; word hashes of those rows come to the driver."""
+    """The model from at most about `rows` labelled rows, which come to the driver."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(bounded(known, rows)), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in K.slices(batch.column(1)):
-                found = sentences(s)
-                of = found.text[found.sentence] if len(found.text) else found.text
-                cuts = np.searchsorted(of, np.arange(s.count + 1))
-                words = [found.hash[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                places = [(found.sentence[a:b] - found.sentence[a]).astype("<i4").tobytes() if b > a else b"" for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.first, s.count), pa.array(words, pa.binary()), pa.array(places, pa.binary()), batch.column(2).slice(s.first, s.count)],
-                    names=["doc_id", "words", "places", "label"],
-                )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    table = texts.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, words binary, places binary, label double").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
-    label = np.array(table["label"], np.float64)
-    words = [np.frombuffer(x.as_py(), "<u8") for x in table["words"]]
-    places = [np.frombuffer(x.as_py(), "<i4") for x in table["places"]]
-    counts = np.array([int(p[-1]) + 1 if len(p) else 0 for p in places], np.int64)
-    starts = np.concatenate(([0], np.cumsum(counts)))
-    word = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    sentence = np.concatenate([p + s for p, s in zip(places, starts[:-1], strict=True)]) if places else np.zeros(0, np.int64)
-    return fitted(word, sentence.astype(np.int64), np.repeat(np.arange(len(label)), counts), label)
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(bounded(known, rows)), "doc_id")
+    table = sample.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return fitted(table["text"].combine_chunks(), np.array(table["label"], np.float64))
 
 
 def _offsets(s: K.Slice, text: int, start: int, end: int) -> tuple[int, int]:
