@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from ratingloom.llm import byte_bpe, hierarchical_quality, language_id, mtree_search, ngram_join, secret_ledger, template_decontamination, token_files, toxic_sentences  # noqa: F401
+from ratingloom.llm import byte_bpe, hierarchical_quality, language_id, license_inheritance, mtree_search, ngram_join, secret_ledger, template_decontamination, token_files, toxic_sentences  # noqa: F401
 from ratingloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
