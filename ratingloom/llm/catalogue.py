@@ -1,6 +1,11 @@
-"""All queries of this subpackage."""
+"""All queries of this subpackage, and the pipeline over its operators."""
 
-from ratingloom.llm import byte_bpe, hierarchical_quality, language_id, license_inheritance, mtree_search, ngram_join, secret_ledger, template_decontamination, token_files, toxic_sentences  # noqa: F401
-from ratingloom.llm.registry import ORACLES, QUERIES
+import corpus_pipeline
+from ratingloom.llm import (  # noqa: F401
+    byte_bpe, hierarchical_quality, language_id, license_inheritance, mtree_search, ngram_join, secret_ledger, template_decontamination, token_files, toxic_sentences,
+)
+from ratingloom.llm.registry import ORACLES, QUERIES, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -25,8 +25,9 @@ Every text is used whole. Hashes of n-grams have 64 bits and classes 128.
 
 Defined results: NULL, empty and wordless texts have no n-grams and link with
 nothing; fewer words than `width` are one n-gram; repeated rows are kept, and
-rows with the same id are one document for `component_id`; columns beside the id
-and the text are not read; an empty table gives an empty result.
+rows with the same id are one document for `component_id`; rows without an id
+are counted, but name no group; columns beside the id and the text are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -266,7 +267,8 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     answer = scratch.write(groups.join(smallest, "component").select("cls", "component_id"), "answer")
     scratch.drop("sets", "postings", "placed", "first", "second")
     alone = rows.where("unique IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return alone.union(candidates.join(answer, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+    grouped = candidates.join(answer, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return alone.union(grouped)
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -276,10 +278,14 @@ def _pairs(joined: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose document is the smallest id of its group; a repeated id stays once."""
+    """The rows of `docs` whose document is the smallest id of its group.
+
+    A repeated id stays once; rows without an id all stay.
+    """
     groups = linked(docs, width, percent)
     keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.union(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 @query("op6_ngram_join")

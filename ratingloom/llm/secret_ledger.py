@@ -13,8 +13,8 @@ over the matches of one text.
 
 Defined results: NULL is the empty text; a text without findings has counts of
 zero, no spans, and the digest of the empty string; repeated rows are reported
-each; columns beside the id and the text are not read; an empty table gives an
-empty result.
+each; rows without an id are scanned like others; columns beside the id and the
+text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,6 +61,9 @@ ADDED = (
 )
 RULES = BASE + ADDED
 
+#: Contents with findings up to which they are sent to every task; beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 100_000
+
 
 def address(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
@@ -113,7 +116,8 @@ def scan_unseen(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None, rul
     todo = unseen(paths, ledger, rules)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", address(F.col("text")))
     # the side with the texts streams through the join and is not sorted
-    contents = texts.join(todo.hint("shuffle_hash"), ["doc_id", "blob"])
+    named = todo.select(F.col("doc_id").alias("first_id"), F.col("blob").alias("first_blob"), "versions").hint("shuffle_hash")
+    contents = texts.join(named, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("blob") == F.col("first_blob")))
     spans = scan(contents.select("blob", "text", "versions"), rules)
     return todo.select("blob", "versions").join(spans, "blob", "left")
 
@@ -165,10 +169,10 @@ def redacted(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "secrets")
     paths = scratch.write(paths_of(docs), "paths")
     added = scratch.write(scan_unseen(docs, paths, ledger), "ledger")
-    known = (ledger.unionByName(added) if ledger is not None else added).where("size(spans) > 0")
-    known = known.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("blob_spans"))
-    hit = paths.join(known, "blob").select(F.col("doc_id").alias("hit_id"), F.col("blob").alias("hit_blob"), "blob_spans").distinct()
-    both = docs.withColumn("text_blob", address(F.col("text"))).join(F.broadcast(hit) if _small(hit) else hit, (F.col("doc_id") == F.col("hit_id")) & (F.col("text_blob") == F.col("hit_blob")), "left")
+    known = (ledger.unionByName(added) if ledger is not None else added).where("size(spans) > 0").join(paths.select("blob").distinct(), "blob", "left_semi")
+    hit = known.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("blob_spans")).withColumnRenamed("blob", "hit_blob")
+    hit = scratch.write(hit, "hit")
+    both = docs.withColumn("text_blob", address(F.col("text"))).join(F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit, F.col("text_blob") == F.col("hit_blob"), "left")
     text = F.when(F.col("blob_spans").isNull(), F.col("text")).otherwise(_inside(F.col("blob_spans"), F.col("text")))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
@@ -176,11 +180,6 @@ def redacted(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def _small(hit: DataFrame, rows: int = 100_000) -> bool:
-    """Whether a table of findings has few enough rows to be sent to every task."""
-    return hit.limit(rows + 1).count() <= rows
-
-
 @query("op7_secret_ledger")
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = given(spark, sf_dir, "documents"), Scratch(spark, "op7")

@@ -18,7 +18,8 @@ Windows with fewer than two literal tokens say nothing and do not count. Items
 without a window that counts cannot be recognised and take no part.
 
 Defined results: NULL and short texts hold nothing; repeated rows with one id are
-one document; only pairs (document, item) that hold are returned; columns beside
+one document; rows without an id are not judged (and stay when a corpus is
+cleaned); only pairs (document, item) that hold are returned; columns beside
 the id and the text are not read; empty tables give an empty result.
 """
 
