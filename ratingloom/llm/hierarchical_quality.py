@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from ratingloom.llm import textkernel as K
 from ratingloom.llm.registry import given, query
 from ratingloom.llm.sampling import bounded
-from ratingloom.llm.scratch import Scratch
+from ratingloom.llm.scratch import Scratch, numbered
 
 #: Labelled rows the model is fitted on at most, and bins of each measure.
 SAMPLE_ROWS, BINS = 12_000, 16
@@ -195,10 +195,9 @@ def kept(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col:
     scratch = Scratch(docs.sparkSession, "quality")
     groups = scratch.write(posteriors(scratch.write(with_evidence(plain, model).drop("text"), "scored")), "groups")
     scratch.drop("scored")
-    renamed = docs.withColumns({"host": F.col(host_col), "path": F.col(path_col)}) if not {"host", "path", "evidence"} & set(docs.columns) else None
-    if renamed is None:
-        raise ValueError("columns named host, path or evidence must be renamed before this stage")
-    return judged(with_evidence(renamed, model), groups).where("keep").select(*docs.columns)
+    plain, name = numbered(docs)
+    placed = plain.withColumns({"host": F.col(name[host_col]), "path": F.col(name[path_col])})
+    return judged(with_evidence(placed, model, name["text"]), groups).where("keep").select(*name.values()).toDF(*docs.columns)
 
 
 @query("op9_hierarchical_quality")

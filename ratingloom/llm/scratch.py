@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ratingloom.session import remove_path, scratch_path
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named by position, and the new name of each.
+
+    An operator that carries all columns of its input works on this one, so that
+    no column can clash with its own.
+    """
+    names = [f"column_{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 class Scratch:
     """One folder per run of an operator.
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratingloom.llm.registry import given, query
-from ratingloom.llm.scratch import Scratch
+from ratingloom.llm.scratch import Scratch, numbered
 
 
 @dataclass(frozen=True)
@@ -172,12 +172,15 @@ def redacted(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     known = (ledger.unionByName(added) if ledger is not None else added).where("size(spans) > 0").join(paths.select("blob").distinct(), "blob", "left_semi")
     hit = known.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("blob_spans")).withColumnRenamed("blob", "hit_blob")
     hit = scratch.write(hit, "hit")
-    both = docs.withColumn("text_blob", address(F.col("text"))).join(F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit, F.col("text_blob") == F.col("hit_blob"), "left")
-    text = F.when(F.col("blob_spans").isNull(), F.col("text")).otherwise(_inside(F.col("blob_spans"), F.col("text")))
-    out = both.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("blob_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    plain, name = numbered(docs)
+    before = F.col(name["text"])
+    both = plain.withColumn("text_blob", address(before)).join(F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit, F.col("text_blob") == F.col("hit_blob"), "left")
+    both = both.withColumn("text_after", F.when(F.col("blob_spans").isNull(), before).otherwise(_inside(F.col("blob_spans"), before)))
+    out = both.withColumn(name["text"], F.col("text_after"))
+    if "n_chars" in name:
+        counted = F.length("text_after").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn(name["n_chars"], F.when(F.col("blob_spans").isNull(), F.col(name["n_chars"])).otherwise(counted))
+    return out.select(*name.values()).toDF(*docs.columns)
 
 
 @query("op7_secret_ledger")
