@@ -21,12 +21,12 @@ def article_text(title: Column, description: Column, snippet: Column) -> Column:
     return F.coalesce(blank_to_null(F.concat_ws(" ", blank_to_null(title), body)), F.lit(" "))
 
 
-def search_phrase(company_name: Column) -> Column:
-    """Name without bracketed parts, blanks squeezed, cut to the query length."""
+def search_phrase(company_name: Column, length: int | None = None) -> Column:
+    """Name without bracketed parts, blanks squeezed; cut to `length` where a provider's query string is bounded."""
     plain = F.trim(F.regexp_replace(company_name, r"\([^)]*\)", ""))
     squeezed = F.regexp_replace(plain, r"\s+", " ")
     kept = F.when(squeezed != "", squeezed).otherwise(company_name)
-    return F.substring(kept, 1, V.SEARCH_PHRASE_LENGTH)
+    return F.substring(kept, 1, length) if length else kept
 
 
 def ticker_to_stem(ticker: Column) -> Column:
@@ -46,19 +46,21 @@ def news_file_key(file_name: Column) -> tuple[Column, Column]:
     return ticker, F.when(matches, part(3).try_cast("int"))
 
 
-def normalise_article(item: Column, ticker: Column, fallback: Column) -> Column:
+def normalise_article(item: Column, ticker: Column, fallback: Column, length: int | None = None) -> Column:
     """Provider item (title, description, snippet, published_at, source, url, entities) as an article row.
 
-    The search term is the first entity symbol that is not blank.
+    The search term is the first entity symbol that is not blank. With `length`
+    the description and snippet are cut to so many characters, as published.
     """
     symbols = F.filter(
         F.transform(item["entities"], lambda e: F.trim(e["symbol"])), lambda s: s.isNotNull() & (s != "")
     )
+    field = lambda c: F.substring(text_or_empty(c), 1, length) if length else text_or_empty(c)
     return F.struct(
         ticker.alias("ticker"),
         text_or_empty(item["title"]).alias("title"),
-        F.substring(text_or_empty(item["description"]), 1, V.ARTICLE_FIELD_LENGTH).alias("description"),
-        F.substring(text_or_empty(item["snippet"]), 1, V.ARTICLE_FIELD_LENGTH).alias("snippet"),
+        field(item["description"]).alias("description"),
+        field(item["snippet"]).alias("snippet"),
         item["published_at"].alias("published_at"),
         text_or_empty(item["source"]).alias("source_name"),
         text_or_empty(item["url"]).alias("url"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,62 +26,90 @@ def fold_count(df: DataFrame, label: str, at_most: int = V.MAX_FOLDS, at_least:
     return max(min(at_most, int(smallest)), at_least)
 
 
-def stratified_folds(
-    df: DataFrame, label: str, keys: Sequence[str], folds: int | None = None, seed: int = V.BOOSTING["seed"],
-    hash_digits: int = 3,
-) -> DataFrame:
+#: Rows that a bucket of hash digits holds on average at most.
+BUCKET_ROWS = 20_000
+
+
+def hash_digits(rows: int) -> int:
+    """Leading hex digits of a hash that cut this many rows into buckets of bounded size."""
+    digits = 1
+    while rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], folds: int | None = None, seed: int = V.BOOSTING["seed"]) -> DataFrame:
     """Adds `fold` so that each class is spread evenly over the folds.
 
     Rows of a class are numbered in hash order and dealt out in turn. Numbering
     goes by the first hash digits, so a class with a third of all rows is split
-    into 16**hash_digits even parts; raise `hash_digits` with the table.
+    into even parts; how many digits follows from the counted classes and does
+    not change a fold.
     """
-    k = folds if folds is not None else fold_count(df, label)
+    sizes = df.groupBy(label).count().agg(F.min("count").alias("least"), F.max("count").alias("most")).first()
+    k = folds if folds is not None else max(min(V.MAX_FOLDS, int(sizes["least"] or 0)), 2)
     hashed = df.withColumn("_hash", key_hash(keys, seed))
     ranked = rank_by_buckets(
-        hashed, [F.substring("_hash", 1, hash_digits)], [F.col("_hash"), *[F.col(c) for c in keys]], [label], "_rank"
+        hashed, [F.substring("_hash", 1, hash_digits(sizes["most"] or 0))], [F.col("_hash"), *[F.col(c) for c in keys]], [label], "_rank"
     )
     return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_hash", "_rank")
 
 
-PACKED_GROUPS = 100_000
+def dealt(sizes: Iterable[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """How groups are dealt, largest first, each to the fold with the fewest rows so far.
 
-
-def group_folds(df: DataFrame, group: str, folds: int = V.MAX_FOLDS, packed: int = PACKED_GROUPS) -> DataFrame:
+    sizes: (size of a group, number of such groups), largest size first. Equal
+    loads go by fold number. Gives rows (size, first, end, cycle): of the groups
+    of a size, those numbered from `first` to before `end` go round the folds of
+    `cycle`. The folds in reach of the lightest take turns in a fixed order until
+    the next fold is no heavier, so a size needs few rows however many groups it has.
+    """
+    loads, out = [0] * folds, []
+    for size, count in sizes:
+        done = 0
+        while done < count:
+            order = sorted(range(folds), key=lambda f: (loads[f], f))
+            near = [f for f in order if loads[f] < loads[order[0]] + size] if size else order[:1]
+            turns = (count - done) // len(near)
+            if len(near) < folds:  # whole turns before the next fold is lighter than the last of these
+                (load, other), (last, own) = (loads[order[len(near)]], order[len(near)]), (loads[near[-1]], near[-1])
+                turns = min(turns, (load - last - 1) // size + 1 + (1 if (load - last) % size == 0 and own < other else 0))
+            cycle = near if turns > 0 else near[:1]
+            taken = max(turns, 1) * len(cycle)
+            out.append((size, done, done + taken, cycle))
+            for f in cycle:
+                loads[f] += max(turns, 1) * size
+            done += taken
+    return out
+
+
+def group_folds(df: DataFrame, group: str, folds: int = V.MAX_FOLDS) -> DataFrame:
     """Adds `fold` so that no group is in two folds and the folds are of even size.
 
-    The largest groups (at most `packed`) are put, largest first, into the fold
-    with the fewest rows so far; equal sizes go by group name, equal folds by
-    number. Beyond that many, groups are small against a fold and their hash
-    decides.
+    Groups are put, largest first, into the fold with the fewest rows so far;
+    equal sizes go by group name, equal folds by number. The driver deals by the
+    table of sizes (how many groups have so many rows), which grows with the
+    square root of the rows at most; groups are numbered within their size and
+    look their fold up by that number.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.orderBy(F.desc("_n"), group).limit(packed).collect()
-    k = min(folds, len(largest))
-    loads, assigned = [0] * k, []
-    for row in largest:
-        fold = loads.index(min(loads))
-        loads[fold] += row["_n"]
-        assigned.append((row[group], fold))
-    kind = df.schema[group].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(assigned, f"{group} {kind}, _packed int")
-    # at most `packed` rows of (name, number): a few MB
-    joined = df.join(F.broadcast(table), group, "left")
-    rest = F.pmod(F.xxhash64(group), F.lit(k)).cast("int")
-    return joined.withColumn("fold", F.coalesce(F.col("_packed"), rest)).drop("_packed")
-
-
-LEAVE_ONE_OUT_ROWS = 1_000
+    spark = df.sparkSession
+    groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    table = groups.groupBy("_size").agg(F.count(F.lit(1)).alias("_groups")).orderBy(F.desc("_size")).collect()
+    k = max(min(folds, sum(r["_groups"] for r in table)), 1)
+    rows = dealt([(r["_size"], r["_groups"]) for r in table], k)
+    places = spark.createDataFrame(rows, "_size bigint, _first bigint, _end bigint, _cycle array<int>")
+    numbered = rank_by_buckets(groups, [F.substring(F.col(group).cast("string"), 1, 3)], [F.col(group)], ["_size"], "_rank")
+    inside = (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
+    turn = ((F.col("_rank") - F.col("_first")) % F.size("_cycle")).cast("int")
+    chosen = numbered.join(places, "_size").where(inside).select(group, F.get("_cycle", turn).alias("fold"))
+    return df.join(chosen, group)
 
 
 def leave_one_out_folds(df: DataFrame, keys: Sequence[str], seed: int = V.BOOSTING["seed"]) -> DataFrame:
-    """Each row its own fold; one model per row, so only for small agency tables."""
-    rows = df.count()
-    if rows > LEAVE_ONE_OUT_ROWS:
-        raise ValueError(f"leave-one-out needs one fit per row; {rows} rows are more than {LEAVE_ONE_OUT_ROWS}")
+    """Each row its own fold, numbered in hash order."""
     hashed = df.withColumn("_hash", key_hash(keys, seed))
-    ranked = rank_by_buckets(hashed, [F.substring("_hash", 1, 2)], [F.col("_hash"), *[F.col(c) for c in keys]], (), "fold")
-    return ranked.withColumn("fold", F.col("fold").cast("int")).drop("_hash")
+    digits = hash_digits(df.count())
+    return rank_by_buckets(hashed, [F.substring("_hash", 1, digits)], [F.col("_hash"), *[F.col(c) for c in keys]], (), "fold").drop("_hash")
 
 
 def time_split(df: DataFrame, cut: int, year: str = "fiscal_year") -> DataFrame:
@@ -98,5 +126,5 @@ def even_sample(df: DataFrame, keys: Sequence[str], size: int = V.SHOWN_SAMPLES,
     step = (n - 1) / (count - 1) if count > 1 else 0.0
     positions = [int(i * step) for i in range(count)]
     hashed = df.withColumn("_hash", key_hash(keys, seed))
-    ranked = rank_by_buckets(hashed, [F.substring("_hash", 1, 3)], [F.col("_hash"), *[F.col(c) for c in keys]], (), "position")
+    ranked = rank_by_buckets(hashed, [F.substring("_hash", 1, hash_digits(n))], [F.col("_hash"), *[F.col(c) for c in keys]], (), "position")
     return ranked.where(F.col("position").isin(positions)).drop("_hash")

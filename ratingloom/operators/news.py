@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ratingloom import fixed_values as V
 from ratingloom.functions.cleaning import to_number
 from ratingloom.functions.text import event_counts, search_phrase, words
+from ratingloom.session import cut_lineage
 from ratingloom.operators.panel import KEYS
 from ratingloom.operators.picking import pick_first
 
@@ -159,42 +160,25 @@ def entity_phrases(entities: DataFrame, extra: Mapping[str, Sequence[str]] = V.E
     return own.unionByName(more.join(entities.select("ticker"), "ticker", "left_semi"))
 
 
-# Up to this many different phrases are looked up inside each article's row.
-IN_ROW_PHRASES = 2_000
-
-
-def _runs(n: int) -> Column:
-    """All runs of n tokens of `_t`, blanks between; none when the article is shorter."""
-    starts = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.greatest(F.size("_t") - (n - 1), F.lit(1))))
-    run = lambda i: F.array_join(F.slice("_t", i, F.lit(n)), " ")
-    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), run) if n > 1 else F.col("_t")
-
-
-def phrase_hits(
-    articles: DataFrame, phrases: DataFrame, text: str = "text", article_id: str = "article_id", in_row: int = IN_ROW_PHRASES
-) -> DataFrame:
+def phrase_hits(articles: DataFrame, phrases: DataFrame, text: str = "text", article_id: str = "article_id") -> DataFrame:
     """(article, ticker, tier) where the article's words contain the phrase's words in a row.
 
-    Runs of as many words as some phrase has are looked up by equality, so no
-    article is compared with a phrase it does not contain. Few phrases are
-    looked up inside the article's row; many are a table joined to the runs.
-    The number of phrase lengths is small: a phrase has at most 120 characters.
+    Every place of an article is looked up by its first word and by its first two,
+    which phrases of one and of more words are joined on; the words that follow
+    are compared where the longest phrase has more. The text is read once, and no
+    article is compared with a phrase whose beginning it does not contain.
     """
     wanted = phrases.withColumn("_words", words(F.col("phrase"))).where(F.size("_words") > 0)
-    wanted = wanted.select("ticker", "tier", F.size("_words").alias("_n"), F.array_join("_words", " ").alias("_run")).distinct()
+    wanted = wanted.select("ticker", "tier", F.array_join(F.slice("_words", 1, 2), " ").alias("_key"), F.slice("_words", 3, 1 << 30).alias("_more")).distinct()
+    longest = wanted.agg(F.max(F.size("_more"))).first()[0] or 0
     tokens = articles.select(article_id, words(F.col(text)).alias("_t"))
-    few = wanted.select("_n", "_run").distinct().limit(in_row + 1).collect()
-    if len(few) <= in_row:
-        by_length: dict[int, list[str]] = {}
-        for r in few:
-            by_length.setdefault(r["_n"], []).append(r["_run"])
-        found = [F.array_intersect(_runs(n), F.array(*[F.lit(p) for p in sorted(ps)])) for n, ps in sorted(by_length.items())]
-    else:
-        lengths = sorted(r[0] for r in wanted.select("_n").distinct().collect())
-        found = [F.array_distinct(_runs(n)) for n in lengths]
-    every = F.concat(*found) if found else F.array().cast("array<string>")
-    exploded = tokens.select(article_id, F.explode(every).alias("_run"))
-    return exploded.join(wanted.drop("_n"), "_run").select(article_id, "ticker", "tier").distinct()
+    t = F.col("_t")
+    following = lambda i: F.slice(t, i + 3, longest) if longest else F.array().cast("array<string>")
+    single = F.transform(F.array_distinct(t), lambda w: F.struct(w.alias("_key"), F.array().cast("array<string>").alias("_next")))
+    double = F.transform(t, lambda w, i: F.struct(F.concat(w, F.lit(" "), F.coalesce(F.get(t, i + 1), F.lit(""))).alias("_key"), following(i).alias("_next")))
+    places = tokens.select(article_id, F.inline(F.concat(single, F.array_distinct(double))))
+    found = places.join(wanted, "_key").where(F.slice("_next", 1, F.greatest(F.size("_more"), F.lit(0))) == F.col("_more"))
+    return found.select(article_id, "ticker", "tier").distinct()
 
 
 def match_articles(entities: DataFrame, articles: DataFrame, symbols: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -206,7 +190,8 @@ def match_articles(entities: DataFrame, articles: DataFrame, symbols: DataFrame,
     tagged = symbols.join(entities.select("ticker"), symbols["symbol"] == entities["ticker"])
     by_symbol = tagged.select("article_id", "ticker", F.lit(TIER_SYMBOL).alias("tier"))
     hits = by_symbol.unionByName(phrase_hits(articles, phrases)).distinct()
-    dated = hits.join(articles.select("article_id", "fiscal_year"), "article_id")
+    # both the best tier and its articles come from these rows; the texts are not read again
+    dated = cut_lineage(hits.join(articles.select("article_id", "fiscal_year"), "article_id"), "hits")
     best = dated.groupBy(*KEYS).agg(F.min("tier").alias("tier"))
     return dated.join(best, [*KEYS, "tier"])
 

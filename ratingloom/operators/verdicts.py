@@ -222,10 +222,27 @@ def instruction_input(df: DataFrame) -> Column:
 # --- replies --------------------------------------------------------------------------------
 
 
+#: A JSON object whose strings are double-quoted and hold no raw control character; outside them neither stands.
+_STRICT = r"""(?s)^\s*\{(?:[^"'\x00-\x08\x0b\x0c\x0e-\x1f]|"(?:[^"\\\x00-\x1f]|\\.)*+")*+$"""
+
+
 def _json_text(c: Column) -> Column:
-    """The text if it is a JSON object, else NULL."""
-    keys = F.json_object_keys(c)
-    return F.when(keys.isNotNull(), c)
+    """The text if it is one strict JSON object and nothing else, else NULL.
+
+    Spark's reader is lenient: it takes single quotes and raw tabs and stops after
+    the first object. The pattern rejects the first two; of braces outside strings the
+    last must be the one that closes the first.
+    """
+    outside = F.regexp_replace(c, r'"(?:[^"\\]|\\.)*+"', '""')
+    braces = F.regexp_replace(outside, r"[^{}]", "")
+    # a closing brace followed by an opening one at the outermost level would be a second object
+    depth = F.aggregate(
+        F.split(braces, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("closed")),
+        lambda s, x: F.struct(
+            (s["d"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)).alias("d"), (s["closed"] + ((x == "}") & (s["d"] == 1)).cast("int")).alias("closed")
+        ),
+    )
+    return F.when(c.rlike(_STRICT) & c.rlike(r"\}\s*$") & (depth["d"] == 0) & (depth["closed"] == 1) & F.json_object_keys(c).isNotNull(), c)
 
 
 def reply_json(reply: Column) -> Column:
@@ -320,19 +337,28 @@ def score_verdict(df: DataFrame, verdict: str = "verdict") -> DataFrame:
     return out.withColumn("overall_score", _share(parts)).drop("_text", "_numbers", "_written")
 
 
-def score_reply(df: DataFrame, verdict: str = "verdict") -> DataFrame:
-    """The second scoring, for parsed replies: a missing verdict fails every check."""
-    v, text = _c(verdict), _c("_text")
-    valid = v.isNotNull()
-    cited = sum((text.contains(r).cast("int") for r in V.RATIOS), F.lit(0))
-    out = _with_verdict_text(df, verdict).withColumns(
+def _reply_field(text: Column, name: str) -> Column:
+    """Length of a string field or number of entries of a list, 0 if it is missing or null."""
+    value = F.get_json_object(text, f"$.{name}")
+    return F.coalesce(F.json_array_length(value), F.length(value), F.lit(0))
+
+
+def score_reply(df: DataFrame, reply: str = "reply_json") -> DataFrame:
+    """The second scoring, over the accepted JSON text of a reply; NULL fails every check.
+
+    Fields the model added count like the others, and a strength or weakness given as
+    plain text counts by its length.
+    """
+    text = F.lower(F.coalesce(_c(reply), F.lit("")))
+    cited = sum((_c("_text").contains(r).cast("int") for r in V.RATIOS), F.lit(0))
+    out = df.withColumn("_text", text).withColumn("_numbers", numbers_in(_c("_text"))).withColumns(
         {
-            "json_valid": valid,
-            "has_company": F.coalesce(v["company"], F.lit("")) != "",
-            "has_overall": _long(v["overall_assessment"]),
-            "has_strengths": _filled(v["strengths"]),
-            "has_weaknesses": _filled(v["weaknesses"]),
-            "has_analysis": _long(v["prediction_analysis"]),
+            "json_valid": _c(reply).isNotNull(),
+            "has_company": F.coalesce(F.get_json_object(_c(reply), "$.company"), F.lit("")) != "",
+            "has_overall": _reply_field(_c(reply), "overall_assessment") > 20,
+            "has_strengths": _reply_field(_c(reply), "strengths") > 0,
+            "has_weaknesses": _reply_field(_c(reply), "weaknesses") > 0,
+            "has_analysis": _reply_field(_c(reply), "prediction_analysis") > 20,
             "ratios_cited": cited,
             "citation_rate": cited / F.lit(len(V.RATIOS)),
             "numbers_found": F.size("_numbers"),

@@ -261,7 +261,7 @@ FROM s GROUP BY vec_id"""
 @query("knn", _KNN_SQL)
 def knn(spark, sf):
     vectors = R.table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
-    folded = FO.stratified_folds(vectors, "label", ["vec_id"], V.MAX_FOLDS, hash_digits=2)
+    folded = FO.stratified_folds(vectors, "label", ["vec_id"], V.MAX_FOLDS)
     labels = [r[0] for r in vectors.select("label").distinct().orderBy("label").collect()]
     out = NB.out_of_fold_neighbours(folded, "vec_id", "label", labels, range(V.MAX_FOLDS))
     return longs(rounded(out, ["confidence"]), ["fold", "label", "predicted_category"])

@@ -169,20 +169,29 @@ def verdict_summary(spark, sf):
 
 
 def _replies(spark, sf) -> DataFrame:
-    """Replies as a model would give them: plain, fenced, inside prose, cut off, or none."""
+    """Replies as a model would give them: plain, fenced, inside prose, cut off, none, not quite JSON, or with more or other fields."""
     made = VD.template_verdict(predicted_panel(spark, sf))
-    text, agency = VD.verdict_json(F.col("verdict")), F.col("rating_agency")
+    text, agency, year = VD.verdict_json(F.col("verdict")), F.col("rating_agency"), F.col("fiscal_year")
+    as_string = F.regexp_replace(text, r'"strengths":\s*\[[^\]]*\]', '"strengths": "none"')
+    more = F.concat(F.regexp_replace(text, r"\}\s*$", ""), F.lit(', "recommendation": "LIQUID 0.1234 CUMPROF 0.2345"}'))
     reply = (
-        F.when(agency == "Fitch", F.concat(F.lit("```json\n"), text, F.lit("\n```")))
+        F.when((agency == "Fitch") & (year % 2 == 0), F.concat(F.lit("```json\n"), as_string, F.lit("\n```")))
+        .when(agency == "Fitch", F.concat(F.lit("```json\n"), text, F.lit("\n```")))
         .when(agency == "Moodys", F.concat(F.lit("Here is the verdict:\n"), text, F.lit("\nDone.")))
         .when(agency == "SP", text.substr(F.lit(1), F.length(text) - 10))
         .when(agency == "Financial Analytics", F.lit(None).cast("string"))
-        .otherwise(text)
+        .when(year % 5 == 0, F.replace(text, F.lit('"'), F.lit("'")))
+        .when(year % 5 == 1, F.concat(text, F.lit("\n"), text))
+        .when(year % 5 == 2, F.concat(text, F.lit(" thanks }")))
+        .when(year % 5 == 3, more)
+        .otherwise(F.concat(F.lit('{"note": "a\tb", '), F.regexp_replace(text, r"^\s*\{", "")))
     )
     return made.withColumn("reply", reply)
 
 
-_VALID = "rating_agency NOT IN ('SP', 'Financial Analytics')"
+_MORE = "rating_agency NOT IN ('Fitch', 'Moodys', 'SP', 'Financial Analytics') AND fiscal_year % 5 = 3"
+_AS_STRING = "rating_agency = 'Fitch' AND fiscal_year % 2 = 0"
+_VALID = f"(rating_agency IN ('Fitch', 'Moodys') OR {_MORE})"
 
 
 @query(
@@ -203,7 +212,10 @@ def reply_parse(spark, sf):
 
 
 _REPLY_SCORE = f"""{_SCORED},
-q AS (SELECT *, CASE WHEN {_VALID} THEN len(nums) ELSE 0 END AS numbers_found, CASE WHEN {_VALID} THEN ratios_cited ELSE 0 END AS reply_cited FROM a),
+e AS (SELECT *, lower(concat_ws(' ; ', company_name, ticker, risk_classification, overall_assessment, CASE WHEN {_AS_STRING} THEN 'none' ELSE array_to_string(strengths, ' ; ') END,
+    array_to_string(weaknesses, ' ; '), array_to_string(key_risks, ' ; '), prediction_analysis, CASE WHEN {_MORE} THEN 'liquid 0.1234 cumprof 0.2345' END)) AS reply_text FROM a),
+q AS (SELECT *, CASE WHEN {_VALID} THEN len(regexp_extract_all(reply_text, '-?\\d+\\.\\d{{2,}}')) ELSE 0 END AS numbers_found,
+  CASE WHEN {_VALID} THEN CAST({" + ".join(f"CAST(contains(reply_text, '{r}') AS INTEGER)" for r in V.RATIOS)} AS BIGINT) ELSE 0 END AS reply_cited FROM e),
 z AS (SELECT *, CASE WHEN {_VALID} THEN (5 + CAST(reply_cited >= 2 AS INTEGER) + CAST(numbers_found >= 2 AS INTEGER)) / 7.0::DOUBLE ELSE 0 END AS reply_score FROM q)"""
 
 
@@ -215,7 +227,7 @@ z AS (SELECT *, CASE WHEN {_VALID} THEN (5 + CAST(reply_cited >= 2 AS INTEGER) +
     ),
 )
 def reply_score(spark, sf):
-    scored = VD.score_reply(_replies(spark, sf).withColumn("parsed", VD.parse_reply(F.col("reply"))), "parsed")
+    scored = VD.score_reply(_replies(spark, sf).withColumn("reply_json", VD.reply_json(F.col("reply"))))
     out = scored.select(*KEYS, "json_valid", "ratios_cited", "numbers_found", "overall_score")
     return longs(rounded(out, ["overall_score"]), ["json_valid", "ratios_cited", "numbers_found"])
 
@@ -224,12 +236,15 @@ def reply_score(spark, sf):
     "verdict_fallback",
     with_roles(
         ["predicted"],
-        f"SELECT ticker, fiscal_year, company_name AS company, CASE WHEN {_VALID} THEN 'model' ELSE 'template_fallback' END AS generation_method FROM predicted",
+        f"SELECT ticker, fiscal_year, company_name AS company, CASE WHEN {_VALID} THEN 'model' WHEN fiscal_year % 2 = 1 THEN 'service' ELSE 'template_fallback' END AS generation_method FROM predicted",
     ),
 )
 def verdict_fallback(spark, sf):
     rows = _replies(spark, sf)
-    chosen, method = VD.choose_verdict([("model", VD.parse_reply(F.col("reply"))), ("template", F.col("verdict"))], "template_fallback")
+    # the service is asked where the model failed; here it answers for every other year
+    service = F.when(F.col("fiscal_year") % 2 == 1, F.concat(F.lit("Certainly.\n"), VD.verdict_json(F.col("verdict"))))
+    steps = [("model", VD.parse_reply(F.col("reply"))), ("service", VD.parse_reply(service)), ("template", F.col("verdict"))]
+    chosen, method = VD.choose_verdict(steps, "template_fallback")
     return rows.select(*KEYS, chosen.alias("v"), method.alias("generation_method")).select(*KEYS, F.col("v.company").alias("company"), "generation_method")
 
 
@@ -243,7 +258,7 @@ g AS (SELECT {by}, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS gram FROM (SELE
     + f" SELECT lang, count(DISTINCT gram) AS unique_trigrams, count(*) AS total_trigrams, {r6('count(DISTINCT gram) / count(*)::DOUBLE', 'diversity_ratio')} FROM g GROUP BY 1",
 )
 def trigram_diversity(spark, sf):
-    return rounded(VD.trigram_diversity(R.spread_table(spark, sf, "documents"), F.col("text"), ["lang"]), ["diversity_ratio"])
+    return rounded(VD.trigram_diversity(R.table(spark, sf, "documents"), F.col("text"), ["lang"]), ["diversity_ratio"])
 
 
 @query(
@@ -262,10 +277,10 @@ SELECT metric, {r6("b", "baseline")}, {r6("c", "candidate")}, {r6("c - b", "delt
 def method_comparison(spark, sf):
     rows = _replies(spark, sf)
     both = F.array(
-        F.struct(F.lit("template").alias("method"), F.col("verdict").alias("v")),
-        F.struct(F.lit("model").alias("method"), VD.parse_reply(F.col("reply")).alias("v")),
+        F.struct(F.lit("template").alias("method"), VD.verdict_json(F.col("verdict")).alias("reply_json")),
+        F.struct(F.lit("model").alias("method"), VD.reply_json(F.col("reply")).alias("reply_json")),
     )
-    stacked = rows.select(F.explode(both).alias("x")).select("x.method", F.col("x.v").alias("verdict"))
+    stacked = rows.select(F.explode(both).alias("x")).select("x.*").withColumn("verdict", F.from_json("reply_json", V.VERDICT_SCHEMA))
     scored = VD.score_reply(stacked)
     diversity = VD.trigram_diversity(stacked.where(F.col("verdict").isNotNull()), F.col("verdict.overall_assessment"), ["method"])
     out = VD.compare_methods(scored, "method", "template", "model", diversity)

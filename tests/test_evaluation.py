@@ -1,8 +1,11 @@
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ratingloom.operators import attribution as AT
@@ -23,27 +26,50 @@ def test_fold_count(spark, smallest, expected):
 def test_stratified_folds_are_even_and_stable(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") < 700, "big").otherwise("small").alias("label"))
     first = FO.stratified_folds(df.repartition(1), "label", ["id"], 5)
-    again = FO.stratified_folds(df.repartition(40), "label", ["id"], 5, hash_digits=1)
+    again = FO.stratified_folds(df.repartition(40), "label", ["id"], 5)
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
     sizes = [r["count"] for r in first.groupBy("label", "fold").count().collect()]
     assert sorted(sizes) == [60] * 5 + [140] * 5
 
 
-def test_group_folds_keep_groups_whole(spark):
-    df = spark.range(900).select(F.when(F.col("id") < 300, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 50).cast("string"))).alias("ticker"))
-    for packed in (100_000, 5):  # all groups packed, and most of them by hash
-        got = FO.group_folds(df, "ticker", 5, packed)
-        assert got.count() == 900
-        assert got.groupBy("ticker").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
-    loads = sorted(r["count"] for r in FO.group_folds(df, "ticker", 5).groupBy("fold").count().collect())
-    assert loads[-1] == 300 and loads[0] >= 144
+def greedy(sizes, folds):
+    """One group after another, largest first, to the fold with the fewest rows."""
+    loads, out = [0] * folds, {}
+    for name, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        fold = loads.index(min(loads))
+        loads[fold] += n
+        out[name] = fold
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=60), st.integers(1, 6))
+def test_dealing_by_size_equals_one_after_another(sizes, folds):
+    named = {f"g{i:03d}": n for i, n in enumerate(sizes)}
+    expected, counts = greedy(named, folds), Counter(sizes)
+    rows = FO.dealt(sorted(counts.items(), reverse=True), folds)
+    got = {}
+    for size in counts:
+        for rank, name in enumerate(sorted(k for k, n in named.items() if n == size)):
+            [(_, first, _, cycle)] = [r for r in rows if r[0] == size and r[1] <= rank < r[2]]
+            got[name] = cycle[(rank - first) % len(cycle)]
+    assert got == expected
+
+
+def test_dealing_many_groups_needs_few_rows():
+    assert len(FO.dealt([(10**9, 3), (7, 10**12), (1, 10**12)], 5)) < 60
+
+
+def test_group_folds_are_the_greedy_ones(spark):
+    df = spark.range(2400).select(F.when(F.col("id") < 300, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 500 * F.col("id") % 313).cast("string"))).alias("ticker"))
+    sizes = {r["ticker"]: r["count"] for r in df.groupBy("ticker").count().collect()}
+    got = {(r["ticker"], r["fold"]) for r in FO.group_folds(df, "ticker", 5).collect()}
+    assert got == set(greedy(sizes, 5).items())
 
 
-def test_leave_one_out_is_for_small_tables(spark):
-    got = FO.leave_one_out_folds(spark.range(20), ["id"])
-    assert sorted(r["fold"] for r in got.collect()) == list(range(20))
-    with pytest.raises(ValueError):
-        FO.leave_one_out_folds(spark.range(FO.LEAVE_ONE_OUT_ROWS + 1), ["id"])
+def test_leave_one_out_has_no_limit(spark):
+    got = FO.leave_one_out_folds(spark.range(30_000), ["id"])
+    assert sorted(r["fold"] for r in got.collect()) == list(range(30_000))
 
 
 PAIRS = [("A", "A")] * 14 + [("A", "BB")] * 2 + [("A", "BBB")] * 2 + [("AA", "AA")] * 6 + [("BB", "A")] * 4 + [("BB", "BBB")] * 2 + [("BBB", "A")] * 2 + [("BBB", "AA")] * 2 + [("BBB", "BBB")] * 11

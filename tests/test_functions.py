@@ -115,7 +115,7 @@ def test_article_text(spark, title, description, snippet, expected):
 
 def test_search_phrase(spark):
     df = column(spark, ["  Al  Rajhi (Holding)  Co ", "(only)", "x" * 200])
-    assert values(df, "x", TX.search_phrase(F.col("x"))) == ["Al Rajhi Co", "(only)", "x" * 120]
+    assert values(df, "x", TX.search_phrase(F.col("x"), 120)) == ["Al Rajhi Co", "(only)", "x" * 120]
 
 
 def test_file_names(spark):
@@ -152,10 +152,11 @@ def test_normalised_article(spark):
         """SELECT named_struct('title', ' T ', 'description', repeat('d', 5000), 'snippet', CAST(NULL AS string), 'published_at', '2024-01-01',
         'source', ' site ', 'url', CAST(NULL AS string), 'entities', array(named_struct('symbol', ' '), named_struct('symbol', ' X.SR '))) AS i"""
     )
-    a = rows.select(TX.normalise_article(F.col("i"), F.lit("1.SR"), F.lit("fallback")).alias("a")).first()["a"]
-    assert (a["ticker"], a["title"], len(a["description"]), a["snippet"], a["url"], a["search_term"], a["sentiment_neu"]) == (
-        "1.SR", "T", 4000, "", "", "X.SR", 1.0,
-    )
+    for cut, length in ((None, 5000), (4000, 4000)):
+        a = rows.select(TX.normalise_article(F.col("i"), F.lit("1.SR"), F.lit("fallback"), cut).alias("a")).first()["a"]
+        assert (a["ticker"], a["title"], len(a["description"]), a["snippet"], a["url"], a["search_term"], a["sentiment_neu"]) == (
+            "1.SR", "T", length, "", "", "X.SR", 1.0,
+        )
 
 
 def test_lexicon_score(spark):

@@ -75,14 +75,21 @@ def test_score_against_the_row(spark):
 
 def test_replies(spark):
     good = json.dumps({"company": "One", "strengths": ["a", "b"], "overall_assessment": "x" * 30, "prediction_analysis": "LIQUID=0.10 CUMPROF=0.20 " + "y" * 20, "weaknesses": ["w"]}, indent=2)
-    replies = [good, f"```json\n{good}\n```", f"Here:\n{good}\nDone.", good[:-8], "", "no braces", "[1, 2]", None]
+    bad = [good[:-8], "", "no braces", "[1, 2]", None, "{'company': 'X'}", good + "\n" + good, good + " thanks }", '{"company": "a\tb"}', good + "}", '{"a": 1} {"b": 2}']
+    replies = [good, f"```json\n{good}\n```", f"Here:\n{good}\nDone.", '{"company": "it\'s {braces} \\"here\\""}', *bad]
     df = spark.createDataFrame(list(enumerate(replies)), "i int, reply string")
-    parsed = df.select("i", VD.parse_reply(F.col("reply")).alias("verdict"))
+    parsed = df.select("i", VD.reply_json(F.col("reply")).alias("reply_json"), VD.parse_reply(F.col("reply")).alias("verdict"))
     got = [r["verdict"] for r in parsed.orderBy("i").collect()]
-    assert [g is not None for g in got] == [True, True, True, False, False, False, False, False]
-    assert got[2]["company"] == "One" and got[2]["strengths"] == ["a", "b"]
+    assert [g is not None for g in got] == [True] * 4 + [False] * len(bad)
+    assert got[2]["company"] == "One" and got[2]["strengths"] == ["a", "b"] and got[3]["company"] == "it's {braces} \"here\""
     scores = [r["overall_score"] for r in VD.score_reply(parsed).orderBy("i").collect()]
-    assert scores[0] == 1.0 and scores[3] == 0.0
+    assert scores[0] == 1.0 and scores[4] == 0.0
+
+
+def test_reply_with_other_fields(spark):
+    text = json.dumps({"company": "One", "strengths": "solid", "weaknesses": [], "recommendation": "LIQUID 0.1234 CUMPROF 0.2345"})
+    row = VD.score_reply(spark.createDataFrame([(text,)], "reply_json string")).first()
+    assert (row["ratios_cited"], row["numbers_found"], row["has_strengths"], row["has_weaknesses"]) == (2, 2, True, False)
 
 
 def test_choice_of_method(spark):
