@@ -20,6 +20,14 @@ def unpivot_agencies(wide: DataFrame, keys: Sequence[str], agencies: Sequence[st
     return tall.where(F.col("rating").isNotNull()).select(*keys, "agency", "rating", rating_notch(F.col("rating")).alias("notch"))
 
 
+def unknown_letters(wide: DataFrame, keys: Sequence[str], agencies: Sequence[str] = tuple(V.AGENCY_COLUMNS)) -> DataFrame:
+    """(key, agency, given, rating) of the given ratings that are not on the common scale and so have no notch."""
+    cells = F.array(*[F.struct(F.lit(a).alias("agency"), F.col(a).alias("given")) for a in agencies])
+    tall = wide.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
+    rated = tall.withColumn("rating", harmonise(blank_to_null(F.col("given")))).where(F.col("rating").isNotNull())
+    return rated.where(rating_notch(F.col("rating")).isNull())
+
+
 def consensus(long: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:
     """Median notch over agencies and its letter, a half notch going down.
 

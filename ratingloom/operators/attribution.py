@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingloom import fixed_values as V
@@ -88,11 +88,17 @@ def shapley_values(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
     return out
 
 
-def attributions(table: DataFrame, fitted: Fitted, keep: Sequence[str]) -> DataFrame:
+def predicted_index(fitted: Fitted) -> Column:
+    """Number of the class a row is predicted to have."""
+    return F.array_position(F.array(*[F.lit(c) for c in fitted.classes]), F.col("predicted_category")) - 1
+
+
+def attributions(table: DataFrame, fitted: Fitted, keep: Sequence[str], wanted: Column | None = None) -> DataFrame:
     """(keep, predicted, features, class_index, base, shap_values, margin) per row and class.
 
-    Only the tree nodes travel to the tasks. The margin is Spark's own score,
-    for checking that base and values add up to it.
+    With `wanted` (a class number over the scored row) only that class of a row is
+    explained. Only the tree nodes travel to the tasks. The margin is Spark's own
+    score, for checking that base and values add up to it.
     """
     per_class = [tree_leaves(p, table) for p in fitted.parts]
     bases = [base_value(leaves) for leaves in per_class]
@@ -103,7 +109,8 @@ def attributions(table: DataFrame, fitted: Fitted, keep: Sequence[str]) -> DataF
         scored = part.transform(scored).select(*before, F.get(vector_to_array("rawPrediction"), F.lit(1)).alias(f"_m{i}"))
         margin.append(F.col(f"_m{i}"))
     rows = scored.select(
-        *keep, "predicted_category", "confidence", vector_to_array("features").alias("features"), F.array(*margin).alias("margins")
+        *keep, "predicted_category", "confidence", vector_to_array("features").alias("features"), F.array(*margin).alias("margins"),
+        (wanted if wanted is not None else F.lit(-1)).cast("int").alias("wanted"),
     )
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
@@ -114,13 +121,33 @@ def attributions(table: DataFrame, fitted: Fitted, keep: Sequence[str]) -> DataF
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.vstack(batch["features"].to_numpy())
             for index, leaves in enumerate(per_class):
-                values = shapley_values(x, leaves)
-                yield batch.assign(class_index=index, base=bases[index], shap_values=list(values))
+                part = batch[batch["wanted"].isin([index, -1])]
+                if len(part):
+                    values = shapley_values(np.vstack(part["features"].to_numpy()), leaves)
+                    yield part.assign(class_index=index, base=bases[index], shap_values=list(values))
 
     explained = rows.mapInPandas(explain, schema)
-    return explained.withColumn("margin", F.get("margins", F.col("class_index"))).drop("margins")
+    return explained.withColumn("margin", F.get("margins", F.col("class_index"))).drop("margins", "wanted")
+
+
+def mean_magnitudes(table: DataFrame, fitted: Fitted, features: Sequence[str]) -> DataFrame:
+    """feature_index, feature, mean_abs_shap: the mean absolute attribution over rows and classes.
+
+    Each batch gives one sum per feature, so no value of a row leaves its task.
+    """
+    per_class = [tree_leaves(p, table) for p in fitted.parts]
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.vstack(batch["features"].to_numpy())
+                total = sum(np.abs(shapley_values(x, leaves)).sum(axis=0) for leaves in per_class)
+                yield pd.DataFrame({"feature_index": np.arange(x.shape[1], dtype=np.int32), "total": total, "n": len(x) * len(per_class)})
+
+    sums = table.select(vector_to_array("features").alias("features")).mapInPandas(add, "feature_index int, total double, n long")
+    means = sums.groupBy("feature_index").agg((F.sum("total") / F.sum("n")).alias("mean_abs_shap"))
+    return means.withColumn("feature", class_name(F.col("feature_index"), features))
 
 
 def long_form(explained: DataFrame, keep: Sequence[str], classes: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -134,9 +161,8 @@ def long_form(explained: DataFrame, keep: Sequence[str], classes: Sequence[str],
     )
 
 
-def global_importance(long: DataFrame) -> DataFrame:
-    """Mean absolute attribution over rows and classes, its rank and its share."""
-    per_feature = long.groupBy("feature_index", "feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap"))
+def global_importance(per_feature: DataFrame) -> DataFrame:
+    """Rank and share of each feature by its mean absolute attribution."""
     every = Window.partitionBy()  # one row per feature
     ranked = per_feature.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs_shap"), "feature_index")))
     share = 100 * F.col("mean_abs_shap") / (F.sum("mean_abs_shap").over(every) + 1e-12)
@@ -148,7 +174,7 @@ def top_factors(explained: DataFrame, keep: Sequence[str], classes: Sequence[str
 
     The first feature wins ties. Works inside each row, without a shuffle.
     """
-    own = explained.where(class_name(F.col("class_index"), classes) == F.col("predicted_category"))
+    own = explained.where(class_name(F.col("class_index"), classes) == F.col("predicted_category"))  # if all classes were explained
     marked = F.transform(
         "shap_values", lambda v, i: F.struct(F.abs(v).alias("size"), (-i).alias("back"), v.alias("value"))
     )

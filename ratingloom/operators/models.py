@@ -27,6 +27,8 @@ from ratingloom.session import cut_lineage
 
 LABEL = "label"
 PARALLEL_FITS = 4
+#: Rows of a part of a training table.
+PART_ROWS = 50_000
 
 
 def label_index(c: Column, classes: Sequence[str]) -> Column:
@@ -235,11 +237,15 @@ def benchmark_models(rows: int, rounds: int = V.BOOSTING["rounds"], trees: int =
 def training_table(
     df: DataFrame, features: Sequence[str], target: str, classes: Sequence[str], carry: Sequence[str]
 ) -> DataFrame:
-    """Vectors, labels, folds and carried columns as a table, read by every fit."""
+    """Vectors, labels, folds and carried columns as a table, read by every fit.
+
+    The table has as many parts as its rows fill, so that the many small jobs of a
+    fit do not each start a task per core for a few rows.
+    """
     columns = [*dict.fromkeys([*carry, target]), LABEL, "features"]
     made = assemble(df, features, target, classes)
     made = made.select(*columns, *[c for c in ("fold",) if c in df.columns and c not in columns])
-    return cut_lineage(made, "training")
+    return cut_lineage(made.coalesce(max(1, -(-made.count() // PART_ROWS))), "training")
 
 
 def out_of_fold(

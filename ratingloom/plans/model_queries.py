@@ -1,6 +1,6 @@
 """Queries that fit models on the panel and explain them.
 
-Fits run with the published settings unless a query says otherwise.
+All fits run with the published settings.
 """
 
 from __future__ import annotations
@@ -25,11 +25,6 @@ from ratingloom.session import cut_lineage
 
 TARGET = "rating_category"
 CLASSES = V.CATEGORIES
-# The registry fits many models per query; the comparisons use fewer rounds and
-# iterations than the library's defaults, the headline model the full number.
-LIGHT_ROUNDS = 10
-LIGHT_TREES = 20
-LIGHT_ITERATIONS = {"logistic": 100, "svc": 50, "perceptron": 100}
 
 
 def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +32,7 @@ def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = fill_features(drop_null_ratios(panel_frame(spark, sf_dir)))
     frame = frame.withColumn("rating_agency", F.trim("rating_agency"))
     table = cut_lineage(frame.select(*KEYS, "rating_agency", TARGET, *V.ALL_FEATURES), "frame")
-    return FO.stratified_folds(table, TARGET, KEYS)
+    return cut_lineage(FO.stratified_folds(table, TARGET, KEYS), "folded")
 
 
 def _folds(table: DataFrame) -> list[int]:
@@ -67,7 +62,7 @@ FROM (SELECT *, {FOLD_SQL} AS fold FROM predicted) GROUP BY 1, 2""",
 def out_of_fold_coverage(spark, sf):
     """Rows predicted per fold and class: each key once, its shares adding up to 1."""
     table = _training(model_frame(spark, sf))
-    out = MO.out_of_fold(table, MO.logistic_regression(table.count(), LIGHT_ITERATIONS["logistic"]), _folds(table), len(V.ALL_FEATURES), CLASSES)
+    out = MO.out_of_fold(table, MO.logistic_regression(table.count()), _folds(table), len(V.ALL_FEATURES), CLASSES)
     share = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
     wrong = (F.abs(share - 1) > 1e-9) | F.col("predicted_category").isNull()
     return out.groupBy("fold", TARGET).agg(
@@ -78,18 +73,18 @@ def out_of_fold_coverage(spark, sf):
 @query("feature_ablation")
 def feature_ablation(spark, sf):
     frame = model_frame(spark, sf)
-    return MO.ablation(frame, V.FEATURE_BLOCKS, TARGET, CLASSES, _folds(frame), MO.boosted_trees(LIGHT_ROUNDS))
+    return MO.ablation(frame, V.FEATURE_BLOCKS, TARGET, CLASSES, _folds(frame), MO.boosted_trees())
 
 
 @query("ablation_top_features")
 def ablation_top_features(spark, sf):
-    return MO.top_features(model_frame(spark, sf), V.FEATURE_BLOCKS, TARGET, CLASSES, MO.boosted_trees(LIGHT_ROUNDS))
+    return MO.top_features(model_frame(spark, sf), V.FEATURE_BLOCKS, TARGET, CLASSES, MO.boosted_trees())
 
 
 @query("three_model_ablation")
 def three_model_ablation(spark, sf):
     frame = model_frame(spark, sf)
-    return MO.ablation(frame, V.THREE_MODELS, TARGET, CLASSES, _folds(frame), MO.boosted_trees(LIGHT_ROUNDS))
+    return MO.ablation(frame, V.THREE_MODELS, TARGET, CLASSES, _folds(frame), MO.boosted_trees())
 
 
 @query("model_benchmark")
@@ -100,7 +95,7 @@ def model_benchmark(spark, sf):
     row_count = table.count()
     rows = NB.as_array(table).withColumn("key", F.concat_ws("|", *KEYS))
     neighbours = NB.out_of_fold_neighbours(rows, "key", TARGET, CLASSES, folds)
-    models = MO.benchmark_models(row_count, LIGHT_ROUNDS, LIGHT_TREES, LIGHT_ITERATIONS)
+    models = MO.benchmark_models(row_count)
     return MO.benchmark(table, models, TARGET, features, CLASSES, folds, {"Nearest Neighbours": neighbours})
 
 
@@ -118,7 +113,7 @@ def grouped_out_of_fold(spark, sf):
     letters = F.when(F.col(TARGET).isin("AA", "A"), "A").otherwise("BBB")
     folded = FO.group_folds(frame.withColumn("side", letters), "ticker")
     table = MO.training_table(folded, V.RATIOS, "side", ["A", "BBB"], KEYS)
-    out = MO.out_of_fold(table, MO.boosted_trees(LIGHT_ROUNDS), _folds(table), len(V.RATIOS), ["A", "BBB"])
+    out = MO.out_of_fold(table, MO.boosted_trees(), _folds(table), len(V.RATIOS), ["A", "BBB"])
     return out.select(*KEYS, "fold", "side", F.col("predicted_category").alias("predicted_rating"), "confidence")
 
 
@@ -142,7 +137,7 @@ def agency_models(spark, sf):
 def importance_and_fit(spark, sf):
     """Feature importance of the model on all rows, with its accuracy on them."""
     table = _training(model_frame(spark, sf))
-    fitted = MO.boosted_trees(LIGHT_ROUNDS).fit(table, len(V.ALL_FEATURES), CLASSES)
+    fitted = MO.boosted_trees().fit(table, len(V.ALL_FEATURES), CLASSES)
     accuracy = MO.train_accuracy(fitted, table, TARGET).scalar()
     return MO.feature_importance(fitted, V.ALL_FEATURES, table).withColumn("train_accuracy", accuracy)
 
@@ -175,17 +170,20 @@ def embedding_forest(spark, sf):
     wide = vectors.select("vec_id", F.col("label").cast("string").alias("name"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
     folded = FO.stratified_folds(wide, "name", ["vec_id"], V.MAX_FOLDS)
     table = MO.training_table(folded, names, "name", labels, ["vec_id"])
-    out = MO.out_of_fold(table, MO.random_forest(LIGHT_TREES), range(V.MAX_FOLDS), width, labels)
+    out = MO.out_of_fold(table, MO.random_forest(), range(V.MAX_FOLDS), width, labels)
     return out.select("vec_id", "fold", "name", "predicted_category", "confidence")
 
 
 # --- attribution ----------------------------------------------------------------------------
 
 
-def _explained(spark, sf) -> DataFrame:
+def _fitted(spark, sf) -> tuple[DataFrame, MO.Fitted]:
     table = _training(model_frame(spark, sf))
-    fitted = MO.boosted_trees(LIGHT_ROUNDS).fit(table, len(V.ALL_FEATURES), CLASSES)
-    return AT.attributions(table, fitted, [*KEYS, TARGET])
+    return table, MO.boosted_trees().fit(table, len(V.ALL_FEATURES), CLASSES)
+
+
+def _explained(spark, sf) -> DataFrame:
+    return AT.attributions(*_fitted(spark, sf), [*KEYS, TARGET])
 
 
 @query("attributions")
@@ -205,25 +203,28 @@ def attribution_check(spark, sf):
 
 @query("global_importance")
 def global_importance(spark, sf):
-    return AT.global_importance(AT.long_form(_explained(spark, sf), KEYS, CLASSES, V.ALL_FEATURES))
+    return AT.global_importance(AT.mean_magnitudes(*_fitted(spark, sf), V.ALL_FEATURES))
 
 
 @query("top_factors")
 def top_factors(spark, sf):
-    return AT.top_factors(_explained(spark, sf), [*KEYS, TARGET], CLASSES, V.ALL_FEATURES)
+    table, fitted = _fitted(spark, sf)
+    own = AT.attributions(table, fitted, [*KEYS, TARGET], AT.predicted_index(fitted))
+    return AT.top_factors(own, [*KEYS, TARGET], CLASSES, V.ALL_FEATURES)
 
 
 @query("dependence_points")
 def dependence_points(spark, sf):
     """Value, attribution and colour of the three feature pairs, for the largest class."""
-    frame = _explained(spark, sf)
-    return AT.dependence(frame, KEYS, CLASSES.index("BB"), V.ALL_FEATURES)
+    table, fitted = _fitted(spark, sf)
+    largest = CLASSES.index(table.groupBy(TARGET).count().orderBy(F.desc("count"), TARGET).first()[0])
+    return AT.dependence(AT.attributions(table, fitted, [*KEYS, TARGET], F.lit(largest)), KEYS, largest, V.ALL_FEATURES)
 
 
 @query("waterfall_rows")
 def waterfall_rows(spark, sf):
     """All attributions of eight rows taken at even distances, for the predicted class."""
-    explained = _explained(spark, sf)
-    shown = FO.even_sample(explained.select(*KEYS).distinct(), KEYS)
-    own = explained.where(MO.class_name(F.col("class_index"), CLASSES) == F.col("predicted_category"))
-    return AT.long_form(own.join(shown, KEYS), [*KEYS, "position", "base"], CLASSES, V.ALL_FEATURES)
+    table, fitted = _fitted(spark, sf)
+    shown = table.join(FO.even_sample(table.select(*KEYS), KEYS), KEYS)  # the rows are chosen first, then explained
+    own = AT.attributions(shown, fitted, [*KEYS, TARGET, "position"], AT.predicted_index(fitted))
+    return AT.long_form(own, [*KEYS, "position", "base"], CLASSES, V.ALL_FEATURES)

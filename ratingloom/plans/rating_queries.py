@@ -162,6 +162,20 @@ def agency_unpivot(spark, sf):
     return longs(A.unpivot_agencies(_wide(spark, sf), KEYS), ["notch"])
 
 
+@query(
+    "unknown_letters",
+    with_roles(
+        ["rating_rows"],
+        "WITH " + _LONG_CTES + """
+SELECT ticker, fiscal_year, 'moodys' AS agency, 'Caa1' AS given, 'Caa1' AS rating FROM cells WHERE rn = 1 AND rating IS NOT NULL AND agency = 'Moodys' AND fiscal_year % 3 = 0""",
+    ),
+)
+def unknown_letters(spark, sf):
+    """Ratings whose letter the common scale lacks, which consensus and disagreement leave out."""
+    lowest = F.when(F.col("moodys").isNotNull() & (F.col("fiscal_year") % 3 == 0), "Caa1").otherwise(F.col("moodys"))
+    return A.unknown_letters(_wide(spark, sf).withColumn("moodys", lowest), KEYS)
+
+
 @query(
     "consensus_rating",
     with_roles(

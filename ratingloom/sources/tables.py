@@ -17,12 +17,13 @@ from ratingloom.operators.verdicts import records_as_jsonl
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header and a declared schema; bad cells and NaN become NULL.
 
-    Columns are matched by header name, so a file may have fewer or reordered
-    columns; those it lacks are NULL.
+    Columns are matched by header name, so the files may have fewer or reordered
+    columns; those they lack are NULL. All files of one path must have the same
+    header; reading fails at a file whose header is another.
     """
     header = spark.read.option("header", True).csv(path).columns
     text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = spark.read.schema(text).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").csv(path)
     cells = []
     for f in schema.fields:
         if f.name not in header:

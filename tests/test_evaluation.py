@@ -195,8 +195,11 @@ def test_attributions_add_up(training):
     gaps = [abs(r["base"] + sum(r["shap_values"]) - r["margin"]) for r in explained.collect()]
     assert len(gaps) == 720 and max(gaps) < 1e-9
     long = AT.long_form(explained, ["id"], ["a", "b", "c"], ["x0", "x1", "x2"])
-    ranked = [r["feature"] for r in AT.global_importance(long).orderBy("rank").collect()]
-    assert ranked[-1] == "x2"
+    means = {r["feature"]: r["mean_abs_shap"] for r in long.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap")).collect()}
+    ranked = AT.global_importance(AT.mean_magnitudes(training, fitted, ["x0", "x1", "x2"])).orderBy("rank").collect()
+    assert ranked[-1]["feature"] == "x2" and all(abs(r["mean_abs_shap"] - means[r["feature"]]) < 1e-12 for r in ranked)
+    own = AT.attributions(training, fitted, ["id", "name"], AT.predicted_index(fitted))
+    assert own.count() == 240 and own.where(MO.class_name(F.col("class_index"), ["a", "b", "c"]) != F.col("predicted_category")).count() == 0
     factors = AT.top_factors(explained, ["id"], ["a", "b", "c"], ["x0", "x1", "x2"])
     assert factors.count() == 240
     assert [r["id"] for r in AT.reported_factors(factors, ["id"]).collect()] == list(range(25))

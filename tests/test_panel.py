@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ratingloom import fixed_values as V
@@ -154,6 +155,13 @@ def test_csv_with_missing_and_bad_cells(spark, tmp_path):
     assert rows(P.clean_keys(got).select("ticker", "fiscal_year")) == [("1.SR", 2023)]
 
 
+def test_csv_files_with_another_header_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ticker,liquid,cumprof\n1.SR,1,2\n")
+    (tmp_path / "b.csv").write_text("ticker,cumprof,liquid\n2.SR,3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        ST.read_csv(spark, str(tmp_path), schemas.FINANCIALS).collect()
+
+
 def test_statement_documents(spark, tmp_path):
     (tmp_path / "a.json").write_text(
         '{\n "ticker": "1.SR", "balance_sheet": {"2023-06-30": {"Total Assets": 1.0}, "2023-12-31": {"Total Assets": NaN, "TotalAssets": 10.0,'
