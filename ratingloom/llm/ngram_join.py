@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from ratingloom.llm import textkernel as K
 from ratingloom.llm.components import connected
 from ratingloom.llm.registry import given, query
-from ratingloom.llm.scratch import Scratch
+from ratingloom.llm.scratch import Scratch, by_ids
 
 #: Bytes of text in a block; keys that one range adds up.
 BLOCK_BYTES, RANGE_KEYS = 3 << 20, 4 << 20
@@ -282,10 +282,13 @@ def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
     A repeated id stays once; rows without an id all stay.
     """
-    groups = linked(docs, width, percent)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id IS NULL")).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "first-of-each")
+    groups = scratch.write(linked(docs, width, percent).where("doc_id IS NOT NULL"), "groups")
+    others = scratch.write(groups.where("doc_id <> component_id").select("doc_id").distinct(), "others")
+    repeated = scratch.write(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    kept = by_ids(docs, others, "left_anti")
+    once = by_ids(kept, repeated, "left_semi").dropDuplicates(["doc_id"])
+    return by_ids(kept, repeated, "left_anti").union(once).select(*docs.columns)
 
 
 @query("op6_ngram_join")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ratingloom.session import remove_path, scratch_path
 
@@ -17,6 +18,15 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), dict(zip(df.columns, names, strict=True))
 
 
+#: Ids up to which a list of them is sent to every task (a few megabytes); beyond it Spark joins by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of documents with a stored list of ids; the texts are moved only for a long list."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 class Scratch:
     """One folder per run of an operator.
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.llm import textkernel as K
 from ratingloom.llm.registry import given, query
-from ratingloom.llm.scratch import Scratch
+from ratingloom.llm.scratch import Scratch, by_ids
 
 WIDTH, PERCENT, LITERALS = 5, 80, 2
 #: Bits of the filter.
@@ -178,8 +178,8 @@ def contaminated(
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no item."""
-    found = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = Scratch(docs.sparkSession, "cleaned").write(contaminated(docs, benchmark).select("doc_id").distinct(), "found")
+    return by_ids(docs, found, "left_anti").select(*docs.columns)
 
 
 @query("op5_template_decontamination")
