@@ -231,14 +231,9 @@ def class_weights(spark, sf):
     ),
 )
 def agency_scores(spark, sf):
-    rows = rated_panel(spark, sf).withColumn("rating_agency", F.trim("rating_agency"))
-    agencies = ["Tassnief", "Fitch", "Moodys", "SP", "Financial Analytics"]
-
-    def evaluate(part: DataFrame) -> DataFrame:
-        hit = (F.col("rating_category") == F.col("predicted_category")).cast("double")
-        return part.agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("rows"))
-
-    return rounded(MO.by_agency(rows, agencies, evaluate), ["accuracy"])
+    hit = (F.col("rating_category") == F.col("predicted_category")).cast("double")
+    rows = rated_panel(spark, sf).groupBy(F.trim("rating_agency").alias("rating_agency"))
+    return rounded(rows.agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("rows")), ["accuracy"])
 
 
 # --- neighbours -----------------------------------------------------------------------------

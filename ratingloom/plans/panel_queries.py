@@ -234,8 +234,9 @@ WHERE p.liquid IS NOT NULL AND p.cumprof IS NOT NULL AND p.profitab IS NOT NULL
     ),
 )
 def training_frame(spark, sf):
-    panel = R.panel(spark, sf)
-    fin = P.dedupe_by_agency(R.agency_financials(spark, sf), [F.col("rating_agency"), F.col("rating")])
+    facts = R.stored_facts(spark, sf)
+    panel = R.panel(spark, sf, facts)
+    fin = P.dedupe_by_agency(R.agency_financials(spark, sf, facts), [F.col("rating_agency"), F.col("rating")])
     news = news_on_panel(panel, aggregate_scores(R.articles(spark, sf)))
     out = P.training_frame(fin, news, panel).drop("rating_agency")
     return longs(rounded_news(rounded(out, V.RATIOS)), ["has_news_coverage", *V.FLAGS])
@@ -252,9 +253,10 @@ JOIN news n ON p.ticker = n.ticker AND p.fiscal_year = n.fiscal_year""",
     ),
 )
 def join_sources(spark, sf):
-    fin = P.dedupe_by_agency(R.agency_financials(spark, sf), [F.col("rating_agency"), F.col("rating")])
+    facts = R.stored_facts(spark, sf)
+    fin = P.dedupe_by_agency(R.agency_financials(spark, sf, facts), [F.col("rating_agency"), F.col("rating")])
     news = finalise_news(aggregate_scores(R.articles(spark, sf))).drop("has_news_coverage")
-    out = P.join_sources(fin, R.panel(spark, sf), news)
+    out = P.join_sources(fin, R.panel(spark, sf, facts), news)
     out = out.select(*KEYS, "rating", "rating_agency", "sector", "company_name", *V.RATIOS, *V.NEWS_FEATURES, *V.KAM_FIVE)
     return longs(rounded_news(rounded(out, V.RATIOS)), ["news_count", *V.KAM_FIVE])
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ratingloom import fixed_values as V
 from ratingloom.functions.ratings import notch_to_rating
 from ratingloom.functions.ratios import core_ratios_by_name
+from ratingloom.session import cut_lineage
 
 LINES = {
     "current_assets": "AF", "current_liabilities": "AO", "retained_earnings": "NF",
@@ -106,14 +107,13 @@ def key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     joined = orders.join(per_order, orders["o_orderkey"] == per_order["l_orderkey"])
     maxima = ["big_quantity", "high_tax", "high_discount", "small_quantity", "returned", "open_line"]
-    by_key = joined.groupBy("o_custkey", F.year("o_orderdate").alias("fiscal_year")).agg(
+    # grouped by the ticker itself, so joins on it need no further shuffle
+    return joined.groupBy(ticker_of(F.col("o_custkey")).alias("ticker"), F.year("o_orderdate").alias("fiscal_year")).agg(
         *[F.sum(n).alias(n) for n in LINES],
         *[F.max(n).alias(n) for n in maxima],
         F.sum("line_count").alias("line_count"),
         F.count(F.lit(1)).alias("order_count"),
     )
-    return by_key.select(ticker_of(F.col("o_custkey")).alias("ticker"), *by_key.columns[1:])
-
 
 def total_of_lines() -> Column:
     total = F.lit(0).cast("long")
@@ -166,9 +166,15 @@ def panel_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(names, "ticker").select("ticker", "fiscal_year", "company_name", F.col("_first.rating").alias("rating"))
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key facts as a table, for queries that need both statements and flags: line items are read once."""
+    return cut_lineage(key_facts(spark, sf_dir), "facts")
+
+
+def panel(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """The panel with its flags; keys without line items have none."""
-    return panel_names(spark, sf_dir).join(flags(spark, sf_dir), ["ticker", "fiscal_year"], "left")
+    own = flag_columns(facts if facts is not None else key_facts(spark, sf_dir))
+    return panel_names(spark, sf_dir).join(own, ["ticker", "fiscal_year"], "left")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,9 +194,10 @@ def articles_of(events: DataFrame) -> DataFrame:
     )
 
 
-def agency_financials(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agency_financials(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """Ratios of the key with every agency's rating of it, as the multi-agency table has them."""
-    ratios = with_ratios(statements(spark, sf_dir)).select("ticker", "fiscal_year", *V.RATIOS)
+    wide = statement_columns(facts if facts is not None else key_facts(spark, sf_dir))
+    ratios = with_ratios(wide).select("ticker", "fiscal_year", *V.RATIOS)
     rows = rating_rows(spark, sf_dir)
     target = F.when(F.col("status") == "P", F.lit(None)).otherwise((F.col("amount") < 150000).cast("int"))
     return rows.join(ratios, ["ticker", "fiscal_year"], "left").withColumn("binary_target", target)

@@ -23,6 +23,8 @@ def build_session(app_name: str = "ratingloom", master: str | None = None, **con
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # longer generated methods are not compiled by the JIT and would be interpreted row by row
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)
