@@ -136,12 +136,19 @@ def class_report(spark, sf):
     return rounded(M.class_report(rated_panel(spark, sf)), ["precision", "recall", "f1"])
 
 
-_FOLD_SCORES = (
-    f"folded AS (SELECT *, {FOLD_SQL} AS fold FROM predicted), "
-    + _REPORT.format(by="fold,", src="folded")
-    + ", fs AS (SELECT fold, sum(recall * support) / sum(support) AS accuracy, avg(f1) AS f1_macro, sum(f1 * support) / sum(support) AS f1_weighted FROM rep GROUP BY 1)"
-)
+
+
+def fold_scores_sql(source: str) -> str:
+    """Scores per fold (fs) of a source with fold, rating_category and predicted_category."""
+    return _REPORT.format(by="fold,", src=source) + (
+        ", fs AS (SELECT fold, sum(recall * support) / sum(support) AS accuracy, avg(f1) AS f1_macro, sum(f1 * support) / sum(support) AS f1_weighted FROM rep GROUP BY 1)"
+    )
+
+
+_FOLD_SCORES = f"folded AS (SELECT *, {FOLD_SQL} AS fold FROM predicted), " + fold_scores_sql("folded")
 _METRICS = ["accuracy", "f1_macro", "f1_weighted"]
+SUMMARY_SQL = ", ".join(f"{r6(f'avg({m})', m + '_mean')}, {r6(f'stddev_pop({m})', m + '_std')}" for m in _METRICS)
+SUMMARY_COLUMNS = [f"{m}_{s}" for m in _METRICS for s in ("mean", "std")]
 
 
 def _folded(spark, sf):
@@ -157,12 +164,12 @@ def fold_scores(spark, sf):
     "fold_summary",
     with_roles(
         ["predicted"],
-        f"WITH {_FOLD_SCORES} SELECT 'panel' AS model, " + ", ".join(f"{r6(f'avg({m})', m + '_mean')}, {r6(f'stddev_pop({m})', m + '_std')}" for m in _METRICS) + " FROM fs",
+        f"WITH {_FOLD_SCORES} SELECT 'panel' AS model, {SUMMARY_SQL} FROM fs",
     ),
 )
 def fold_summary(spark, sf):
     scores = MO.fold_scores(_folded(spark, sf), "rating_category", model="panel")
-    return rounded(M.fold_summary(scores, ["model"]), [f"{m}_{s}" for m in _METRICS for s in ("mean", "std")])
+    return rounded(M.fold_summary(scores, ["model"]), SUMMARY_COLUMNS)
 
 
 @query(

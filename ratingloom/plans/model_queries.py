@@ -17,7 +17,7 @@ from ratingloom.operators import neighbours as NB
 from ratingloom.operators.panel import KEYS, drop_null_ratios, fill_features
 from ratingloom.plans import roles as R
 from ratingloom.plans.common import longs, rounded
-from ratingloom.plans.evaluation_queries import FOLD_SQL
+from ratingloom.plans.evaluation_queries import FOLD_SQL, SUMMARY_COLUMNS, SUMMARY_SQL, fold_scores_sql
 from ratingloom.plans.panel_queries import panel_frame
 from ratingloom.plans.registry import query
 from ratingloom.plans.roles import with_roles
@@ -99,11 +99,28 @@ def model_benchmark(spark, sf):
     return MO.benchmark(table, models, TARGET, features, CLASSES, folds, {"Nearest Neighbours": neighbours})
 
 
-@query("naive_bayes")
+_FEATURE_SQL = ", ".join(
+    f"CAST({c} AS DOUBLE)" for c in [*[f"p.{r}" for r in V.RATIOS], *[f"coalesce(f.{c}, 0)" for c in V.FLAGS], *[f"coalesce(p.{c}, 0)" for c in V.NEWS_FEATURES]]
+)
+_BAYES_SQL = f"""WITH folded AS (SELECT p.ticker, p.fiscal_year, p.rating_category, {FOLD_SQL.replace("ticker", "p.ticker").replace("fiscal_year", "p.fiscal_year")} AS fold, [{_FEATURE_SQL}] AS x
+  FROM predicted p JOIN flags f ON p.ticker = f.ticker AND p.fiscal_year = f.fiscal_year),
+tall AS (SELECT ticker, fiscal_year, rating_category, fold, unnest(range(1, len(x) + 1)) AS j, unnest(x) AS v FROM folded),
+train AS (SELECT k.fold AS test, t.rating_category AS c, t.j, count(*) AS n, sum(t.v) AS s, sum(t.v * t.v) AS q FROM (SELECT DISTINCT fold FROM folded) k JOIN tall t ON t.fold <> k.fold GROUP BY ALL),
+least_var AS (SELECT test, 1e-9 * max(q / n - s / n * s / n) AS e FROM (SELECT test, j, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM train GROUP BY ALL) GROUP BY 1),
+shape AS (SELECT test, c, j, s / n AS m, e + q / n - s / n * s / n AS v FROM train JOIN least_var USING (test)),
+prior AS (SELECT test, c, ln(n) - ln(sum(n) OVER (PARTITION BY test)) AS p FROM (SELECT DISTINCT test, c, n FROM train)),
+score AS (SELECT t.ticker, t.fiscal_year, t.fold, t.rating_category, g.c, any_value(r.p) - sum(ln(2 * pi() * g.v) / 2 + (t.v - g.m) * (t.v - g.m) / (2 * g.v)) AS ll
+  FROM tall t JOIN shape g ON g.test = t.fold AND g.j = t.j JOIN prior r ON r.test = t.fold AND r.c = g.c GROUP BY ALL),
+guess AS (SELECT ticker, fiscal_year, fold, rating_category, arg_max(c, ll) AS predicted_category FROM score GROUP BY ALL),
+{fold_scores_sql("guess")}
+SELECT 'Naive Bayes' AS model, {SUMMARY_SQL} FROM fs"""
+
+
+@query("naive_bayes", with_roles(["predicted", "flags"], _BAYES_SQL))
 def naive_bayes(spark, sf):
     table = _training(model_frame(spark, sf))
     out = MO.out_of_fold(table, MO.naive_bayes(), _folds(table), len(V.ALL_FEATURES), CLASSES)
-    return M.fold_summary(MO.fold_scores(out, TARGET, model="Naive Bayes"), ["model"])
+    return rounded(M.fold_summary(MO.fold_scores(out, TARGET, model="Naive Bayes"), ["model"]), SUMMARY_COLUMNS)
 
 
 @query("grouped_out_of_fold")
