@@ -183,7 +183,26 @@ def redacted(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     return out.select(*name.values()).toDF(*docs.columns)
 
 
-@query("op7_secret_ledger")
+def _oracle() -> str:
+    quoted = lambda r: r.pattern.replace("'", "''")
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, '{quoted(r)}') AS p, regexp_extract_all(t, '{quoted(r)}', 0) AS w, "
+        f"regexp_extract_all(t, '{quoted(r)}', {r.group}) AS g FROM d"
+        for k, r in enumerate(RULES)
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    written = "string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), r AS ({found}),
+u AS (SELECT doc_id, k, kind, least, p, w, g, unnest(range(1, len(w) + 1)) AS i FROM r),
+s AS (SELECT doc_id, k, kind, length(w[i]) AS n, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM u WHERE length(g[i]) >= least),
+c AS (SELECT doc_id, {counts}, {written} FILTER (k < {len(BASE)}) AS base, {written} AS spans FROM s GROUP BY 1)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN c USING (doc_id)"""
+
+
+@query("op7_secret_ledger", _oracle())
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = given(spark, sf_dir, "documents"), Scratch(spark, "op7")
     paths = scratch.write(paths_of(docs), "paths")
