@@ -35,8 +35,8 @@ SAMPLE_ROWS = 8_000
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: A feature is kept if at least so many toxic documents have it, and so many standard deviations more than expected.
 LEAST_DOCUMENTS, LEAST_SURPRISE = 4, 4.0
-#: A weight must save about `LASSO` documents' worth of loss to leave zero.
-LASSO, STEPS, RATE = 1.0, 300, 0.3
+#: A weight must save about `LASSO` documents' worth of loss to leave zero; steps with that penalty, and then without it.
+LASSO, STEPS, RATE = 0.3, (300, 200), 0.3
 _STOPS = K.classes(b".!?\n")
 _FILTER_BITS = 1 << 20
 
@@ -152,8 +152,8 @@ def fitted(texts: pa.Array, label: np.ndarray) -> Model:
     """Sparse weights that maximise the likelihood of the document labels under the noisy-or.
 
     The absolute penalty leaves features at zero that explain only a few documents
-    or that another one explains better. Steps are scaled per weight (Adam), each
-    followed by the shrinkage of its own scale.
+    or that another one explains better; the others are then fitted on without it.
+    Steps are scaled per weight (Adam), and so is the shrinkage.
     """
     none = np.zeros(0, np.uint64)
     if len(np.unique(label)) < 2:
@@ -170,20 +170,21 @@ def fitted(texts: pa.Array, label: np.ndarray) -> Model:
     feature, sentence, text = np.concatenate(features), np.concatenate(places), np.concatenate(texts_of)
     n = len(label)
     w, bias = np.zeros(len(names)), float(np.log(label.mean() / max(count / n, 1)))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, STEPS + 1):
-        z = np.clip(bias + np.bincount(sentence, weights=w[feature], minlength=count), -60, 60)
-        total = np.clip(np.bincount(text, weights=np.logaddexp(0, z), minlength=n), 1e-12, 500)
-        slope = np.where(label > 0.5, -1 / np.expm1(total), 1.0) / n  # of the loss by the sum of a document
-        gz = slope[text] / (1 + np.exp(-z))
-        g, gb = np.bincount(feature, weights=gz[sentence], minlength=len(w)), float(gz.sum())
-        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        a, b = 1 - 0.9**t, 1 - 0.99**t
-        rate = RATE * min(1.0, 2.0 * (1 - t / (STEPS + 1)))
-        scale = rate / (np.sqrt(v / b) + 1e-2 / n)
-        w -= scale * m / a
-        w = np.maximum(w - scale * LASSO / n, 0)
-        bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-9)
+    for steps, penalty in zip(STEPS, (LASSO, 0.0), strict=True):
+        free = (w > 0) | (penalty > 0)  # without the penalty only chosen features move on
+        m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+        for t in range(1, steps + 1):
+            z = np.clip(bias + np.bincount(sentence, weights=w[feature], minlength=count), -60, 60)
+            total = np.clip(np.bincount(text, weights=np.logaddexp(0, z), minlength=n), 1e-12, 500)
+            slope = np.where(label > 0.5, -1 / np.expm1(total), 1.0) / n  # of the loss by the sum of a document
+            gz = slope[text] / (1 + np.exp(-z))
+            g, gb = np.bincount(feature, weights=gz[sentence], minlength=len(w)) * free, float(gz.sum())
+            m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+            a, b = 1 - 0.9**t, 1 - 0.99**t
+            rate = RATE * min(1.0, 2.0 * (1 - t / (steps + 1)))
+            scale = rate / (np.sqrt(v / b) + 1e-2 / n)
+            w = np.maximum(w - scale * (m / a + penalty / n), 0)
+            bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-9)
     return Model(names[w != 0], w[w != 0], bias)
 
 
