@@ -127,7 +127,7 @@ def test_held_out_accuracy(spark):
 def test_offending_sentences_are_found(spark):
     plain = "We met at noon. The weather was fine! Nobody said a word\nThen we left."
     bad = "We met at noon. You are a blargh person! Then we left."
-    docs = [(i, (bad if i % 5 == 0 else plain) + f" Number{i % 7}.") for i in range(200)]
+    docs = [(i, (bad if i % 5 == 0 else plain) + f" Number {i}.") for i in range(200)]  # no two alike: copies count once
     df = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
     model = toxic_sentences.train(df, labels)
