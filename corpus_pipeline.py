@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ratingloom.llm import byte_bpe, hierarchical_quality, ngram_join, secret_ledger, template_decontamination
-from ratingloom.llm.registry import given
+from ratingloom.llm.registry import given, prepare
 from ratingloom.llm.scratch import Scratch
-from ratingloom.session import ship_package
 
 #: Some stages are models and graph searches, which SQL cannot express.
 ORACLE_SQL = None
@@ -19,31 +18,31 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of at least even odds to be good, by their text and their site."""
-    ship_package(spark)
+    prepare(spark)
     return hierarchical_quality.kept(docs, given(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word n-grams at a Jaccard similarity of 0.8 or more."""
-    ship_package(spark)
+    prepare(spark)
     return ngram_join.first_of_each(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, also not one with other numbers or names."""
-    ship_package(spark)
+    prepare(spark)
     return template_decontamination.cleaned(docs, given(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with each secret in its text replaced by its kind."""
-    ship_package(spark)
+    prepare(spark)
     return secret_ledger.redacted(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and n_tokens of every document."""
-    ship_package(spark)
+    prepare(spark)
     return byte_bpe.encode(docs)
 
 
