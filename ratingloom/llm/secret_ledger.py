@@ -33,7 +33,8 @@ from ratingloom.llm.scratch import Scratch, numbered
 class Rule:
     """A pattern; matches whose `group` is shorter than `least` code points are dropped.
 
-    `hint` is a text that every match contains, if there is one.
+    `hint` is a text that every match contains, if there is one. `whole` is searched
+    instead of `pattern` where the secret goes on beyond what the SQL states.
     """
 
     kind: str
@@ -41,10 +42,15 @@ class Rule:
     least: int
     group: int = 0
     hint: str = ""
+    whole: str = ""
+
+    @property
+    def searched(self) -> str:
+        return self.whole or self.pattern
 
     @property
     def version(self) -> str:
-        return f"{self.kind}-{hashlib.sha256(f'{self.pattern} {self.least} {self.group}'.encode()).hexdigest()[:12]}"
+        return f"{self.kind}-{hashlib.sha256(f'{self.searched} {self.least} {self.group}'.encode()).hexdigest()[:12]}"
 
 
 #: The three base kinds, in the order in which equal starts are listed.
@@ -53,11 +59,20 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 20, hint="AKIA"),
     Rule("hex", r"[0-9a-f]{24,}", 24),  # the runs of [0-9a-f]+ that are long enough
 )
+_BEGIN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: Up to the END line with no other marker between; without one, over the header lines and the runs and lines of base64
+#: that follow, also where line ends are written as escapes. Possessive, so long bodies need no deep stack.
+_BODY = (
+    r"(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+)*+"
+    r"""(?:(?:[\s"',;>#*|]|\\[nrt])*+[A-Za-z0-9+/]{16,}+={0,2}+"""
+    r"""|[ \t"']*+(?:\r?\n|(?:\\r)?\\n)[ \t"'>#*|]*+[A-Za-z0-9+/]++={0,2}+(?=[ \t]*+(?:[\r\n"']|\\[nr]|\z)))*+)"""
+)
 #: Kinds this method adds.
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, hint="PRIVATE KEY-----"),
+    Rule("pem", _BEGIN, 1, hint="PRIVATE KEY-----", whole=_BEGIN + _BODY),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1, hint="eyJ"),
-    Rule("login", r"[a-z][a-z0-9+]{1,20}://[^\s:/@]{1,80}:[^\s:/@]{3,80}@[A-Za-z0-9.-]+", 1, hint="://"),
+    Rule("login", r"[a-z][a-z0-9+]{1,20}://[^\s:/@]{1,80}:[^\s:/@]{3,80}@[A-Za-z0-9.-]+", 1, hint="://", whole=r"[a-z][a-z0-9+]{1,20}://[^\s:/@]+:[^\s:/@]{3,}@[A-Za-z0-9.-]+"),
 )
 RULES = BASE + ADDED
 
@@ -71,8 +86,8 @@ def address(text: Column) -> Column:
 
 def _matches(rule: Rule, rank: int, text: Column, versions: Column) -> Column:
     """Of each match: kind, its number, and the lengths of the piece before it, the match and its group."""
-    pattern = F.lit(rule.pattern)
-    pieces, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    pattern = F.lit(rule.searched)
+    pieces, whole = F.split(text, rule.searched, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     group = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
     each = F.transform(
         F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("p"), whole.alias("w"), group.alias("g")),
@@ -81,7 +96,7 @@ def _matches(rule: Rule, rank: int, text: Column, versions: Column) -> Column:
             (F.length(m["g"]) >= rule.least).alias("kept"),
         ),
     )
-    found = text.contains(rule.hint) & text.rlike(rule.pattern) if rule.hint else text.rlike(rule.pattern)
+    found = text.contains(rule.hint) & text.rlike(rule.searched) if rule.hint else text.rlike(rule.searched)
     return F.when(F.array_contains(versions, rule.version) & found, each)
 
 
