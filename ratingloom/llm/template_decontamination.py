@@ -14,8 +14,15 @@ names has the same template. Every five consecutive tokens are a window.
    alignment with most matches, each value of the item stands for one value of
    the document throughout.
 
-Windows with fewer than two literal tokens say nothing and do not count. Items
-without a window that counts cannot be recognised and take no part.
+Windows with fewer than two literal tokens say nothing and do not count. A
+capitalised word that begins a sentence of an item may follow other words in a
+document, where it reads as a name; windows of items are indexed under both
+readings, and under the second one the word has to be the same.
+
+Items of which all windows are needed (few or none count) are also found by their
+whole token sequence, case aside: there every character of three or more bytes is
+a token of its own, so items in scripts without spaces take part. A sequence is
+sent on by a filter like the windows are, and joined by its length and hash.
 
 Defined results: NULL and short texts hold nothing; repeated rows with one id are
 one document; rows without an id are not judged (and stay when a corpus is
@@ -25,7 +32,7 @@ the id and the text are not read; empty tables give an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,21 +71,27 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def templates(s: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the tokens of a slice: template hash, value hash, whether a placeholder, the text they are in."""
+def _numbers(s: K.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the numbers of a slice that has digits."""
+    first, last = K.runs(_DIGITS[s.data], s.bounds)
+    joined = np.zeros(len(first), bool)  # 1,000 and 3.14 are one number
+    if len(first) > 1:
+        gap = first[1:] - last[:-1] == 1
+        between = s.data[last[:-1]]
+        joined[1:] = gap & ((between == 0x2C) | (between == 0x2E)) & (K.text_of(s, first[1:]) == K.text_of(s, first[:-1]))
+    keep = np.flatnonzero(~joined)
+    first, last = first[keep], last[np.append(keep[1:] - 1, len(last) - 1)]
+    return first, last
+
+
+def templates(s: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens of a slice: template hash, value hash, whether a placeholder, the text they are in, whether elsewhere a name."""
     data = s.data
     letter, digit = _LETTERS[data], _DIGITS[data]
     start, end = K.runs(letter, s.bounds)
     number = np.zeros(len(start), bool)
     if digit.any():
-        first, last = K.runs(digit, s.bounds)
-        joined = np.zeros(len(first), bool)  # 1,000 and 3.14 are one number
-        if len(first) > 1:
-            gap = first[1:] - last[:-1] == 1
-            between = data[last[:-1]]
-            joined[1:] = gap & ((between == 0x2C) | (between == 0x2E)) & (K.text_of(s, first[1:]) == K.text_of(s, first[:-1]))
-        keep = np.flatnonzero(~joined)
-        first, last = first[keep], last[np.append(keep[1:] - 1, len(last) - 1)]
+        first, last = _numbers(s)
         order = np.argsort(np.concatenate((start, first)), kind="stable")
         number = np.concatenate((number, np.ones(len(first), bool)))[order]
         start, end = np.concatenate((start, first))[order], np.concatenate((end, last))[order]
@@ -97,7 +110,9 @@ def templates(s: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     stops = np.flatnonzero(_STOPS[data])
     names = inner[np.searchsorted(stops, end[inner - 1]) == np.searchsorted(stops, start[inner])]
     template[names], slot[names] = _NAME, True
-    return template, value, slot, text
+    either = np.zeros(len(start), bool)
+    either[capital] = True
+    return template, value, slot, text, either & ~slot
 
 
 def windows_of(docs: DataFrame, id_col: str, text_col: str, bits: bytes | None = None) -> DataFrame:
@@ -110,7 +125,7 @@ def windows_of(docs: DataFrame, id_col: str, text_col: str, bits: bytes | None =
         table = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").astype(bool) if shared is not None else None
         for batch in batches:
             for s in K.slices(batch.column(1)):
-                template, value, slot, text = templates(s)
+                template, value, slot, text, _ = templates(s)
                 at, h = K.windows(template, text, width)
                 if table is not None and len(at):
                     chosen = table[(h & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
@@ -133,6 +148,143 @@ def windows_of(docs: DataFrame, id_col: str, text_col: str, bits: bytes | None =
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, hash bigint, pos int, slots array<bigint>")
 
 
+ITEM_FIELDS = "base bigint, hash bigint, item_pos int, item_slots array<bigint>, item_fixed array<boolean>"
+
+
+def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """item_id, base, hash, item_pos, item_slots, item_fixed of every window that counts, under each reading.
+
+    base is the hash under the item's own reading; a fixed slot has to hold the item's word.
+    """
+    width = WIDTH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in K.slices(batch.column(1)):
+                template, value, slot, text, either = templates(s)
+                at, base = K.windows(template, text, width)
+                if len(at) == 0:
+                    continue
+                begins = np.searchsorted(text, np.arange(s.count))
+                inside = at[:, None] + np.arange(width)
+                counts = width - slot[inside].sum(axis=1) >= LITERALS
+                for flags in range(1 << width):  # which words of the window read as names instead
+                    read = np.array([flags >> k & 1 for k in range(width)], bool)
+                    chosen = np.flatnonzero((either[inside] | ~read).all(axis=1) & counts)
+                    if len(chosen) == 0:
+                        continue
+                    w, of = inside[chosen], text[at[chosen]]
+                    _, h = K.windows(np.where(read, _NAME, template[w]).ravel(), np.repeat(np.arange(len(w)), width), width)
+                    held = slot[w] | read
+                    bounds = pa.array(np.concatenate(([0], np.cumsum(held.sum(axis=1)))).astype(np.int32))
+                    slots = pa.ListArray.from_arrays(bounds, pa.array(value[w][held].view(np.int64)))
+                    fixed = pa.ListArray.from_arrays(bounds, pa.array(np.broadcast_to(read, held.shape)[held]))
+                    arrays = [pa.array(base[chosen].view(np.int64)), pa.array(h.view(np.int64)), pa.array((at[chosen] - begins[of]).astype(np.int32)), slots, fixed]
+                    names = ["item_id", "base", "hash", "item_pos", "item_slots", "item_fixed"]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(s.first + of)), *arrays], names=names)
+
+    kind = benchmark.schema[id_col].dataType.simpleString()
+    return benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"item_id {kind}, {ITEM_FIELDS}")
+
+
+#: Longest sequence that is looked up at every position; longer ones only where their beginning is found.
+BEGINNING = 8
+#: Lead bytes of characters of three or more bytes, and the two bytes that begin U+2000 to U+207F (spaces, dashes, quotes).
+_LONG, _INNER = K.classes(bytes(range(0xE0, 0xF8))), K.classes(bytes(range(0x80, 0xC0)))
+_TWO_BYTES = K.classes(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xE0)]))
+
+
+def plain_tokens(s: K.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Value hash and text of each run of letters, number, and character of three or more bytes."""
+    data = s.data
+    lead = np.flatnonzero(_LONG[data])
+    size = np.where(data[lead] >= 0xF0, 4, 3)
+    wide = np.zeros(len(data) + 4, bool)
+    for k in range(4):
+        wide[lead[size > k] + k] = True
+    wide = wide[: len(data)]
+    last = max(len(data) - 1, 0)
+    mark = (data[lead] == 0xE2) & np.isin(data[np.minimum(lead + 1, last)], (0x80, 0x81))
+    begin, stop = [lead[~mark]], [(lead + size)[~mark]]
+    for inside, found in (((_TWO_BYTES[data] | _INNER[data]) & ~wide, lambda flags: K.runs(flags, s.bounds)), (_DIGITS[data], lambda _: _numbers(s))):
+        if inside.any():
+            first, end = found(inside)
+            begin.append(first)
+            stop.append(end)
+    start, end = np.concatenate(begin), np.concatenate(stop)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    return K.span_hashes(data, start, end), K.text_of(s, start)
+
+
+def sequence_hashes(value: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    """A function of positions and a length: the hash of so many tokens from each position on."""
+    n = len(value)
+    up, down = K.powers(n + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * up[:n], dtype=np.uint64)))
+    return lambda at, size: K.mix((sums[at + size] - sums[at]) * down[at] + np.uint64(size))
+
+
+def whole_sequences(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """item_id, size, hash, beginning of every text that has a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in K.slices(batch.column(1)):
+                value, text = plain_tokens(s)
+                of, hashes = np.arange(s.count), sequence_hashes(value)
+                begins, ends = np.searchsorted(text, of), np.searchsorted(text, of, side="right")
+                rows = np.flatnonzero(ends > begins)
+                at, size = begins[rows], (ends - begins)[rows]
+                first = np.array([hashes(at[k : k + 1], min(int(size[k]), BEGINNING))[0] for k in range(len(rows))], np.uint64)
+                whole = np.array([hashes(at[k : k + 1], int(size[k]))[0] for k in range(len(rows))], np.uint64)
+                ids = batch.column(0).take(pa.array(s.first + rows))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(first.view(np.int64))], names=["item_id", "size", "hash", "beginning"])
+
+    kind = items.schema[id_col].dataType.simpleString()
+    return items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"item_id {kind}, size int, hash bigint, beginning bigint")
+
+
+def sequences_of(docs: DataFrame, sizes: list[int], beginnings: bytes, bits: bytes, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, size, hash of the token sequences of the given sizes whose bits are set, each once a slice and text."""
+    shared = docs.sparkSession.sparkContext.broadcast((sizes, beginnings, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, whole = (np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little").astype(bool) for b in shared.value[1:])
+        low = np.uint64(FILTER_BITS - 1)
+        for batch in batches:
+            for s in K.slices(batch.column(1)):
+                value, text = plain_tokens(s)
+                hashes, ends = sequence_hashes(value), np.searchsorted(text, np.arange(s.count), side="right")
+                left = ends[text] - np.arange(len(text))  # tokens to the end of the text
+                long = np.flatnonzero(left >= BEGINNING)
+                long = long[first[(hashes(long, BEGINNING) & low).astype(np.int64)]]
+                for size in shared.value[0]:
+                    at = np.flatnonzero(left >= size) if size < BEGINNING else long[left[long] >= size]
+                    h = hashes(at, size)
+                    chosen = whole[(h & low).astype(np.int64)]
+                    if not chosen.any():
+                        continue
+                    found = np.unique(np.stack((text[at[chosen]].astype(np.uint64), h[chosen])), axis=1)
+                    ids = batch.column(0).take(pa.array(s.first + found[0].astype(np.int64)))
+                    sized = pa.array(np.full(found.shape[1], size, np.int32))
+                    yield pa.RecordBatch.from_arrays([ids, sized, pa.array(np.ascontiguousarray(found[1]).view(np.int64))], names=["doc_id", "size", "hash"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, size int, hash bigint")
+
+
+def copies(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame | None:
+    """doc_id and item_id of every document that has an item's whole token sequence; None if no item has tokens."""
+    wanted = scratch.write(whole_sequences(items, item_col, item_text_col).distinct(), "sequences")
+    sizes = sorted(r["size"] for r in wanted.select("size").distinct().toLocalIterator())  # as many as there are lengths
+    if not sizes:
+        return None
+    beginnings = filter_bits(wanted.where(F.col("size") >= BEGINNING).select(F.col("beginning").alias("hash")))
+    found = sequences_of(docs, sizes, beginnings, filter_bits(wanted), id_col, text_col).where("doc_id IS NOT NULL")
+    return found.join(wanted.select("item_id", "size", "hash"), ["size", "hash"]).select("doc_id", "item_id").distinct()
+
+
 def filter_bits(windows: DataFrame) -> bytes:
     """A bit for the lower bits of every window's hash; the driver gets at most FILTER_BITS bits."""
     bit = F.col("hash").bitwiseAND(FILTER_BITS - 1)
@@ -149,31 +301,45 @@ def contaminated(
     """doc_id, item_id, n_windows, n_matched, n_slots, n_changed of every document that holds an item."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "templates")
-    items = windows_of(benchmark, item_col, item_text_col).select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    items = scratch.write(items.dropDuplicates(["item_id", "item_pos"]), "items")
-    distinct = items.select("item_id", "hash").distinct()
-    held_by = distinct.groupBy("hash").agg(F.count("*").alias("items"))
-    ranked = distinct.join(held_by, "hash").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("items", "hash")))
-    total = distinct.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    items = scratch.write(item_windows(benchmark, item_col, item_text_col).dropDuplicates(["item_id", "item_pos", "hash"]), "items")
+    distinct = items.select("item_id", "base").distinct()
+    held_by = distinct.groupBy("base").agg(F.count("*").alias("items"))
+    ranked = distinct.join(held_by, "base").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("items", "base")))
+    total = scratch.write(distinct.groupBy("item_id").agg(F.count("*").alias("n_windows")), "total")
     needed = F.ceil(F.col("n_windows") * percent / 100)
-    finders = ranked.join(total, "item_id").where(F.col("rank") <= F.col("n_windows") - needed + 1).select("item_id", "hash")
+    rare = ranked.join(total, "item_id").where(F.col("rank") <= F.col("n_windows") - needed + 1).select("item_id", "base")
+    finders = items.join(rare, ["item_id", "base"]).select("item_id", "hash").distinct()
 
     hits = windows_of(docs, id_col, text_col, filter_bits(items)).withColumnRenamed("id", "doc_id")
-    hits = scratch.write(hits.where("doc_id IS NOT NULL").join(held_by.select("hash"), "hash", "left_semi"), "hits")
+    hits = scratch.write(hits.where("doc_id IS NOT NULL").join(items.select("hash").distinct(), "hash", "left_semi"), "hits")
     candidates = hits.select("doc_id", "hash").distinct().join(finders, "hash").select("doc_id", "item_id").distinct()
-    both = hits.join(candidates.join(items, "item_id"), ["doc_id", "hash"])
-    per_window = both.select("doc_id", "item_id", "hash").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"))
+    same = ~F.exists(F.arrays_zip("item_fixed", "item_slots", "slots"), lambda v: v["item_fixed"] & (v["item_slots"] != v["slots"]))
+    both = hits.join(candidates.join(items, "item_id"), ["doc_id", "hash"]).where(same)
+    per_window = both.select("doc_id", "item_id", "base").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"))
     enough = scratch.write(per_window.join(total, "item_id").where(F.col("n_matched") >= needed), "enough")
 
     # the alignment of a pair with most windows, and what its slots hold
     placed = both.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     per_shift = placed.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("k"))
     best = per_shift.groupBy("doc_id", "item_id").agg(F.min_by("shift", F.struct(-F.col("k"), F.col("shift"))).alias("shift"))
-    values = placed.join(best, ["doc_id", "item_id", "shift"]).select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("v")).select("doc_id", "item_id", "v.*").distinct()
+    values = placed.join(best, ["doc_id", "item_id", "shift"]).select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "slots", "item_fixed")).alias("v")).where("NOT v.item_fixed").select("doc_id", "item_id", "v.item_slots", "v.slots").distinct()
     stands = values.groupBy("doc_id", "item_id", "item_slots").agg(F.count("*").alias("k"), F.max((F.col("item_slots") != F.col("slots")).cast("int")).alias("changed"))
     slots = stands.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.sum("changed").alias("n_changed"), F.max("k").alias("most"))
     judged = enough.join(slots, ["doc_id", "item_id"], "left").where("coalesce(most, 1) = 1")
-    return judged.select("doc_id", "item_id", "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+    by_windows = judged.select("doc_id", "item_id", "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+
+    # items of which no window may be missing: whole copies, which have all windows and slots unchanged
+    many = total.where(needed < F.col("n_windows")).select(F.col("item_id").alias(item_col))
+    few = benchmark.select(item_col, item_text_col).where(F.col(item_col).isNotNull()).join(many, item_col, "left_anti")
+    copied = copies(docs, few, scratch, id_col, text_col, item_col, item_text_col)
+    if copied is None:
+        return by_windows
+    by_windows = scratch.write(by_windows, "by_windows")
+    held = items.select("item_id", F.explode(F.arrays_zip("item_slots", "item_fixed")).alias("v")).where("NOT v.item_fixed").groupBy("item_id").agg(F.countDistinct("v.item_slots").alias("n_slots"))
+    rest = copied.join(by_windows.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti").join(total, "item_id", "left").join(held, "item_id", "left")
+    none = F.lit(0).cast("bigint")
+    counted = F.coalesce("n_windows", none)
+    return by_windows.unionByName(rest.select("doc_id", "item_id", counted.alias("n_windows"), counted.alias("n_matched"), F.coalesce("n_slots", none).alias("n_slots"), none.alias("n_changed")))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
