@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 from ratingloom.llm import (  # noqa: F401
-    byte_bpe, hierarchical_quality, language_id, license_inheritance, mtree_search, ngram_join, secret_ledger, template_decontamination, token_files, toxic_sentences,
+    byte_bpe, four_russians, hierarchical_quality, imatch, language_id, license_inheritance, mtree_search, ngram_join, presence_masks, secret_ledger, template_decontamination,
+    token_files, toxic_sentences,
 )
 from ratingloom.llm.registry import ORACLES, QUERIES, query
 

@@ -94,3 +94,46 @@ def holds(text, item, width=5, percent=80):
     own = {tuple(w[k : k + width]) for w in [cut(item)] for k in range(len(w) - width + 1)}
     there = {tuple(w[k : k + width]) for w in [cut(text)] for k in range(len(w) - width + 1)}
     return bool(own) and 100 * len(own & there) >= percent * len(own)
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k):
+    """[(item, rank, id, score, matched)] by scoring every document for every item."""
+    named = [(i, Counter(TERM.findall(lowered(t)))) for i, t in docs if i is not None]
+    full = [(i, c) for i, c in named if c]
+    total, n_docs = sum(sum(c.values()) for _, c in full), len(full)
+    held = Counter(t for _, c in full for t in c)
+    wanted, out = {}, []
+    for i, t in items:
+        if i is not None:
+            wanted.setdefault(i, set()).update(TERM.findall(lowered(t)))
+    for item, terms in wanted.items():
+        rows = []
+        for i, c in full:
+            m = 10 + 90 * sum(c.values()) * n_docs // total
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * held[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in terms & set(c))
+            if score > 0:
+                rows.append((-score, i, -len(terms & set(c))))
+        out += [(item, rank + 1, i, -s, -m) for rank, (s, i, m) in enumerate(sorted(rows)[:k])]
+    return sorted(out)
+
+
+def _clamped(n):
+    return min(max(n, -(2**63)), 2**63 - 1)
+
+
+def mined(rows, is_anchor, n_positives, n_negatives):
+    """[(anchor, positive, rank, negative, positive score, negative score)] over whole-number vectors (id, label, values)."""
+    anchors, out = {}, []
+    for i, label, v in rows:
+        if is_anchor(i):
+            anchors[i] = min(anchors.get(i, (label, v)), (label, v))
+    for a, (label, v) in anchors.items():
+        scored = [(-_clamped(sum(x * y for x, y in zip(v, w))), i, other) for i, other, w in rows if i != a]
+        positives = sorted((s, i) for s, i, other in scored if other == label)[:n_positives]
+        for s, p in positives:
+            negatives = sorted((t, i) for t, i, other in scored if other != label and 30 * -s <= 100 * -t <= 90 * -s)[:n_negatives]
+            out += [(a, p, rank + 1, i, -s, -t) for rank, (t, i) in enumerate(negatives)]
+    return sorted(out)
