@@ -7,54 +7,14 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingloom import fixed_values as V
-from ratingloom.operators.models import Fitted, class_name
+from ratingloom.operators.boosting import Boosted, Leaf
+from ratingloom.operators.models import class_name
 from ratingloom.operators.profiles import with_descriptions
-from ratingloom.session import scratch_path
-
-# A leaf: its weighted value and, per feature on its path, (feature, low, high, share),
-# where the row follows the path if low < x <= high and `share` of the training
-# rows at the path's splits on this feature do.
-Leaf = tuple[float, list[tuple[int, float, float, float]]]
-
-
-def tree_leaves(model: Transformer, like: DataFrame) -> list[Leaf]:
-    """Leaves of a fitted tree ensemble, read from its saved node table.
-
-    Bounded by the model: rounds times two to the depth.
-    """
-    path = scratch_path(like.sparkSession, "model")
-    model.write().save(path)
-    nodes = like.sparkSession.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild", "nodeData.rightChild",
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"),
-    )
-    trees: dict[int, dict[int, object]] = {}
-    for r in nodes.collect():
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    weights = model.treeWeights
-    leaves: list[Leaf] = []
-    for tree_id, rows in trees.items():
-        todo = [(rows[0], {})]
-        while todo:
-            node, limits = todo.pop()
-            if node["leftChild"] < 0:
-                path_limits = [(f, lo, hi, share) for f, (lo, hi, share) in limits.items()]
-                leaves.append((weights[tree_id] * node["prediction"], path_limits))
-                continue
-            f, t = node["feature"], node["threshold"]
-            lo, hi, share = limits.get(f, (-np.inf, np.inf, 1.0))
-            for child, low, high in ((node["leftChild"], lo, min(hi, t)), (node["rightChild"], max(lo, t), hi)):
-                part = rows[child]["rawCount"] / node["rawCount"]
-                todo.append((rows[child], {**limits, f: (low, high, share * part)}))
-    return leaves
-
 
 def base_value(leaves: Sequence[Leaf]) -> float:
     """The model's mean output over its training rows' paths."""
@@ -88,28 +48,24 @@ def shapley_values(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
     return out
 
 
-def predicted_index(fitted: Fitted) -> Column:
+def predicted_index(fitted: Boosted) -> Column:
     """Number of the class a row is predicted to have."""
     return F.array_position(F.array(*[F.lit(c) for c in fitted.classes]), F.col("predicted_category")) - 1
 
 
-def attributions(table: DataFrame, fitted: Fitted, keep: Sequence[str], wanted: Column | None = None) -> DataFrame:
+def attributions(table: DataFrame, fitted: Boosted, keep: Sequence[str], wanted: Column | None = None) -> DataFrame:
     """(keep, predicted, features, class_index, base, shap_values, margin) per row and class.
 
     With `wanted` (a class number over the scored row) only that class of a row is
-    explained. Only the tree nodes travel to the tasks. The margin is Spark's own
+    explained. Only the tree nodes travel to the tasks. The margin is the model's own
     score, for checking that base and values add up to it.
     """
-    per_class = [tree_leaves(p, table) for p in fitted.parts]
+    per_class = fitted.leaves()
     bases = [base_value(leaves) for leaves in per_class]
-    scored = fitted.predict(table)
-    margin = []
-    for i, part in enumerate(fitted.parts):
-        before = scored.columns
-        scored = part.transform(scored).select(*before, F.get(vector_to_array("rawPrediction"), F.lit(1)).alias(f"_m{i}"))
-        margin.append(F.col(f"_m{i}"))
+    values = vector_to_array("features")
+    scored = fitted.predict(table.withColumn("_features", values))
     rows = scored.select(
-        *keep, "predicted_category", "confidence", vector_to_array("features").alias("features"), F.array(*margin).alias("margins"),
+        *keep, "predicted_category", "confidence", F.col("_features").alias("features"), "margins",
         (wanted if wanted is not None else F.lit(-1)).cast("int").alias("wanted"),
     )
     schema = ", ".join(
@@ -131,12 +87,12 @@ def attributions(table: DataFrame, fitted: Fitted, keep: Sequence[str], wanted:
     return explained.withColumn("margin", F.get("margins", F.col("class_index"))).drop("margins", "wanted")
 
 
-def mean_magnitudes(table: DataFrame, fitted: Fitted, features: Sequence[str]) -> DataFrame:
+def mean_magnitudes(table: DataFrame, fitted: Boosted, features: Sequence[str]) -> DataFrame:
     """feature_index, feature, mean_abs_shap: the mean absolute attribution over rows and classes.
 
     Each batch gives one sum per feature, so no value of a row leaves its task.
     """
-    per_class = [tree_leaves(p, table) for p in fitted.parts]
+    per_class = fitted.leaves()
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -22,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom import fixed_values as V
+from ratingloom.operators import boosting as B
 from ratingloom.operators.metrics import PREDICTED, fold_summary, rank_by, summary_scores
 from ratingloom.session import cut_lineage
 
@@ -60,10 +60,11 @@ class Fitted:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds probabilities, confidence (the largest) and predicted_category (first on ties)."""
-        out = self.probabilities(df, self.parts)
-        best = F.array_max("probabilities")
-        place = F.array_position("probabilities", best) - 1
-        return out.withColumns({"confidence": best, PREDICTED: class_name(place, self.classes)})
+        return B.with_best(self.probabilities(df, self.parts), self.classes)
+
+    def importances(self):
+        """Gain importance of each feature, averaged over per-class members."""
+        return sum(p.featureImportances.toArray() for p in self.parts) / len(self.parts)
 
 
 def _added(df: DataFrame, part: Transformer, pick: Column, name: str) -> DataFrame:
@@ -129,16 +130,14 @@ def _scaled(estimator: Estimator) -> Estimator:
     return Pipeline(stages=[scaler, estimator])
 
 
-def boosted_trees(rounds: int = V.BOOSTING["rounds"], seed: int = V.BOOSTING["seed"]) -> Model:
-    """Boosted trees, one against the rest: Spark's boosting knows two classes only."""
-    return Model(
-        "Boosted Trees",
-        lambda f, k: GBTClassifier(
-            labelCol=LABEL, maxIter=rounds, maxDepth=V.BOOSTING["depth"], stepSize=V.BOOSTING["learning_rate"], seed=seed
-        ),
-        per_class=True,
-        note="one against the rest on logistic loss",
-    )
+def boosted_trees(rounds: int = V.BOOSTING["rounds"]) -> B.Boosting:
+    """Second-order boosting on the softmax loss."""
+    return B.Boosting("Boosted Trees", B.SECOND_ORDER, rounds)
+
+
+def gradient_boosting(rounds: int = V.BOOSTING["rounds"]) -> B.Boosting:
+    """Trees fitted to the residuals of the softmax loss, leaves by one Newton step, from the class shares on."""
+    return B.Boosting("Gradient Boosting", B.RESIDUALS, rounds)
 
 
 def random_forest(trees: int = V.FOREST["trees"], seed: int = V.BOOSTING["seed"]) -> Model:
@@ -216,12 +215,10 @@ def naive_bayes() -> Model:
 
 
 def benchmark_models(rows: int, rounds: int = V.BOOSTING["rounds"], trees: int = V.FOREST["trees"], iterations: Mapping[str, int] = V.ITERATIONS) -> list[Model]:
-    """The benchmark's models but the neighbour one, which has its own operator.
-
-    The two boosted entries of the published list are one model here.
-    """
+    """The benchmark's models but the neighbour one, which has its own operator."""
     return [
         boosted_trees(rounds),
+        gradient_boosting(rounds),
         random_forest(trees),
         whole_sample_forest(trees),
         decision_tree(),
@@ -249,9 +246,11 @@ def training_table(
 
 
 def out_of_fold(
-    table: DataFrame, model: Model, folds: Sequence[int], n_features: int, classes: Sequence[str], parallel: int = PARALLEL_FITS
+    table: DataFrame, model: Model | B.Boosting, folds: Sequence[int], n_features: int, classes: Sequence[str], parallel: int = PARALLEL_FITS
 ) -> DataFrame:
     """Predictions of every row by the model fitted on the other folds."""
+    if isinstance(model, B.Boosting):  # all folds at once
+        return model.out_of_fold(table, folds, n_features, classes)
 
     def one(fold: int) -> DataFrame:
         fitted = model.fit(table.where(F.col("fold") != fold), n_features, classes)
@@ -273,21 +272,29 @@ def fold_scores(predictions: DataFrame, target: str, **tags: str) -> DataFrame:
 
 def ablation(
     df: DataFrame, blocks: Mapping[str, Sequence[str]], target: str, classes: Sequence[str], folds: Sequence[int],
-    model: Model | None = None,
+    model: B.Boosting | None = None,
 ) -> DataFrame:
-    """Fold mean and deviation per feature block, over the same folds, best first."""
+    """Fold mean and deviation per feature block, over the same folds, best first.
+
+    The models of all blocks and folds grow together.
+    """
     model = model or boosted_trees()
-    out = None
-    for name, features in blocks.items():
-        table = training_table(df, features, target, classes, ["fold"])
-        scores = fold_scores(out_of_fold(table, model, folds, len(features), classes), target, block=name)
-        scores = scores.withColumn("n_features", F.lit(len(features)))
-        out = scores if out is None else out.unionByName(scores)
-    return rank_by(fold_summary(out, ["block", "n_features"]), "accuracy_mean", "block")
+    features, columns = _numbered(blocks)
+    table = training_table(df, features, target, classes, ["fold"])
+    predicted = model.blocks_out_of_fold(table, columns, folds, len(features), classes)
+    sizes = F.create_map(*[F.lit(x) for name, own in blocks.items() for x in (name, len(own))])
+    scores = summary_scores(predicted, ["block", "fold"], target, PREDICTED).withColumn("n_features", sizes[F.col("block")])
+    return rank_by(fold_summary(scores, ["block", "n_features"]), "accuracy_mean", "block")
+
+
+def _numbered(blocks: Mapping[str, Sequence[str]]) -> tuple[list[str], dict[str, list[int]]]:
+    """The features of all blocks, and each block as their numbers."""
+    features = list(dict.fromkeys(f for own in blocks.values() for f in own))
+    return features, {name: [features.index(f) for f in own] for name, own in blocks.items()}
 
 
 def benchmark(
-    table: DataFrame, models: Sequence[Model], target: str, n_features: int, classes: Sequence[str], folds: Sequence[int],
+    table: DataFrame, models: Sequence[Model | B.Boosting], target: str, n_features: int, classes: Sequence[str], folds: Sequence[int],
     extra: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Fold mean and deviation per model, best first; `extra` adds predictions made elsewhere."""
@@ -299,30 +306,35 @@ def benchmark(
     return rank_by(fold_summary(out, ["model"]), "accuracy_mean", "model")
 
 
-def feature_importance(fitted: Fitted, features: Sequence[str], like: DataFrame) -> DataFrame:
-    """Gain importance per feature, averaged over per-class members, most important first."""
-    vectors = [p.featureImportances.toArray() for p in fitted.parts]
-    mean = sum(vectors) / len(vectors)
-    rows = [(f, float(v)) for f, v in zip(features, mean)]
+def feature_importance(fitted: Fitted | B.Boosted, features: Sequence[str], like: DataFrame) -> DataFrame:
+    """Gain importance per feature, most important first."""
+    rows = [(f, float(v)) for f, v in zip(features, fitted.importances())]
     made = like.sparkSession.createDataFrame(rows, "feature string, importance double")
     return rank_by(made, "importance", "feature")
 
 
 def top_features(
-    df: DataFrame, blocks: Mapping[str, Sequence[str]], target: str, classes: Sequence[str], model: Model | None = None, n: int = V.TOP_FEATURES
+    df: DataFrame, blocks: Mapping[str, Sequence[str]], target: str, classes: Sequence[str], model: Model | B.Boosting | None = None, n: int = V.TOP_FEATURES
 ) -> DataFrame:
-    """The n most important features of each block's model, fitted on all rows."""
+    """The n most important features of each block's model, fitted on all rows; boosted models of all blocks grow together."""
     model = model or boosted_trees()
-    out = None
-    for name, features in blocks.items():
+    features, columns = _numbered(blocks)
+    if isinstance(model, B.Boosting):
         table = training_table(df, features, target, classes, ())
-        ranked = feature_importance(model.fit(table, len(features), classes), features, table)
+        models = model.fit_all(table, [B.Fit(tuple(own)) for own in columns.values()], len(features), classes)
+        fitted = [(name, features, m, table) for name, m in zip(blocks, models)]
+    else:
+        tables = {name: training_table(df, own, target, classes, ()) for name, own in blocks.items()}
+        fitted = [(name, own, model.fit(tables[name], len(own), classes), tables[name]) for name, own in blocks.items()]
+    out = None
+    for name, own, made, table in fitted:
+        ranked = feature_importance(made, own, table).where(F.col("feature").isin(list(blocks[name])))
         part = ranked.where(F.col("rank") <= n).withColumn("block", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def train_accuracy(fitted: Fitted, table: DataFrame, target: str) -> DataFrame:
+def train_accuracy(fitted: Fitted | B.Boosted, table: DataFrame, target: str) -> DataFrame:
     """Share of training rows the model gets right."""
     return fitted.predict(table).agg(F.avg((F.col(target) == F.col(PREDICTED)).cast("double")).alias("train_accuracy"))
 

@@ -130,7 +130,7 @@ def grouped_out_of_fold(spark, sf):
     letters = F.when(F.col(TARGET).isin("AA", "A"), "A").otherwise("BBB")
     folded = FO.group_folds(frame.withColumn("side", letters), "ticker")
     table = MO.training_table(folded, V.RATIOS, "side", ["A", "BBB"], KEYS)
-    out = MO.out_of_fold(table, MO.boosted_trees(), _folds(table), len(V.RATIOS), ["A", "BBB"])
+    out = MO.out_of_fold(table, MO.gradient_boosting(), _folds(table), len(V.RATIOS), ["A", "BBB"])
     return out.select(*KEYS, "fold", "side", F.col("predicted_category").alias("predicted_rating"), "confidence")
 
 
