@@ -22,12 +22,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingloom import fixed_values as V
 from ratingloom.operators.metrics import PREDICTED
-from ratingloom.session import cut_lineage, remove_path, scratch_path
+from ratingloom.session import remove_path, scratch_path
 
 LABEL = "label"
 #: Bins per feature, rounds after which margins are stored, rows of a part of the binned table, unit of the summed gradients.
@@ -400,6 +400,22 @@ class Boosted:
         return out
 
 
+def tree_nodes(model: Boosted, features: Sequence[str], spark: SparkSession) -> DataFrame:
+    """round, class, node, feature, cut, gain, value, cover of every node of the trees; leaves have no feature."""
+    t, rows = model.trees, []
+    inner = t.feature.shape[2]
+    for r in range(len(t.feature)):
+        for k, name in enumerate(model.classes):
+            todo = [0]
+            while todo:
+                node = todo.pop()
+                f = int(t.feature[r, k, node]) if node < inner else -1
+                split = (features[f], float(model.cuts[f][t.cut[r, k, node]]), float(t.gain[r, k, node])) if f >= 0 else (None, None, None)
+                rows.append((r, name, node, *split, float(t.value[r, k, node]), float(t.cover[r, k, node])))
+                todo += [2 * node + 1, 2 * node + 2] if f >= 0 else []
+    return spark.createDataFrame(rows, "round bigint, class string, node bigint, feature string, cut double, gain double, value double, cover double")
+
+
 def _scored(df: DataFrame, classes: Sequence[str], models: Mapping[object, Boosted], by: Column | None = None) -> DataFrame:
     """Adds margins, probabilities, confidence and predicted_category by the model that `by` names for each row; rows of no model are left out."""
     width = len(next(iter(models.values())).cuts)

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ratingloom import fixed_values as V
 from ratingloom.operators import attribution as AT
+from ratingloom.operators import boosting as B
 from ratingloom.operators import folds as FO
 from ratingloom.operators import metrics as M
 from ratingloom.operators import models as MO
 from ratingloom.operators import neighbours as NB
 from ratingloom.operators.panel import KEYS, drop_null_ratios, fill_features
 from ratingloom.plans import roles as R
-from ratingloom.plans.common import longs, rounded
+from ratingloom.plans.common import longs, r6, rounded
 from ratingloom.plans.evaluation_queries import FOLD_SQL, SUMMARY_COLUMNS, SUMMARY_SQL, fold_scores_sql
 from ratingloom.plans.panel_queries import panel_frame
 from ratingloom.plans.registry import query
@@ -27,6 +28,11 @@ TARGET = "rating_category"
 CLASSES = V.CATEGORIES
 
 
+_FEATURE_SQL = ", ".join(
+    f"CAST({c} AS DOUBLE)" for c in [*[f"p.{r}" for r in V.RATIOS], *[f"coalesce(f.{c}, 0)" for c in V.FLAGS], *[f"coalesce(p.{c}, 0)" for c in V.NEWS_FEATURES]]
+)
+
+
 def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 21 features, the category and a stratified fold, as a table all fits read."""
     frame = fill_features(drop_null_ratios(panel_frame(spark, sf_dir)))
@@ -70,6 +76,39 @@ def out_of_fold_coverage(spark, sf):
     )
 
 
+def _first_round_sql() -> str:
+    """The first second-order tree of each class, level by level."""
+    names = "[" + ", ".join(f"'{f}'" for f in V.ALL_FEATURES) + "]"
+    quantiles = ", ".join(f"{k / 64}" for k in range(1, 64))
+    parts = [
+        f"x AS (SELECT p.ticker || '|' || p.fiscal_year AS r, p.rating_category AS c, [{_FEATURE_SQL}] AS x FROM predicted p JOIN flags f ON p.ticker = f.ticker AND p.fiscal_year = f.fiscal_year)",
+        f"tall AS (SELECT r, j, x[j] AS v FROM x, range(1, {len(V.ALL_FEATURES) + 1}) t(j))",
+        f"cuts AS (SELECT j, list_sort(list_distinct(quantile_disc(v, [{quantiles}]))) AS q FROM tall GROUP BY 1)",
+        "bins AS MATERIALIZED (SELECT r, t.j, q, len(list_filter(q, lambda z: z < v)) AS b FROM tall t JOIN cuts USING (j))",
+        f"at0 AS MATERIALIZED (SELECT r, k, 0 AS node, CASE WHEN c = k THEN -0.75::DOUBLE ELSE 0.25::DOUBLE END AS g FROM x, (SELECT unnest({list(CLASSES)}) AS k))",
+    ]
+    for level in range(V.BOOSTING["depth"]):
+        parts += [
+            f"s{level} AS (SELECT k, node, j, b, any_value(q) AS q, sum(g) AS g, sum(0.375::DOUBLE) AS h FROM at{level} JOIN bins USING (r) GROUP BY 1, 2, 3, 4)",
+            f"w{level} AS (SELECT k, node, j, b, q, sum(g) OVER a AS gl, sum(h) OVER a AS hl, sum(g) OVER e AS g, sum(h) OVER e AS h FROM s{level} WINDOW a AS (PARTITION BY k, node, j ORDER BY b), e AS (PARTITION BY k, node, j))",
+            f"v{level} AS (SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain FROM w{level} WHERE b < len(q) AND hl >= 1 AND h - hl >= 1)",
+            f"best{level} AS MATERIALIZED (SELECT k, node, j, b, q, gain FROM (SELECT *, row_number() OVER (PARTITION BY k, node ORDER BY gain DESC, j, b) AS n FROM v{level}) WHERE n = 1 AND gain > 1e-6)",
+            f"at{level + 1} AS MATERIALIZED (SELECT a.r, a.k, 2 * a.node + CASE WHEN i.b <= s.b THEN 1 ELSE 2 END AS node, a.g FROM at{level} a JOIN best{level} s ON s.k = a.k AND s.node = a.node JOIN bins i ON i.r = a.r AND i.j = s.j)",
+        ]
+    rows = " UNION ALL ".join(f"SELECT * FROM at{level}" for level in range(V.BOOSTING["depth"] + 1))
+    splits = " UNION ALL ".join(f"SELECT * FROM best{level}" for level in range(V.BOOSTING["depth"]))
+    return f"""WITH {", ".join(parts)}, nodes AS (SELECT k, node, sum(g) AS g, sum(0.375::DOUBLE) AS h FROM ({rows}) GROUP BY 1, 2)
+SELECT n.k AS class, CAST(n.node AS BIGINT) AS node, {names}[j] AS feature, {r6("q[b + 1]", "cut")}, {r6("gain", "gain")}, {r6("-0.1 * g / (h + 1)", "value")}, {r6("h", "cover")}
+FROM nodes n LEFT JOIN ({splits}) s ON s.k = n.k AND s.node = n.node"""
+
+
+@query("boosting_first_round", with_roles(["predicted", "flags"], _first_round_sql()))
+def boosting_first_round(spark, sf):
+    """The nodes of the first tree of each class: split feature, cut and gain, value and cover."""
+    fitted = MO.boosted_trees(1).fit(_training(model_frame(spark, sf)), len(V.ALL_FEATURES), CLASSES)
+    return rounded(B.tree_nodes(fitted, V.ALL_FEATURES, spark).drop("round"), ["cut", "gain", "value", "cover"])
+
+
 @query("feature_ablation")
 def feature_ablation(spark, sf):
     frame = model_frame(spark, sf)
@@ -99,9 +138,6 @@ def model_benchmark(spark, sf):
     return MO.benchmark(table, models, TARGET, features, CLASSES, folds, {"Nearest Neighbours": neighbours})
 
 
-_FEATURE_SQL = ", ".join(
-    f"CAST({c} AS DOUBLE)" for c in [*[f"p.{r}" for r in V.RATIOS], *[f"coalesce(f.{c}, 0)" for c in V.FLAGS], *[f"coalesce(p.{c}, 0)" for c in V.NEWS_FEATURES]]
-)
 _BAYES_SQL = f"""WITH folded AS (SELECT p.ticker, p.fiscal_year, p.rating_category, {FOLD_SQL.replace("ticker", "p.ticker").replace("fiscal_year", "p.fiscal_year")} AS fold, [{_FEATURE_SQL}] AS x
   FROM predicted p JOIN flags f ON p.ticker = f.ticker AND p.fiscal_year = f.fiscal_year),
 tall AS (SELECT ticker, fiscal_year, rating_category, fold, unnest(range(1, len(x) + 1)) AS j, unnest(x) AS v FROM folded),
