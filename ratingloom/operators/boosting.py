@@ -276,6 +276,10 @@ def grow(
             yield pa.RecordBatch.from_arrays(columns, names=["bins", "label", "fold", "margins"])
 
     schema = "bins binary, label int, fold int, margins binary"
+    # hundreds of small jobs: without a plan that adapts between their two stages, which costs more than the stages
+    passes = spark.newSession()
+    passes.conf.set("spark.sql.adaptive.enabled", "false")
+    passes.conf.set("spark.sql.shuffle.partitions", str(min(parts, 32)))
 
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         n = batch.num_rows
@@ -285,7 +289,8 @@ def grow(
     def stored(df: DataFrame) -> tuple[DataFrame, str]:
         path = scratch_path(spark, "margins")
         df.write.parquet(path)
-        return spark.read.schema(schema).parquet(path), path
+        made = passes.read.schema(schema).parquet(path)
+        return made.coalesce(1) if parts == 1 else made, path
 
     state, path = stored(base.repartition(parts).mapInArrow(prepare, schema))
     trees = [Trees.none(rounds, classes, depth) for _ in fits]
