@@ -124,6 +124,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def joined_words(text: Column) -> Column:
+    """The same words in one text, with a blank between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def blank_separated(text: Column) -> Column:
     """Lower-case tokens between blanks."""
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
@@ -143,9 +148,13 @@ def lexicon_score(
     A stand-in for the model scorer with the same range and sign: it stays in
     generated code and needs no shuffle.
     """
-    tokens = words(text)
-    up, down = count_words(tokens, positive), count_words(tokens, negative)
-    return F.coalesce(F.try_divide((up - down).cast("double"), (up + down).cast("double")), F.lit(0.0))
+    # one pass over the words of the text, counting both lists
+    sums = F.aggregate(
+        words(text), F.struct(F.lit(0).alias("up"), F.lit(0).alias("down")),
+        lambda a, w: F.struct((a["up"] + w.isin(list(positive)).cast("int")).alias("up"), (a["down"] + w.isin(list(negative)).cast("int")).alias("down")),
+        lambda a: F.try_divide((a["up"] - a["down"]).cast("double"), (a["up"] + a["down"]).cast("double")),
+    )
+    return F.coalesce(sums, F.lit(0.0))
 
 
 def event_counts(text: Column) -> dict[str, Column]:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom import fixed_values as V
 from ratingloom.functions.cleaning import to_number
-from ratingloom.functions.text import event_counts, search_phrase, words
+from ratingloom.functions.text import event_counts, joined_words, search_phrase
 from ratingloom.session import cut_lineage
 from ratingloom.operators.panel import KEYS
 from ratingloom.operators.picking import pick_first
@@ -160,25 +161,47 @@ def entity_phrases(entities: DataFrame, extra: Mapping[str, Sequence[str]] = V.E
     return own.unionByName(more.join(entities.select("ticker"), "ticker", "left_semi"))
 
 
+#: Characters of the phrases of one automaton at most; more phrases are looked for by several, one after the other.
+AUTOMATON_CHARS = 1 << 20
+
+
 def phrase_hits(articles: DataFrame, phrases: DataFrame, text: str = "text", article_id: str = "article_id") -> DataFrame:
     """(article, ticker, tier) where the article's words contain the phrase's words in a row.
 
-    Every place of an article is looked up by its first word and by its first two,
-    which phrases of one and of more words are joined on; the words that follow
-    are compared where the longest phrase has more. The text is read once, and no
-    article is compared with a phrase whose beginning it does not contain.
+    The phrases form an automaton (a trie with failure links), which reads every text
+    once and reports whole phrases only, so no word or word pair becomes a row and the cost does not
+    grow with the number or the length of the phrases. Phrases and texts are compared as their words
+    with a blank on each side. A phrase without a word matches nothing; a NULL text holds none.
     """
-    wanted = phrases.withColumn("_words", words(F.col("phrase"))).where(F.size("_words") > 0)
-    wanted = wanted.select("ticker", "tier", F.array_join(F.slice("_words", 1, 2), " ").alias("_key"), F.slice("_words", 3, 1 << 30).alias("_more")).distinct()
-    longest = wanted.agg(F.max(F.size("_more"))).first()[0] or 0
-    tokens = articles.select(article_id, words(F.col(text)).alias("_t"))
-    t = F.col("_t")
-    following = lambda i: F.slice(t, i + 3, longest) if longest else F.array().cast("array<string>")
-    single = F.transform(F.array_distinct(t), lambda w: F.struct(w.alias("_key"), F.array().cast("array<string>").alias("_next")))
-    double = F.transform(t, lambda w, i: F.struct(F.concat(w, F.lit(" "), F.coalesce(F.get(t, i + 1), F.lit(""))).alias("_key"), following(i).alias("_next")))
-    places = tokens.select(article_id, F.inline(F.concat(single, F.array_distinct(double))))
-    found = places.join(wanted, "_key").where(F.slice("_next", 1, F.greatest(F.size("_more"), F.lit(0))) == F.col("_more"))
-    return found.select(article_id, "ticker", "tier").distinct()
+    wanted = phrases.select("ticker", "tier", joined_words(F.col("phrase")).alias("_phrase")).where("_phrase <> ''").distinct()
+    numbered = cut_lineage(wanted.select("_phrase").distinct().withColumn("_number", F.monotonically_increasing_id()), "phrases")
+    parts = -(-(numbered.agg(F.sum(F.length("_phrase") + 2)).first()[0] or 1) // AUTOMATON_CHARS)
+    texts = articles.select(article_id, joined_words(F.col(text)).alias("_text"))
+    schema = f"`{article_id}` {texts.schema[article_id].dataType.simpleString()}, _number bigint"
+    found = None
+    for part in range(parts):
+        own = numbered.where(F.pmod(F.xxhash64("_phrase"), F.lit(parts)) == part).toArrow()
+        shared = articles.sparkSession.sparkContext.broadcast(list(zip(own["_phrase"].to_pylist(), own["_number"].to_pylist(), strict=True)))
+
+        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for phrase, number in shared.value:
+                automaton.add_word(f" {phrase} ", number)
+            if not len(automaton):
+                return
+            automaton.make_automaton()
+            for batch in batches:
+                hits = [list({n for _, n in automaton.iter(f" {t} ")}) if t else [] for t in batch.column(1).to_pylist()]
+                rows = pa.array([k for k, own in enumerate(hits) for _ in own], pa.int64())
+                numbers = pa.array([n for own in hits for n in own], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), numbers], names=[article_id, "_number"])
+
+        hits = texts.mapInArrow(look, schema)
+        found = hits if found is None else found.unionByName(hits)
+    named = wanted.join(numbered, "_phrase").select("ticker", "tier", "_number")
+    return found.join(named, "_number").select(article_id, "ticker", "tier").distinct()
 
 
 def match_articles(entities: DataFrame, articles: DataFrame, symbols: DataFrame, phrases: DataFrame) -> DataFrame:

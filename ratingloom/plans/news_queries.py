@@ -352,25 +352,25 @@ def event_features(spark, sf):
     return longs(N.event_features(rows), ["fiscal_year", *V.EVENT_WORDS])
 
 
-# Entities are named after the first two words of the benchmark items; a document's
-# source number is its symbol. Entities beyond the last source are found by phrase only.
+# Entities are named after the whole benchmark items; a document's source number is
+# its symbol. Entities beyond the last source are found by phrase only.
 _NORMAL = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_NAME = "coalesce(nullif(trim(regexp_replace(text, '\\([^)]*\\)', '', 'g')), ''), text)"
 
 
 @query(
     "match_tier",
-    f"""WITH ent AS (SELECT 'src' || item_id AS ticker, array_to_string(string_split({_NORMAL.format(x="text")}, ' ')[1:2], ' ') AS phrase FROM benchmark),
+    f"""WITH ent AS (SELECT 'src' || item_id AS ticker, {_NORMAL.format(x=_NAME)} AS phrase FROM benchmark),
 art AS (SELECT doc_id AS article_id, 1990 + doc_id % 7 AS fiscal_year, source, ' ' || {_NORMAL.format(x="text")} || ' ' AS words FROM documents),
 hits AS (SELECT a.article_id, a.fiscal_year, e.ticker, 0 AS tier FROM art a JOIN ent e ON a.source = e.ticker
-  UNION ALL SELECT a.article_id, a.fiscal_year, e.ticker, 3 FROM art a JOIN ent e ON contains(a.words, ' ' || e.phrase || ' ')
+  UNION ALL SELECT a.article_id, a.fiscal_year, e.ticker, 3 FROM art a JOIN ent e ON e.phrase <> '' AND contains(a.words, ' ' || e.phrase || ' ')
   UNION ALL SELECT a.article_id, a.fiscal_year, 'src39', 4 FROM art a WHERE contains(a.words, ' the ')
   UNION ALL SELECT a.article_id, a.fiscal_year, 'src39', 5 FROM art a WHERE contains(a.words, ' of the and '))
 SELECT article_id, {i8("fiscal_year", "fiscal_year")}, ticker, {i8("tier", "tier")} FROM (SELECT *, min(tier) OVER (PARTITION BY ticker, fiscal_year) AS best FROM hits) WHERE tier = best""",
 )
 def match_tier(spark, sf):
     items = R.table(spark, sf, "benchmark")
-    phrase = F.array_join(F.slice(TX.words(F.col("text")), 1, 2), " ")
-    entities = items.select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("ticker"), phrase.alias("company_name"))
+    entities = items.select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("ticker"), F.col("text").alias("company_name"))
     docs = R.table(spark, sf, "documents")
     articles = docs.select(F.col("doc_id").alias("article_id"), (1990 + F.col("doc_id") % 7).alias("fiscal_year"), "text")
     symbols = docs.select(F.col("doc_id").alias("article_id"), F.col("source").alias("symbol"))

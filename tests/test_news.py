@@ -1,6 +1,9 @@
 import json
+import random
+import re
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from ratingloom import schemas
@@ -139,3 +142,17 @@ def test_stream_takes_each_file_once(spark, tmp_path):
 
 def test_article_schema_is_declared():
     assert "articles" in schemas.NEWS_DOCUMENT.fieldNames()
+
+
+@pytest.mark.parametrize("chars", [N.AUTOMATON_CHARS, 60])
+def test_phrases_of_any_length_are_found_whole(spark, monkeypatch, chars):
+    """Against a plain search; with a small bound the phrases need several automata."""
+    monkeypatch.setattr(N, "AUTOMATON_CHARS", chars)
+    chance = random.Random(2)
+    texts = [(i, " ".join(chance.choice(["a", "b", "ab", "É", "日本", "c-d"]) for _ in range(chance.choice([0, 3, 200])))) for i in range(60)] + [(60, None), (61, "")]
+    plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
+    long_one = plain(next(t for _, t in texts if len(t) > 300))[40:260].strip().partition(" ")[2].rpartition(" ")[0]
+    phrases = [("x", 3, "a"), ("x", 4, "a B"), ("y", 3, "a b"), ("y", 5, "É 日本"), ("z", 3, long_one), ("z", 4, "!!"), ("z", 5, None), ("w", 3, "ab ab a"), ("w", 3, "ab ab a")]
+    found = N.phrase_hits(spark.createDataFrame(texts, "article_id long, text string"), spark.createDataFrame(phrases, "ticker string, tier int, phrase string"))
+    expected = {(i, t, tier) for i, text in texts for t, tier, p in phrases if plain(p).strip() and plain(p) in plain(text)}
+    assert any(t == "z" for _, t, _ in expected) and rows(found) == sorted(expected)
