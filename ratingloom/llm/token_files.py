@@ -63,7 +63,9 @@ class WordEncoder:
     """Ids of a text, put together from the ids of its runs without white space.
 
     The tokenizer drops white space, and neither its normaliser nor its pattern
-    looks across it. Runs of a text of ASCII and Latin letters are lower-cased and
+    looks across it. A run that holds an added token (such as the end of text) goes through
+    the whole tokenizer, which gives that token's id; so does every text where added tokens
+    are found in another way than letter by letter. Runs of a text of ASCII and Latin letters are lower-cased and
     cut by the tokenizer's pattern here, and only new pieces go through its
     merges; the other runs go through the whole tokenizer. What is remembered is
     emptied when it is full and never changes a result.
@@ -72,7 +74,9 @@ class WordEncoder:
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = any(t.normalized or t.single_word or t.lstrip or t.rstrip or not t.content or re.search(r"\s", t.content) for t in added)
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)")
         self.merges = self.tokenizer.model
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
@@ -99,17 +103,23 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
         get, run = self.known.get, self._run
-        if _PLAIN.fullmatch(text):
+        if self.whole:
+            return self._packed(text)
+        special = self.added.search(text)
+        if not special and _PLAIN.fullmatch(text):
             return b"".join([get(r) or run(r) for r in text.lower().split()])
         out = []
         for r in _RUNS.findall(text) if _SEPARATORS.search(text) else text.split():
-            if _PLAIN.fullmatch(r):
+            if _PLAIN.fullmatch(r) and not (special and self.added.search(r)):
                 out.append(get(r.lower()) or run(r.lower()))
             else:
-                found = self.tokenizer.encode(r, add_special_tokens=False).ids
-                out.append(struct.pack(f"<{len(found)}I", *found))
+                out.append(self._packed(r))
         return b"".join(out)
 
+    def _packed(self, text: str) -> bytes:
+        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 

@@ -77,13 +77,13 @@ def licences(docs, templates, least):
     return out
 
 
-def nearest(rows, is_query, k):
-    """[(query, rank, id, score)] over (id, whole-number vector)."""
+def nearest(rows, is_query, k, shown=int):
+    """[(query, rank, id, score)] over (id, whole-number vector); `shown` is applied to a score before it counts."""
     out, seen = [], set()
     for i, q in rows:
         if is_query(i) and i not in seen:
             seen.add(i)
-            best = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in rows if j != i)[:k]
+            best = sorted((-shown(sum(a * b for a, b in zip(q, x))), j) for j, x in rows if j != i)[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     return sorted(out)
 

@@ -60,11 +60,12 @@ def test_byte_bpe(docs):
 
 def test_token_files(spark, docs):
     tokenizer = Tokenizer.from_file(token_files.TOKENIZER_FILE)
-    tokenizer.encode_special_tokens = True
+    special = [(20, "a <|endoftext|> b"), (21, "<|ENDOFTEXT|> then x<|endoftext|><|startoftext|>y <|endoftext"), (22, "<|endoftext|>"), (23, "É<|endoftext|>日本 <|start <|endoftext|>")]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(special, "doc_id long, text string"))
     path = Scratch(spark, "test-tokens").path("t")
     token_files.write_tokens(docs, path)
     expected, start = [], 0
-    for i, t in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for i, t in sorted(TEXTS + special, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)

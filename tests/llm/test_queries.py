@@ -105,6 +105,17 @@ def test_search_with_ties_and_small_pages(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute.nearest(whole, lambda i: i % 10 == 0, 5)
 
 
+def test_search_of_huge_and_repeated_vectors(spark, monkeypatch):
+    for name, value in (("SUBTREE", 20), ("PAGE", 4)):
+        monkeypatch.setattr(mtree_search, name, value)
+    rows = [(i, [float(10 ** (i % 14)) * (-1) ** i, float(i)]) for i in range(60)] + [(60, [1e12, 1e12]), (61, [1e300, -1e25]), (62, [1e18, 1.0])]
+    rows += [(i, [1e12, 1e12]) for i in range(100, 140)]
+    whole = [(i, [int(max(min(np.floor(256.0 * x), 2.0**62), -(2.0**62))) for x in v]) for i, v in rows]
+    expected = brute.nearest(whole, lambda i: i % 10 == 0, 5, lambda s: min(max(s, -(2**63)), 2**63 - 1))
+    got = mtree_search.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == expected
+
+
 def _labels(con):
     return con.execute("SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)").df().set_index("doc_id")
 
