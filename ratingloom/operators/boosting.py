@@ -240,7 +240,8 @@ def binned(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(cuts)], axis=1).astype(np.uint8) if len(cuts) else np.zeros((len(x), 0), np.uint8)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
+def matrix_of(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
@@ -270,7 +271,7 @@ def grow(
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = binned(_matrix(batch.column(0), n_features), cuts)
+            b = binned(matrix_of(batch.column(0), n_features), cuts)
             margins = np.tile(first.ravel(), (len(b), 1))
             columns = [pa.array([x.tobytes() for x in b], pa.binary()), batch.column(1), batch.column(2), pa.array([m.tobytes() for m in margins], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["bins", "label", "fold", "margins"])
@@ -365,9 +366,12 @@ class Boosted:
     def margins(self, x: np.ndarray) -> np.ndarray:
         return self.start + self.trees.margins(binned(x, self.cuts))
 
+    def outputs(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (margins := self.margins(x)), softmax(margins) if len(x) else margins
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds margins, probabilities, confidence (the largest) and predicted_category (first on ties)."""
-        return _scored(df, self.classes, {None: self})
+        return scored(df, self.classes, len(self.cuts), {None: self})
 
     def importances(self) -> np.ndarray:
         """Mean gain of a feature's splits, as a share of all features'."""
@@ -421,9 +425,11 @@ def tree_nodes(model: Boosted, features: Sequence[str], spark: SparkSession) ->
     return spark.createDataFrame(rows, "round bigint, class string, node bigint, feature string, cut double, gain double, value double, cover double")
 
 
-def _scored(df: DataFrame, classes: Sequence[str], models: Mapping[object, Boosted], by: Column | None = None) -> DataFrame:
-    """Adds margins, probabilities, confidence and predicted_category by the model that `by` names for each row; rows of no model are left out."""
-    width = len(next(iter(models.values())).cuts)
+def scored(df: DataFrame, classes: Sequence[str], width: int, models: Mapping, by: Column | None = None) -> DataFrame:
+    """Adds margins, probabilities, confidence and predicted_category by the model that `by` names for each row.
+
+    A model's `outputs` turns feature rows into margins and probabilities. Rows of no model are left out.
+    """
     keep = [c for c in df.columns if c not in ("features", "margins", "probabilities")]
     rows = df.select(*keep, vector_to_array("features").alias("_x"), (by if by is not None else F.lit(None)).cast("int").alias("_by"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
@@ -431,13 +437,13 @@ def _scored(df: DataFrame, classes: Sequence[str], models: Mapping[object, Boost
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, by_row = _matrix(batch.column(len(keep)), width), batch.column(len(keep) + 1).to_pylist()
-            margins, chosen = np.zeros((len(x), len(classes))), np.zeros(len(x), bool)
+            x, by_row = matrix_of(batch.column(len(keep)), width), np.array(batch.column(len(keep) + 1).to_pylist(), object)
+            both, chosen = np.zeros((2, len(x), len(classes))), np.zeros(len(x), bool)
             for name, model in shared.value.items():
                 own = np.array([b == name for b in by_row], bool)
-                margins[own] = model.margins(x[own])
+                both[:, own] = model.outputs(x[own])
                 chosen |= own
-            lists = [pa.array(list(m), pa.list_(pa.float64())) for m in (margins, softmax(margins) if len(x) else margins)]
+            lists = [pa.array(list(m), pa.list_(pa.float64())) for m in both]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *lists], names=[*keep, "margins", "probabilities"]).filter(pa.array(chosen))
 
     return with_best(rows.mapInArrow(score, f"{kept}, margins array<double>, probabilities array<double>"), classes)
@@ -462,7 +468,7 @@ class Boosting:
     def out_of_fold(self, table: DataFrame, folds: Sequence[int], n_features: int, classes: Sequence[str]) -> DataFrame:
         """Predictions of every row by the model grown on the other folds."""
         models = self.fit_all(table, [Fit(tuple(range(n_features)), k) for k in folds], n_features, classes)
-        return _scored(table, classes, dict(zip(folds, models, strict=True)), F.col("fold"))
+        return scored(table, classes, n_features, dict(zip(folds, models, strict=True)), F.col("fold"))
 
     def blocks_out_of_fold(self, table: DataFrame, blocks: Mapping[str, Sequence[int]], folds: Sequence[int], n_features: int, classes: Sequence[str]) -> DataFrame:
         """The same for several feature blocks (by feature number) at once, tagged with `block`."""
@@ -471,5 +477,5 @@ class Boosting:
         parts = []
         for b, name in enumerate(blocks):
             own = dict(zip(folds, models[b * len(folds) : (b + 1) * len(folds)], strict=True))
-            parts.append(_scored(table, classes, own, F.col("fold")).withColumn("block", F.lit(name)))
+            parts.append(scored(table, classes, n_features, own, F.col("fold")).withColumn("block", F.lit(name)))
         return reduce(DataFrame.unionByName, parts)

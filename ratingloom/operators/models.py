@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ratingloom import fixed_values as V
 from ratingloom.operators import boosting as B
+from ratingloom.operators import extra_trees as ET
 from ratingloom.operators.metrics import PREDICTED, fold_summary, rank_by, summary_scores
 from ratingloom.session import cut_lineage
 
@@ -150,16 +151,9 @@ def random_forest(trees: int = V.FOREST["trees"], seed: int = V.BOOSTING["seed"]
     )
 
 
-def whole_sample_forest(trees: int = V.FOREST["trees"], seed: int = V.BOOSTING["seed"]) -> Model:
-    """Stands in for extra trees: every tree sees all rows, but cuts are searched, not drawn."""
-    return Model(
-        "Whole-Sample Forest (for Extra Trees)",
-        lambda f, k: RandomForestClassifier(
-            labelCol=LABEL, numTrees=trees, maxDepth=V.FOREST["depth"], minInstancesPerNode=V.FOREST["min_leaf"],
-            featureSubsetStrategy="sqrt", bootstrap=False, seed=seed,
-        ),
-        note="no random thresholds in Spark ML",
-    )
+def extra_trees(trees: int = V.FOREST["trees"]) -> ET.ExtraTrees:
+    """Trees on the whole sample whose cuts are drawn at random."""
+    return ET.ExtraTrees(trees=trees)
 
 
 def decision_tree(seed: int = V.BOOSTING["seed"], weighted: bool = False) -> Model:
@@ -220,7 +214,7 @@ def benchmark_models(rows: int, rounds: int = V.BOOSTING["rounds"], trees: int =
         boosted_trees(rounds),
         gradient_boosting(rounds),
         random_forest(trees),
-        whole_sample_forest(trees),
+        extra_trees(trees),
         decision_tree(),
         logistic_regression(rows, iterations["logistic"]),
         linear_svc(rows, iterations["svc"]),
@@ -246,10 +240,10 @@ def training_table(
 
 
 def out_of_fold(
-    table: DataFrame, model: Model | B.Boosting, folds: Sequence[int], n_features: int, classes: Sequence[str], parallel: int = PARALLEL_FITS
+    table: DataFrame, model: Model | B.Boosting | ET.ExtraTrees, folds: Sequence[int], n_features: int, classes: Sequence[str], parallel: int = PARALLEL_FITS
 ) -> DataFrame:
     """Predictions of every row by the model fitted on the other folds."""
-    if isinstance(model, B.Boosting):  # all folds at once
+    if isinstance(model, (B.Boosting, ET.ExtraTrees)):  # all folds at once
         return model.out_of_fold(table, folds, n_features, classes)
 
     def one(fold: int) -> DataFrame:
@@ -294,7 +288,7 @@ def _numbered(blocks: Mapping[str, Sequence[str]]) -> tuple[list[str], dict[str,
 
 
 def benchmark(
-    table: DataFrame, models: Sequence[Model | B.Boosting], target: str, n_features: int, classes: Sequence[str], folds: Sequence[int],
+    table: DataFrame, models: Sequence[Model | B.Boosting | ET.ExtraTrees], target: str, n_features: int, classes: Sequence[str], folds: Sequence[int],
     extra: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Fold mean and deviation per model, best first; `extra` adds predictions made elsewhere."""

@@ -5,13 +5,17 @@ All fits run with the published settings.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingloom import fixed_values as V
 from ratingloom.operators import attribution as AT
 from ratingloom.operators import boosting as B
+from ratingloom.operators import extra_trees as ET
 from ratingloom.operators import folds as FO
+from ratingloom.operators import leave_one_out as LO
 from ratingloom.operators import metrics as M
 from ratingloom.operators import models as MO
 from ratingloom.operators import neighbours as NB
@@ -109,6 +113,29 @@ def boosting_first_round(spark, sf):
     return rounded(B.tree_nodes(fitted, V.ALL_FEATURES, spark).drop("round"), ["cut", "gain", "value", "cover"])
 
 
+_ROOTS_SQL = f"""WITH x AS (SELECT p.ticker || '|' || p.fiscal_year AS r, p.rating_category AS c, [{_FEATURE_SQL}] AS x FROM predicted p JOIN flags f ON p.ticker = f.ticker AND p.fiscal_year = f.fiscal_year),
+tall AS MATERIALIZED (SELECT r, c, j - 1 AS j, x[j] AS v FROM x, range(1, {len(V.ALL_FEATURES) + 1}) t(j)),
+span AS (SELECT j, min(v) AS lo, max(v) AS hi FROM tall GROUP BY 1 HAVING max(v) - min(v) > 1e-7),
+draws AS (SELECT t AS tree, j, lo, hi, md5('{V.BOOSTING["seed"]}|' || t || '|0|' || j) AS m FROM span, range({V.FOREST["trees"]}) t(t)),
+chosen AS (SELECT tree, j, row_number() OVER (PARTITION BY tree ORDER BY substr(m, 14, 13)) AS place,
+  lo + CAST('0x' || substr(m, 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * (hi - lo) AS cut, lo, hi FROM draws),
+cuts AS (SELECT tree, j, place, CASE WHEN cut < hi THEN cut ELSE lo END AS cut FROM chosen WHERE place <= {isqrt(len(V.ALL_FEATURES))}),
+sides AS (SELECT tree, j, place, any_value(cut) AS cut, c, count(*) AS n, count(*) FILTER (WHERE v <= cut) AS l FROM cuts JOIN tall USING (j) GROUP BY tree, j, place, c),
+good AS (SELECT tree, j, place, any_value(cut) AS cut, sum(l) AS rows_left, sum(l * l) / sum(l)::DOUBLE + sum((n - l) * (n - l)) / sum(n - l)::DOUBLE AS good FROM sides
+  GROUP BY 1, 2, 3 HAVING sum(l) >= {V.FOREST["min_leaf"]} AND sum(n - l) >= {V.FOREST["min_leaf"]})
+SELECT CAST(tree AS BIGINT) AS tree, {[*V.ALL_FEATURES]}[j + 1] AS feature, {r6("cut", "cut")}, CAST(rows_left AS BIGINT) AS rows_left FROM good
+QUALIFY row_number() OVER (PARTITION BY tree ORDER BY good DESC, place) = 1"""
+
+
+@query("extra_trees_roots", with_roles(["predicted", "flags"], _ROOTS_SQL))
+def extra_trees_roots(spark, sf):
+    """The root split of every extremely randomised tree: its feature, the drawn cut and the rows left of it."""
+    table = _training(model_frame(spark, sf))
+    forest = ET.grow(table, [B.Fit(tuple(range(len(V.ALL_FEATURES))))], len(V.ALL_FEATURES), len(CLASSES), depth=1)[0]
+    rows = [(t, V.ALL_FEATURES[f[0]], float(c[0]), int(n[1].sum())) for t, (f, c, n) in enumerate(zip(forest.feature, forest.cut, forest.counts)) if f[0] >= 0]
+    return rounded(spark.createDataFrame(rows, "tree bigint, feature string, cut double, rows_left bigint"), ["cut"])
+
+
 @query("feature_ablation")
 def feature_ablation(spark, sf):
     frame = model_frame(spark, sf)
@@ -186,6 +213,42 @@ def agency_models(spark, sf):
     return single.unionByName(every)
 
 
+_LEFT_OUT = ["Fitch", "Moodys", "SP", "Tassnief", "Financial Analytics"]
+_LEFT_OUT_SQL = f"""WITH x AS MATERIALIZED (SELECT p.ticker || '|' || p.fiscal_year AS r, trim(p.rating_agency) AS a, p.rating_category AS c, [{", ".join(f"CAST(p.{f} AS DOUBLE)" for f in V.RATIOS)}] AS x
+  FROM predicted p WHERE trim(p.rating_agency) IN ({", ".join(f"'{a}'" for a in _LEFT_OUT)})),
+tall AS MATERIALIZED (SELECT r, a, c, j, x[j] AS v FROM x, range(1, {len(V.RATIOS) + 1}) t(j)),
+held AS (SELECT a, c, j, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM tall GROUP BY ALL),
+less AS (SELECT t.r, t.a, t.c AS own, t.j, t.v, h.c, h.n - (h.c = t.c)::INT AS n, h.s - CASE WHEN h.c = t.c THEN t.v ELSE 0 END AS s, h.q - CASE WHEN h.c = t.c THEN t.v * t.v ELSE 0 END AS q
+  FROM tall t JOIN held h ON h.a = t.a AND h.j = t.j),
+spread AS (SELECT r, greatest(max(q / n - s / n * s / n) * 1e-9, 1e-300) AS e, any_value(n) AS n FROM (SELECT r, j, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM less GROUP BY 1, 2) GROUP BY 1),
+term AS (SELECT l.r, l.a, l.own, l.c, l.n, z.n AS total, l.v - l.s / l.n AS d, greatest(l.q / l.n - l.s / l.n * l.s / l.n, 0) + z.e AS var FROM less l JOIN spread z ON z.r = l.r WHERE l.n > 0),
+score AS (SELECT r, a, own, c, ln(any_value(n)) - ln(any_value(total)) - sum(ln(2 * pi() * var) / 2 + d * d / (2 * var)) AS ll FROM term GROUP BY 1, 2, 3, 4),
+bayes AS (SELECT r, a, own, arg_max(c, ll) AS guess FROM score GROUP BY ALL),
+z AS MATERIALIZED (SELECT t.r, t.a, any_value(t.c) AS c, list((t.v - m.m) / CASE WHEN m.s = 0 THEN 1 ELSE m.s END ORDER BY t.j) AS x
+  FROM tall t JOIN (SELECT a, j, avg(v) AS m, stddev_pop(v) AS s FROM tall GROUP BY 1, 2) m ON m.a = t.a AND m.j = t.j GROUP BY 1, 2),
+near AS (SELECT q.r, q.a, q.c AS own, n.c, list_distance(q.x, n.x) AS d FROM z q JOIN z n ON n.a = q.a AND n.r <> q.r QUALIFY row_number() OVER (PARTITION BY q.r ORDER BY list_distance(q.x, n.x), n.r) <= 5),
+votes AS (SELECT r, a, own, c, sum(CASE WHEN least_d = 0 THEN CASE WHEN d = 0 THEN 1.0 ELSE 0 END ELSE 1 / d END) AS w FROM (SELECT *, min(d) OVER (PARTITION BY r) AS least_d FROM near) GROUP BY 1, 2, 3, 4),
+voted AS (SELECT r, a, own, c AS guess FROM votes QUALIFY row_number() OVER (PARTITION BY r ORDER BY w DESC, c) = 1)
+SELECT a AS rating_agency, model, count(*) AS rows, {r6("avg(CASE WHEN own = guess THEN 1.0 ELSE 0.0 END)", "accuracy")}
+FROM (SELECT 'Gaussian Bayes' AS model, * FROM bayes UNION ALL SELECT 'Nearest Neighbours', * FROM voted) GROUP BY 1, 2"""
+
+
+@query("leave_one_out_agencies", with_roles(["predicted"], _LEFT_OUT_SQL))
+def leave_one_out_agencies(spark, sf):
+    """Accuracy per agency when every row is predicted from all others of its agency, on the four ratios."""
+    frame = model_frame(spark, sf).drop("fold").where(F.col("rating_agency").isin(_LEFT_OUT))
+    rows = cut_lineage(frame.select(F.concat_ws("|", *KEYS).alias("key"), "rating_agency", TARGET, *V.RATIOS), "left-out")
+    bayes = LO.gaussian_leave_one_out(rows, "rating_agency", TARGET, CLASSES, V.RATIOS)
+    out = LO.accuracy(bayes, ["rating_agency"], TARGET).withColumn("model", F.lit("Gaussian Bayes"))
+    arrays = rows.withColumn("features", F.array(*[F.col(r).cast("double") for r in V.RATIOS]))
+
+    def voted(part: DataFrame) -> DataFrame:
+        return LO.accuracy(LO.neighbours_leave_one_out(part, "key", TARGET, CLASSES), [], TARGET).withColumn("model", F.lit("Nearest Neighbours"))
+
+    agencies = [r[0] for r in rows.select("rating_agency").distinct().orderBy("rating_agency").collect()]
+    return rounded(out.unionByName(MO.by_agency(arrays, agencies, voted)), ["accuracy"])
+
+
 @query("importance_and_fit")
 def importance_and_fit(spark, sf):
     """Feature importance of the model on all rows, with its accuracy on them."""
