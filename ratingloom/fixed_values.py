@@ -299,6 +299,7 @@ SINGLE_TREE = {"depth": 5, "min_leaf": 2}
 NEIGHBOURS = 5
 HIDDEN_LAYERS = [64, 32]
 ITERATIONS = {"logistic": 2500, "svc": 8000, "perceptron": 800}
+EARLY_STOPPING = {"share": 0.15, "patience": 20, "tolerance": 1e-4}
 MAX_FOLDS = 5
 CONFIDENCE_BINS = 12
 SHOWN_SAMPLES = 8

@@ -288,10 +288,11 @@ def grow(
         return raw[0].reshape(n, n_features), batch.column(1).to_numpy(), batch.column(2).to_numpy(), raw[1].reshape(n, len(fits), classes)
 
     def stored(df: DataFrame) -> tuple[DataFrame, str]:
+        """The table on disk, and a cached copy that is read again from there if it is lost."""
         path = scratch_path(spark, "margins")
         df.write.parquet(path)
         made = passes.read.schema(schema).parquet(path)
-        return made.coalesce(1) if parts == 1 else made, path
+        return (made.coalesce(1) if parts == 1 else made).persist(), path
 
     state, path = stored(base.repartition(parts).mapInArrow(prepare, schema))
     trees = [Trees.none(rounds, classes, depth) for _ in fits]
@@ -320,10 +321,12 @@ def grow(
                     now = margins + np.stack([t.margins(bins) for t in grown], axis=1)
                     yield batch.set_column(3, "margins", pa.array([m.tobytes() for m in now], pa.binary()))
 
-            old = path
-            state, path = stored(state.mapInArrow(move, schema))
-            remove_path(spark, old)
+            old, old_path = state, path
+            state, path = stored(old.mapInArrow(move, schema))
+            old.unpersist()
+            remove_path(spark, old_path)
             since = r + 1
+    state.unpersist()
     remove_path(spark, path)
     return cuts, start, trees
 

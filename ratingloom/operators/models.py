@@ -11,7 +11,6 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     NaiveBayes,
     RandomForestClassifier,
 )
@@ -23,10 +22,14 @@ from pyspark.sql import functions as F
 from ratingloom import fixed_values as V
 from ratingloom.operators import boosting as B
 from ratingloom.operators import extra_trees as ET
+from ratingloom.operators import perceptron as PN
 from ratingloom.operators.metrics import PREDICTED, fold_summary, rank_by, summary_scores
 from ratingloom.session import cut_lineage
 
 LABEL = "label"
+#: Models whose fits of all folds share their jobs.
+Together = B.Boosting | ET.ExtraTrees | PN.Perceptron
+TOGETHER = (B.Boosting, ET.ExtraTrees, PN.Perceptron)
 PARALLEL_FITS = 4
 #: Rows of a part of a training table.
 PART_ROWS = 50_000
@@ -192,16 +195,8 @@ def linear_svc(rows: int, iterations: int = V.ITERATIONS["svc"]) -> Model:
     )
 
 
-def perceptron(iterations: int = V.ITERATIONS["perceptron"], seed: int = V.BOOSTING["seed"]) -> Model:
-    return Model(
-        "MLP",
-        lambda f, k: _scaled(
-            MultilayerPerceptronClassifier(
-                featuresCol="scaled", labelCol=LABEL, layers=[f, *V.HIDDEN_LAYERS, k], maxIter=iterations, seed=seed
-            )
-        ),
-        note="no early stopping in Spark ML",
-    )
+def perceptron(epochs: int = V.ITERATIONS["perceptron"]) -> PN.Perceptron:
+    return PN.Perceptron(epochs=epochs)
 
 
 def naive_bayes() -> Model:
@@ -240,10 +235,10 @@ def training_table(
 
 
 def out_of_fold(
-    table: DataFrame, model: Model | B.Boosting | ET.ExtraTrees, folds: Sequence[int], n_features: int, classes: Sequence[str], parallel: int = PARALLEL_FITS
+    table: DataFrame, model: Model | Together, folds: Sequence[int], n_features: int, classes: Sequence[str], parallel: int = PARALLEL_FITS
 ) -> DataFrame:
     """Predictions of every row by the model fitted on the other folds."""
-    if isinstance(model, (B.Boosting, ET.ExtraTrees)):  # all folds at once
+    if isinstance(model, TOGETHER):  # all folds at once
         return model.out_of_fold(table, folds, n_features, classes)
 
     def one(fold: int) -> DataFrame:
@@ -288,7 +283,7 @@ def _numbered(blocks: Mapping[str, Sequence[str]]) -> tuple[list[str], dict[str,
 
 
 def benchmark(
-    table: DataFrame, models: Sequence[Model | B.Boosting | ET.ExtraTrees], target: str, n_features: int, classes: Sequence[str], folds: Sequence[int],
+    table: DataFrame, models: Sequence[Model | Together], target: str, n_features: int, classes: Sequence[str], folds: Sequence[int],
     extra: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Fold mean and deviation per model, best first; `extra` adds predictions made elsewhere."""
