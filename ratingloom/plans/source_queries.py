@@ -19,6 +19,7 @@ from ratingloom.plans.roles import with_roles
 from ratingloom.session import scratch_path
 from ratingloom.sources import statements as SS
 from ratingloom.sources import tables as ST
+from ratingloom.sources import versions as SV
 
 
 @query(
@@ -164,3 +165,22 @@ def retention_counts(spark, sf):
     events = R.table(spark, sf, "events").select(F.year("ts").alias("fiscal_year"))
     counts = ST.retirement_counts(orders, "orders", [1996, 1999]).unionByName(ST.retirement_counts(events, "events", [1996, 1999]))
     return longs(counts, ["changed"])
+
+
+@query(
+    "versioned_rewrite",
+    with_roles(
+        ["ratios"],
+        """SELECT CAST(fiscal_year AS VARCHAR) AS partition, CAST(max(CASE WHEN fiscal_year IN (1996, 1999) THEN 1 WHEN fiscal_year = 1997 AND liquid IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS rewritten,
+  count(*) FILTER (WHERE fiscal_year NOT IN (1996, 1999)) AS rows, count(*) AS rows_before FROM ratios GROUP BY 1""",
+    ),
+)
+def versioned_rewrite(spark, sf):
+    """What a refresh writes anew: two retired years go, the liquidity of one is corrected, the other years keep their files."""
+    root = scratch_path(spark, "versions")
+    panel = R.with_ratios(R.statements(spark, sf)).select(*KEYS, *V.RATIOS)
+    SV.write_version(panel, root)
+    corrected = F.when(F.col("fiscal_year") == 1997, F.col("liquid") + 1).otherwise(F.col("liquid"))
+    changed = SV.write_version(ST.retain_years(panel, [1996, 1999]).withColumn("liquid", corrected), root)
+    before = SV.read_version(spark, root, panel.schema, version=0).groupBy(F.col("fiscal_year").cast("string").alias("partition")).agg(F.count(F.lit(1)).alias("rows_before"))
+    return changed.join(before, "partition")
