@@ -288,7 +288,10 @@ def benchmark(
 ) -> DataFrame:
     """Fold mean and deviation per model, best first; `extra` adds predictions made elsewhere."""
     out = None
-    predicted = {m.name: out_of_fold(table, m, folds, n_features, classes) for m in models}
+    # fits are many short jobs, so those of several models fill the cluster together
+    with ThreadPoolExecutor(min(PARALLEL_FITS, len(models))) as pool:
+        made = list(pool.map(lambda m: out_of_fold(table, m, folds, n_features, classes), models))
+    predicted = {m.name: p for m, p in zip(models, made)}
     for name, p in {**predicted, **(extra or {})}.items():
         scores = fold_scores(p.select("fold", target, PREDICTED), target, model=name)
         out = scores if out is None else out.unionByName(scores)
