@@ -50,6 +50,8 @@ def parquet_panel(spark, sf):
 # --- statements -----------------------------------------------------------------------------
 
 _INCOME = ["ebit"]
+#: Documents of a written file.
+DOCUMENTS_PER_FILE = 50
 _ITEM = {n: V.LINE_ITEM_ALIASES[n][0] for n in [*R.LINES, "total_assets"]}
 
 
@@ -83,23 +85,51 @@ def _write_documents(spark, sf) -> str:
     return path
 
 
-@query(
-    "statement_scan",
-    with_roles(
-        ["statements"],
-        "WITH long AS (UNPIVOT (SELECT ticker, fiscal_year, " + ", ".join(f"coalesce({n}, -1) AS \"{_ITEM[n]}\"" for n in _ITEM) + " FROM statements) ON "
-        + ", ".join(f'"{_ITEM[n]}"' for n in _ITEM)
-        + f""" INTO NAME item VALUE v),
+_LINES_SQL = with_roles(
+    ["statements"],
+    "WITH long AS (UNPIVOT (SELECT ticker, fiscal_year, " + ", ".join(f"coalesce({n}, -1) AS \"{_ITEM[n]}\"" for n in _ITEM) + " FROM statements) ON "
+    + ", ".join(f'"{_ITEM[n]}"' for n in _ITEM)
+    + f""" INTO NAME item VALUE v),
 e AS (SELECT ticker, fiscal_year || '-06-30' AS period, item, CASE WHEN v <> -1 THEN CASE WHEN fiscal_year % 2 = 1 THEN v / 2 ELSE v END END AS v FROM long
   UNION ALL SELECT ticker, fiscal_year || '-12-31', item, CASE WHEN v <> -1 THEN v END FROM long WHERE fiscal_year % 2 = 1)
 SELECT ticker, CASE WHEN item = 'EBIT' THEN 'income_statement' ELSE 'balance_sheet' END AS statement, period, item, {r6("v", "value", 5)} FROM e""",
-    ),
 )
+
+
+@query("statement_scan", _LINES_SQL)
 def statement_scan(spark, sf):
     documents = SS.read_statements(spark, _write_documents(spark, sf), multi_line=False)
     return rounded(SS.statement_lines(documents), ["value"], 5)
 
 
+def _write_yearly_documents(spark, sf) -> str:
+    """Files of several lines per document: one document per ticker, each statement with all its periods, as the providers' files are laid out."""
+    path = scratch_path(spark, "yearly-statements")
+    rows = _statement_rows(spark, sf)
+    number = F.when(F.col("value").isNull(), "NaN").otherwise(F.col("value").cast("string"))
+    entry = F.concat(F.lit('      "'), F.col("item"), F.lit('": '), number)
+    # bounded groups: the items of a period, the periods of a ticker
+    periods = rows.groupBy("ticker", "income", "period").agg(F.array_join(F.collect_list(entry), ",\n").alias("lines"))
+    period = F.concat(F.lit('    "'), F.col("period"), F.lit('": {\n'), F.col("lines"), F.lit("\n    }"))
+    sections = periods.groupBy("ticker").agg(
+        F.array_join(F.collect_list(F.when(F.col("income") == 0, period)), ",\n").alias("b"), F.array_join(F.collect_list(F.when(F.col("income") == 1, period)), ",\n").alias("i")
+    )
+    text = F.concat(
+        F.lit('{\n  "ticker": "'), F.col("ticker"), F.lit('",\n  "balance_sheet": {\n'), F.col("b"), F.lit('\n  },\n  "income_statement": {\n'), F.col("i"), F.lit('\n  },\n  "cashflow": null\n}'),
+    )
+    files = max(1, sections.count() // DOCUMENTS_PER_FILE)
+    listed = sections.groupBy(F.pmod(F.xxhash64("ticker"), F.lit(files)).alias("file")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(text), ",\n"), F.lit("\n]")).alias("value"))
+    listed.write.partitionBy("file").text(path)  # one array of documents is one file
+    return path
+
+
+@query("statement_documents", _LINES_SQL)
+def statement_documents(spark, sf):
+    """The lines of documents of many lines and many periods."""
+    documents = SS.read_statements(spark, _write_yearly_documents(spark, sf))
+    return rounded(SS.statement_lines(documents), ["value"], 5)
+
+
 @query(
     "statement_ratios",
     with_roles(
