@@ -13,6 +13,7 @@ from ratingloom.plans import roles as R
 from ratingloom.plans.common import i8, longs, news_sql, r6, rounded, rounded_news
 from ratingloom.plans.registry import query
 from ratingloom.plans.roles import with_roles
+from ratingloom.session import scratch_path
 from ratingloom.sources import news_files as NF
 
 
@@ -209,6 +210,60 @@ def news_file_index(spark, sf):
     return index.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("files"), F.sum("article_count").alias("article_count"))
 
 
+def _folder(spark, sf) -> str:
+    """A folder with a news file per ticker and year that holds all its articles; those of 1997 are cut off, sign-ups give a name without a year."""
+    e = R.articles(spark, sf)
+    number = F.regexp_replace("ticker", r"\.SR$", "")
+    article = F.struct("ticker", F.col("event_type").alias("title"), F.col("score").cast("string").alias("description"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"))
+    # bounded: the articles of one ticker and year are one document by the format
+    documents = e.groupBy("ticker", "fiscal_year").agg(F.collect_list(F.when(F.col("event_type") != "view", article)).alias("articles"), F.count_if(F.col("event_type") == "signup").alias("signups"))
+    body = F.to_json(F.struct("ticker", F.col("fiscal_year").alias("year"), "articles"))
+    year = F.concat(F.lit("_"), F.col("fiscal_year").cast("string"))
+    good = F.struct(F.concat(number, F.lit("_SR"), year, F.lit("_news.json")).alias("file_name"), F.when(F.col("fiscal_year") == 1997, body.substr(F.lit(1), F.length(body) - 5)).otherwise(body).alias("value"))
+    bad = F.struct(F.concat(number, F.lit("SR"), F.translate(year, "_", ""), F.lit("_news.json")).alias("file_name"), body.alias("value"))
+    path = scratch_path(spark, "news-folder")
+    files = F.when(F.col("signups") > 2, F.array(good, bad)).otherwise(F.array(good))
+    NF.write_news_folder(documents.select(F.inline(files)), path)
+    return path
+
+
+@query(
+    "news_folder",
+    with_roles(
+        ["articles"],
+        f"""WITH wanted AS (SELECT * FROM articles WHERE fiscal_year IN (1996, 1999) AND event_type <> 'view')
+SELECT k.ticker, k.fiscal_year, {r6("coalesce(avg(score), 0)", "sentiment_mean", 9)}, CAST(count(w.event_id) AS BIGINT) AS news_count
+FROM (SELECT DISTINCT ticker, fiscal_year FROM articles WHERE fiscal_year IN (1996, 1999)) k LEFT JOIN wanted w ON w.ticker = k.ticker AND w.fiscal_year = k.fiscal_year GROUP BY 1, 2""",
+    ),
+)
+def news_folder(spark, sf):
+    """Aggregates of two years from a folder of news files, of which the other years' are never opened."""
+    files = NF.read_news_folder(spark, _folder(spark, sf), years=[1996, 1999])
+    accepted = NF.accepted(NF.parse_news(files)).select(*KEYS, F.explode_outer("articles").alias("a"))
+    scored = accepted.select(*KEYS, F.col("a.description").try_cast("double").alias("score"))
+    out = N.aggregate_scores(scored)
+    return rounded(out.select(*KEYS, "sentiment_mean", "news_count"), ["sentiment_mean"], 9)
+
+
+@query(
+    "news_folder_files",
+    with_roles(
+        ["articles"],
+        """WITH k AS (SELECT ticker, fiscal_year, count(*) FILTER (WHERE event_type = 'signup') > 2 AS twice FROM articles GROUP BY 1, 2)
+SELECT CASE WHEN fiscal_year IN (1996, 1997) THEN 'read' ELSE 'skipped' END AS state, count(*) AS files, count(*) FILTER (WHERE fiscal_year = 1997) AS cut_off FROM k GROUP BY 1
+UNION ALL SELECT 'without a key', count(*), 0 FROM k WHERE twice HAVING count(*) > 0""",
+    ),
+)
+def news_folder_files(spark, sf):
+    """How many files of a folder a read of two years opens, skips, and rejects for their content or name."""
+    path = _folder(spark, sf)
+    index = NF.folder_index(spark, path)
+    parsed = NF.parse_news(NF.read_news_folder(spark, path, years=[1996, 1997]))
+    opened = index.join(parsed.select("file_name", "reject_reason"), "file_name", "left").withColumn("opened", F.col("fiscal_year").isin(1996, 1997))
+    state = F.when(F.col("fiscal_year").isNull(), "without a key").when(F.col("opened"), "read").otherwise("skipped")
+    return opened.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("reject_reason") == "json").alias("cut_off"))
+
+
 # --- text -----------------------------------------------------------------------------------
 
 _URL = "CASE WHEN event_type = 'error' THEN '' ELSE event_type || '/' || CAST(score > 0 AS INTEGER) END"

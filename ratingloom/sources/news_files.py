@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +13,48 @@ from ratingloom.functions.text import article_text, news_file_key
 _CORRUPT = "_corrupt"
 
 
+#: The file's name in its path; files that Spark wrote partitioned by name lie in a folder of that name.
+_NAME_IN_PATH = r"([^/=]+?)(?:/part-[^/]*)?$"
+
+
 def read_news_files(spark: SparkSession, path: str, glob: str = "*_news.json") -> DataFrame:
     """(file_name, value) of every news file; the file is the unit of parsing."""
     reader = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     return reader.text(path).select(F.col("_metadata.file_name").alias("file_name"), "value")
 
 
+def read_news_folder(spark: SparkSession, path: str, tickers: Sequence[str] | None = None, years: Sequence[int] | None = None) -> DataFrame:
+    """(file_name, value) of the news files of a folder, by any of their keys.
+
+    The key stands in a file's name, so the wanted tickers and years are a condition on the
+    path, which Spark applies when it plans the scan: files of other keys are not opened. Files
+    whose name has no key are kept, for the table of rejects. Works wherever Spark can read.
+    """
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    name = F.regexp_extract("_metadata.file_path", _NAME_IN_PATH, 1)
+    ticker, year = news_file_key(name)
+    files = reader.text(path).where(F.lower(name).endswith("_news.json"))
+    if tickers is not None:
+        files = files.where(ticker.isNull() | ticker.isin(list(tickers)))
+    if years is not None:
+        files = files.where(year.isNull() | year.isin([int(y) for y in years]))
+    return files.select(name.alias("file_name"), "value")
+
+
+def folder_index(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, ticker, fiscal_year, bytes) of the news files of a folder, from the listing alone."""
+    name = F.regexp_extract("_metadata.file_path", _NAME_IN_PATH, 1)
+    ticker, year = news_file_key(F.col("file_name"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = listed.select(name.alias("file_name"), F.col("length").alias("bytes")).where(F.lower("file_name").endswith("_news.json"))
+    return files.select("file_name", ticker.alias("ticker"), year.alias("fiscal_year"), "bytes")
+
+
+def write_news_folder(files: DataFrame, path: str) -> None:
+    """Writes (file_name, value) rows, one file each, in a folder of its name. Names must differ."""
+    files.select("file_name", "value").write.partitionBy("file_name").text(path)
+
+
 def parse_news(files: DataFrame) -> DataFrame:
     """Adds the key from the name, the document, and why a file is rejected."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.NEWS_DOCUMENT.fields)

@@ -156,3 +156,30 @@ def test_phrases_of_any_length_are_found_whole(spark, monkeypatch, chars):
     found = N.phrase_hits(spark.createDataFrame(texts, "article_id long, text string"), spark.createDataFrame(phrases, "ticker string, tier int, phrase string"))
     expected = {(i, t, tier) for i, text in texts for t, tier, p in phrases if plain(p).strip() and plain(p) in plain(text)}
     assert any(t == "z" for _, t, _ in expected) and rows(found) == sorted(expected)
+
+
+def _opened(df):
+    """How many files the planned scan opens."""
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).selectedPartitions().totalNumberOfFiles()
+
+
+def test_files_of_other_keys_are_not_opened(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for name in ("1_SR_2020_news.json", "1_SR_2021_news.json", "2_SR_2021_NEWS.json", "deep/3_SR_2021_news.json", "nokey_news.json", "other.json"):
+        write_news(tmp_path, name, [{"title": name}])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        every = NF.read_news_folder(spark, str(tmp_path))
+        assert every.count() == 5 and _opened(every) == 5
+        year = NF.read_news_folder(spark, str(tmp_path), years=[2021])
+        assert sorted(r["file_name"] for r in year.collect()) == ["1_SR_2021_news.json", "2_SR_2021_NEWS.json", "3_SR_2021_news.json", "nokey_news.json"] and _opened(year) == 4
+        both = NF.read_news_folder(spark, str(tmp_path), tickers=["1.SR"], years=[2021])
+        assert _opened(both) == 2 and [(r["ticker"], r["fiscal_year"]) for r in NF.accepted(NF.parse_news(both)).collect()] == [("1.SR", 2021)]
+        assert NF.folder_index(spark, str(tmp_path)).where("fiscal_year = 2021").count() == 3
+        files = spark.createDataFrame([("7_SR_2022_news.json", json.dumps({"ticker": "7.SR", "year": 2022, "articles": []})), ("8_SR_2023_news.json", "{")], "file_name string, value string")
+        NF.write_news_folder(files, str(tmp_path / "written"))
+        back = NF.read_news_folder(spark, str(tmp_path / "written"), years=[2022])
+        assert [(r["ticker"], r["reject_reason"]) for r in NF.parse_news(back).collect()] == [("7.SR", None)] and _opened(back) == 1
+        assert NF.rejected(NF.parse_news(NF.read_news_folder(spark, str(tmp_path / "written")))).collect()[0]["file_name"] == "8_SR_2023_news.json"
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
