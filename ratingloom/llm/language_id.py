@@ -2,8 +2,9 @@
 
 Features are the byte pairs and hashed byte triples of the lower-cased text,
 weighed by their share of the text and by inverse document frequency, counted
-over all documents that may be learned from. The weights are fitted on a bounded
-sample of those documents by follow-the-regularised-leader with elastic-net
+over all documents that may be learned from. The languages are all that those documents have;
+the weights are fitted on a bounded sample of them, of which a rare language has a
+guaranteed part, by follow-the-regularised-leader with elastic-net
 penalties (an absolute one that keeps weights at zero, and a quadratic one), and
 a temperature, fitted on a part of the sample that the weights have not seen,
 calibrates the probabilities.
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 
 from ratingloom.llm import textkernel as K
 from ratingloom.llm.registry import given, query
-from ratingloom.llm.sampling import bounded
+from ratingloom.llm.sampling import SPACE
 
-#: Documents the weights are fitted on at most; every fourth of them sets the temperature.
-SAMPLE_ROWS, CALIBRATION = 4_000, 4
+#: Documents the weights are fitted on, about, and those that every language has at least (all it has, if fewer); every fourth document sets the temperature.
+SAMPLE_ROWS, LANGUAGE_ROWS, CALIBRATION = 4_000, 100, 4
 PAIRS = 1 << 16
 FEATURES = 2 * PAIRS
 #: Learning rate, its smoothing, and the absolute and quadratic penalties.
@@ -167,13 +168,21 @@ def fitted(texts: pa.Array, label: np.ndarray, languages: list[str], idf: np.nda
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """The model from the rows of `docs` that have a language; at most about `rows` of them come to the driver."""
+    """The model from the rows of `docs` that have a language; about `rows` of them come to the driver, and LANGUAGE_ROWS more of each rare language."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts, total = document_frequencies(known, text_col)
     idf = np.log((1 + total) / (1 + counts)) + 1
-    sample = bounded(known.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), rows)
+    sizes = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}  # one row per language
+    languages = sorted(sizes)
+    share = min(1.0, rows / max(sum(sizes.values()), 1))
+    wanted = {x: min(1.0, max(share, LANGUAGE_ROWS / n)) for x, n in sizes.items()}
+    named = known.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = named.where("false")
+    if languages:
+        quota = F.create_map(*[F.lit(v) for x, p in wanted.items() for v in (x, int(SPACE * p))])[F.col("lang")]
+        # by a hash of the text where ids repeat, so that copies of a row are not drawn together for its id alone
+        sample = named.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SPACE)) < quota).limit(2 * (rows + LANGUAGE_ROWS * len(languages)))
     table = sample.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")])
-    languages = sorted(set(table["lang"].to_pylist()))
     if not languages:
         return Model([], np.zeros((FEATURES + 1, 0), np.float32), np.zeros(0), 1.0)
     shuffled = np.random.default_rng(7).permutation(table.num_rows)

@@ -1,22 +1,22 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Notices are compared line by line, licence files as a whole, with templates of
-common notices. Term weights use the number of all documents that have a template's
-term; a term no template has weighs as one that a single document has. A text or
-line with the cosine `least` to a template shares one of that template's heavy
-terms (those without which its remaining length falls below `least`), so one
+Lines, their sentences, and whole texts are compared with templates: short notices and file headers,
+SPDX tags, and the opening lines of licence texts. Terms weigh by their document frequency over all
+documents, whether a template has them or not, so a score does not depend on the size
+of the table but on the shares of documents. A part with the cosine `least` to a template shares one of that template's
+heavy terms (those without which its remaining length falls below `least`), so one
 pattern over the whole text finds every candidate.
 
-A file has the licence of its best notice. A file that matches as a whole is a
-licence file and gives its licence to its directory. A file without a notice has that of the
-nearest directory above it that has one, found by joining the directories, not
-the files, with their ancestors.
+A file has the licence of its best part. A file that matches a template as a whole, or that has the opening
+line of a licence's own text, is a licence file and gives its licence to its directory. A file without a
+notice has that of the nearest directory above it that has one, found by joining the
+directories, not the files, with their ancestors.
 
-All of it is DataFrame expressions; only the templates and one count per term
+All of it is DataFrame expressions; only the templates and one count per term of theirs
 come to the driver.
 
-Defined results: NULL and empty texts have no notice and inherit; a NULL part of
-a path is an empty name; equal cosines go by the template's name, equal licence files by the smaller
+Defined results: NULL and empty texts have no notice and inherit; a row without an id is counted, has no notice of its own and
+inherits; a NULL part of a path is an empty name; equal cosines go by the licence's name, equal licence files by the smaller
 id; repeated rows are reported each; an empty table gives an empty result.
 """
 
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from ratingloom.llm.registry import given, query
 from ratingloom.llm.scratch import Scratch
 
-#: Cosine from which a line or text counts as a template's.
+#: Cosine from which a part counts as a template's.
 LEAST = 0.6
-#: Short notices of common licences.
-TEMPLATES = (
+#: Short notices and file headers of common licences.
+NOTICES = (
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("BSD-2-Clause", "licensed under the BSD 2-Clause License"),
@@ -56,6 +56,31 @@ TEMPLATES = (
     ("Unlicense", "released into the public domain under the Unlicense"),
 )
 
+#: Opening lines of the licences' own texts.
+OPENINGS = (
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+)
+#: (licence, text, whether it opens the licence's own text)
+TEMPLATES = (
+    *((name, text, False) for name, text in NOTICES), *((name, f"SPDX-License-Identifier: {name}", False) for name, _ in NOTICES),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3", False),
+    *((name, text, True) for name, text in OPENINGS),
+)
+#: What ends a sentence within a line.
+SENTENCE_END = r"[.;!?][ \t]+"
+
 
 def _terms(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
@@ -66,20 +91,15 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def term_weights(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    """Inverse document frequency of the given terms over all rows, and that of a term one row has."""
-    held = docs.select(F.array_intersect(terms(F.coalesce("text", F.lit(""))), F.array(*[F.lit(t) for t in vocabulary])).alias("t"))
-    counted = held.select(F.explode(F.concat("t", F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("k"))
-    k = {r["term"]: r["k"] for r in counted.toLocalIterator()}  # one row per term of the templates
-    n = k.get("", 0)
-    weight = lambda found: math.log((1 + n) / (1 + found)) + 1
-    return {t: weight(k.get(t, 0)) for t in vocabulary}, weight(min(1, n))
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term, k: how many rows have it. Terms are counted in each task before they are shuffled."""
+    return docs.select(F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("k"))
 
 
-def heavy_terms(templates: list[tuple[str, dict[str, float]]], least: float) -> set[str]:
+def heavy_terms(templates: list[dict[str, float]], least: float) -> set[str]:
     """Terms of which a text must have one to reach the cosine `least` with any of the templates."""
     out: set[str] = set()
-    for _, weights in templates:
+    for weights in templates:
         rest = sum(w * w for w in weights.values())
         bound = least * least * rest
         for term, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
@@ -90,28 +110,35 @@ def heavy_terms(templates: list[tuple[str, dict[str, float]]], least: float) ->
     return out
 
 
-def notices(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """doc_id, licence, score, whole of the best match of every document that has one; whole: the text matches, not a line."""
+def notices(docs: DataFrame, templates: tuple[tuple[str, str, bool], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
+    """doc_id, licence, score, whole of the best match of every document that has one; whole: it is a licence file."""
     spark = docs.sparkSession
-    vocabulary = sorted({t for _, text in templates for t in _terms(text)})
-    weight, other = term_weights(docs, vocabulary)
-    vectors = [(name, {t: c * weight[t] for t, c in Counter(_terms(text)).items()}) for name, text in templates]
-    lengths = {name: math.sqrt(sum(w * w for w in v.values())) for name, v in vectors}
-    table = spark.createDataFrame([(t, name, w * weight[t] / lengths[name]) for name, v in vectors for t, w in v.items()], "term string, licence string, share double")
-    weights = spark.createDataFrame([(t, w) for t, w in weight.items()], "term string, weight double")
+    scratch = Scratch(spark, "licences")
+    held, n = scratch.write(document_frequencies(docs), "frequencies"), docs.count()
+    vocabulary = sorted({t for _, text, _ in templates for t in _terms(text)})
+    known = {r["term"]: r["k"] for r in held.where(F.col("term").isin(vocabulary)).toLocalIterator()}  # one row per term of the templates
+    weight = {t: math.log((1 + n) / (1 + known.get(t, 0))) + 1 for t in vocabulary}
+    vectors = [{t: c * weight[t] for t, c in Counter(_terms(text)).items()} for _, text, _ in templates]
+    rows = [
+        (t, k, name, opens, w * weight[t] / math.sqrt(sum(x * x for x in v.values())))
+        for k, ((name, _, opens), v) in enumerate(zip(templates, vectors, strict=True)) for t, w in v.items()
+    ]
+    table = spark.createDataFrame(rows, "term string, template int, licence string, opens boolean, share double")
 
     pattern = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(heavy_terms(vectors, least))) + r")(?![a-z0-9])"
-    texts = docs.select("doc_id", "text").where(F.col("text").rlike(pattern))
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike(pattern))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(pattern))
-    parts = texts.select("doc_id", F.xxhash64("text").alias("content"), F.posexplode(F.concat(F.array("text"), lines)).alias("part", "line"))
+    sentences = F.flatten(F.transform(lines, lambda line: F.split(line, SENTENCE_END)))
+    parts = texts.select("doc_id", F.xxhash64("text").alias("content"), F.posexplode(F.concat(F.array("text"), lines, F.filter(sentences, lambda x: x.rlike(pattern)))).alias("part", "line"))
     counts = parts.select("doc_id", "content", "part", F.explode(terms(F.col("line"))).alias("term")).groupBy("doc_id", "content", "part", "term").agg(F.count("*").alias("n"))
     key = ["doc_id", "content", "part"]
-    counts = Scratch(spark, "licences").write(counts, "counts")  # read for the lengths and for the products
-    length = counts.join(F.broadcast(weights), "term", "left").groupBy(key).agg(F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("weight", F.lit(other)), 2))).alias("length"))
-    product = counts.join(F.broadcast(table), "term").groupBy(*key, "licence").agg(F.sum(F.col("n") * F.col("share")).alias("product"))
+    counts = scratch.write(counts, "counts")  # read for the lengths and for the products
+    weighed = counts.join(held, "term").withColumn("w", F.col("n") * (F.log((1 + n) / (1 + F.col("k"))) + 1))
+    length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    product = counts.join(F.broadcast(table), "term").groupBy(*key, "template", "licence", "opens").agg(F.sum(F.col("n") * F.col("share")).alias("product"))
     scored = product.join(length, key).withColumn("score", F.round(F.least(F.lit(1.0), F.col("product") / F.col("length")), 6)).where(F.col("score") >= least)
     best = scored.groupBy("doc_id").agg(
-        F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), "licence", "part")).alias("best"), F.max(F.col("part") == 0).alias("whole")
+        F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), "licence", "part")).alias("best"), F.max((F.col("part") == 0) | F.col("opens")).alias("whole")
     )
     return best.select("doc_id", "best.licence", "best.score", "whole")
 
@@ -148,20 +175,22 @@ def files_of(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    rows = ", ".join(f"('{name}', '{t}', {c})" for name, text in TEMPLATES for t, c in sorted(Counter(_terms(text)).items()))
+    rows = ", ".join(f"({k}, '{name}', {str(opens).lower()}, '{t}', {c})" for k, (name, text, opens) in enumerate(TEMPLATES) for t, c in sorted(Counter(_terms(text)).items()))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') || '/' || coalesce(lang, '') AS directory FROM documents),
-templates(licence, term, c) AS (VALUES {rows}),
+templates(template, licence, opens, term, c) AS (VALUES {rows}),
 size AS (SELECT count(*) AS n FROM d),
-held AS (SELECT term, count(DISTINCT doc_id) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS term FROM d) WHERE term IN (SELECT term FROM templates) GROUP BY 1),
-weight AS (SELECT DISTINCT t.term, ln((1 + n) / (1 + coalesce(k, 0))::DOUBLE) + 1 AS weight FROM templates t CROSS JOIN size LEFT JOIN held USING (term)),
-vec AS (SELECT licence, t.term, c * weight * weight AS share, sqrt(sum(c * weight * c * weight) OVER (PARTITION BY licence)) AS length FROM templates t JOIN weight USING (term)),
-parts AS (SELECT doc_id, 0 AS part, t AS line FROM d UNION ALL SELECT doc_id, i, lines[i] FROM (SELECT doc_id, string_split(t, chr(10)) AS lines, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d)),
-terms AS (SELECT doc_id, part, term, count(*) AS n FROM (SELECT doc_id, part, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM parts) GROUP BY ALL),
-norm AS (SELECT doc_id, part, sqrt(sum(pow(t.n * coalesce(w.weight, ln((1 + s.n) / (1 + least(1, s.n))::DOUBLE) + 1), 2))) AS length FROM terms t CROSS JOIN size s LEFT JOIN weight w USING (term) GROUP BY 1, 2),
-scored AS (SELECT t.doc_id, t.part, v.licence, round(least(1.0, sum(t.n * v.share) / any_value(v.length) / any_value(m.length)), 6) AS score
-  FROM terms t JOIN vec v USING (term) JOIN norm m USING (doc_id, part) GROUP BY 1, 2, 3 HAVING score >= {LEAST}),
-own AS (SELECT doc_id, first(licence ORDER BY score DESC, licence) AS licence, max(score) AS score, bool_or(part = 0) AS whole FROM scored GROUP BY 1),
+numbered AS (SELECT row_number() OVER () AS r, t FROM d),
+held AS (SELECT term, count(DISTINCT r) AS k FROM (SELECT r, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS term FROM numbered) GROUP BY 1),
+weight AS (SELECT term, ln((1 + n) / (1 + k)::DOUBLE) + 1 AS weight FROM (SELECT term, k FROM held UNION ALL SELECT DISTINCT term, 0 FROM templates WHERE term NOT IN (SELECT term FROM held)) CROSS JOIN size),
+vec AS (SELECT template, licence, opens, t.term, c * weight * weight AS share, sqrt(sum(c * weight * c * weight) OVER (PARTITION BY template)) AS length FROM templates t JOIN weight USING (term)),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+parts AS (SELECT row_number() OVER () AS part, * FROM (SELECT doc_id, true AS entire, t AS line FROM d UNION ALL SELECT doc_id, false, line FROM lines UNION ALL SELECT doc_id, false, unnest(string_split_regex(line, '{SENTENCE_END}')) FROM lines)),
+terms AS MATERIALIZED (SELECT part, any_value(doc_id) AS doc_id, any_value(entire) AS entire, term, count(*) AS n FROM (SELECT doc_id, part, entire, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM parts) GROUP BY part, term),
+norm AS (SELECT part, sqrt(sum(t.n * weight * t.n * weight)) AS length FROM terms t JOIN weight w USING (term) GROUP BY 1),
+scored AS (SELECT any_value(t.doc_id) AS doc_id, t.part, any_value(v.licence) AS licence, any_value(t.entire OR v.opens) AS whole, round(least(1.0, sum(t.n * v.share) / any_value(v.length) / any_value(m.length)), 6) AS score
+  FROM terms t JOIN vec v USING (term) JOIN norm m USING (part) GROUP BY t.part, v.template HAVING score >= {LEAST}),
+own AS (SELECT doc_id, first(licence ORDER BY score DESC, licence) AS licence, max(score) AS score, bool_or(whole) AS whole FROM scored GROUP BY 1),
 files AS (SELECT d.doc_id, d.directory, o.licence, o.score, o.whole FROM d LEFT JOIN own o USING (doc_id)),
 givers AS (SELECT directory, first(licence ORDER BY score DESC, doc_id) AS licence, max(score) AS score FROM files WHERE whole GROUP BY 1),
 near AS (SELECT f.directory, arg_max(struct_pack(a := g.directory, licence := g.licence, score := g.score), length(g.directory)) AS near

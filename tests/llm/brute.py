@@ -54,24 +54,26 @@ def secrets(text):
 
 
 def licences(docs, templates, least):
-    """{id: (licence, score, whole)} of the best line or text."""
+    """{id: (licence, score, whole)} of the best part: the text, a line, or a sentence of one."""
     cut = lambda t: re.findall("[a-z0-9]+", t.lower())
     held = Counter(t for _, text in docs for t in set(cut(text or "")))
-    known = {t for _, x in templates for t in cut(x)}
-    weight = lambda t: math.log((1 + len(docs)) / (1 + (held[t] if t in known else 1))) + 1
+    weight = lambda t: math.log((1 + len(docs)) / (1 + held[t])) + 1
     vector = lambda x: {t: c * weight(t) for t, c in Counter(cut(x)).items()}
     size = lambda v: math.sqrt(sum(z * z for z in v.values()))
-    rows = [(name, vector(x)) for name, x in templates]
+    rows = [(name, vector(x), opens) for name, x, opens in templates]
     out = {}
     for i, text in docs:
+        if i is None:
+            continue
         found, whole = [], False
-        for part, line in enumerate([text or "", *(text or "").split("\n")]):
+        lines = (text or "").split("\n")
+        for part, line in enumerate([text or "", *lines, *(x for line in lines for x in re.split(r"[.;!?][ \t]+", line))]):
             v = vector(line)
-            for name, w in rows if v else []:
+            for name, w, opens in rows if v else []:
                 score = round(sum(v[x] * w[x] for x in w if x in v) / size(v) / size(w), 6)
                 if score >= least:
                     found.append((-score, name, part))
-                    whole |= part == 0
+                    whole |= part == 0 or opens
         if found:
             out[i] = (min(found)[1], -min(found)[0], whole)
     return out

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from ratingloom.llm import catalogue, license_inheritance, mtree_search, ngram_join, template_decontamination, toxic_sentences
+from ratingloom.llm import catalogue, language_id, license_inheritance, mtree_search, ngram_join, template_decontamination, toxic_sentences
 from tests.compare import compare, connect
 from tests.llm import brute
 
@@ -86,6 +86,21 @@ def test_licences(spark, sf_dir, texts):
     assert got == brute.licences(texts, license_inheritance.TEMPLATES, license_inheritance.LEAST)
 
 
+def test_licence_files_and_size(spark):
+    """Licence texts, tags and notices within a line are found, whatever the size of the table."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    own = [
+        (1, "Copyright 2024 Foo. Released under the MIT License."), (2, "/* SPDX-License-Identifier: Apache-2.0 */\nint x;"), (3, "MIT License\n\nCopyright (c) 2024 Foo\n\n" + mit),
+        (4, "# This file is released under the MIT License.\ncode"), (5, "We met a person who had a copy of the software"), (6, "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+    ]
+    filler = lambda n: [(100 + i, f"the {i} of a file was under this version and the name{i} is any other w{i % 17}") for i in range(n)]
+    for n in (50, 3000):
+        docs = spark.createDataFrame(own + filler(n), "doc_id long, text string")
+        got = {r["doc_id"]: (r["licence"], r["whole"]) for r in license_inheritance.notices(docs).collect()}
+        assert {i: name for i, (name, _) in got.items()} == {1: "MIT", 2: "Apache-2.0", 3: "MIT", 4: "MIT", 6: "GPL-3.0"}, n
+        assert got[3][1] and got[6][1]  # they hold the licence's own text
+
+
 def test_nearest_directory(spark):
     files = spark.createDataFrame([(1, "a", "a/l"), (2, "a/b/c", "a/b/c/x"), (3, "a/b", "a/b/l"), (4, "a", "a/m"), (5, "z", "z/1")], "doc_id long, directory string, path string")
     found = spark.createDataFrame([(1, "MIT", 1.0, True), (3, "ISC", 0.9, True), (4, "BSL-1.0", 0.8, False)], "doc_id long, licence string, score double, whole boolean")
@@ -135,6 +150,19 @@ def test_held_out_accuracy(spark):
     assert (judged.keep == (judged.quality == 1)).mean() > 0.97
 
 
+def test_a_rare_language_is_learned(spark):
+    """However many documents the others have."""
+    chance = random.Random(1)
+    word = lambda letters: "".join(chance.choice(letters) for _ in range(chance.randint(2, 7)))
+    text = lambda letters: " ".join(word(letters) for _ in range(30))
+    docs = [(i, text("abcdefg"), "aa") for i in range(6000)] + [(10_000 + i, text("tuvwxyz"), "zz") for i in range(12)] + [(20_000, "nothing", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.train(df, 300)
+    assert model.languages == ["aa", "zz"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predicted(df, model).collect()}
+    assert all(got[i] == lang for i, _, lang in docs if lang)
+
+
 def test_offending_sentences_are_found(spark):
     plain = "We met at noon. The weather was fine! Nobody said a word\nThen we left."
     bad = "We met at noon. You are a blargh person! Then we left."
