@@ -19,8 +19,8 @@ capitalised word that begins a sentence of an item may follow other words in a
 document, where it reads as a name; windows of items are indexed under both
 readings, and under the second one the word has to be the same.
 
-Items of which all windows are needed (few or none count) are also found by their
-whole token sequence, case aside: there every character of three or more bytes is
+Every item is also found by its whole token sequence, case aside, which finds items with
+few windows and copies whose names are written in another case: there every character of three or more bytes is
 a token of its own, so items in scripts without spaces take part. A sequence is
 sent on by a filter like the windows are, and joined by its length and hash.
 
@@ -328,10 +328,8 @@ def contaminated(
     judged = enough.join(slots, ["doc_id", "item_id"], "left").where("coalesce(most, 1) = 1")
     by_windows = judged.select("doc_id", "item_id", "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
 
-    # items of which no window may be missing: whole copies, which have all windows and slots unchanged
-    many = total.where(needed < F.col("n_windows")).select(F.col("item_id").alias(item_col))
-    few = benchmark.select(item_col, item_text_col).where(F.col(item_col).isNotNull()).join(many, item_col, "left_anti")
-    copied = copies(docs, few, scratch, id_col, text_col, item_col, item_text_col)
+    # whole copies in any case of letters: of items too short for windows to be missing, and of longer ones whose names are written otherwise
+    copied = copies(docs, benchmark.where(F.col(item_col).isNotNull()), scratch, id_col, text_col, item_col, item_text_col)
     if copied is None:
         return by_windows
     by_windows = scratch.write(by_windows, "by_windows")

@@ -77,7 +77,7 @@ def test_questions_with_other_numbers(spark):
         (3, ask.format(a="Carla", b="Dan", n=15, m=4).replace("eats 15", "eats 9")), (4, "Anna buys 12 apples."), (5, item.upper()),
     ]
     found = template_decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
-    assert {(r["doc_id"], r["n_slots"], r["n_changed"]) for r in found.collect()} == {(1, 5, 0), (2, 5, 4)}
+    assert {(r["doc_id"], r["n_slots"], r["n_changed"]) for r in found.collect()} == {(1, 5, 0), (2, 5, 4), (5, 5, 0)}
 
 
 def test_licences(spark, sf_dir, texts):
