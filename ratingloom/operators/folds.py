@@ -83,6 +83,20 @@ def dealt(sizes: Iterable[tuple[int, int]], folds: int) -> list[tuple[int, int,
     return out
 
 
+def prefix_length(groups: DataFrame, group: str, rows: int = BUCKET_ROWS) -> int:
+    """Leading characters of the names that cut them into buckets of at most `rows` names, or their full length.
+
+    Names may all begin alike, so each length is tried by a count; the names are distinct, so the full
+    length gives buckets of one.
+    """
+    name = F.col(group).cast("string")
+    longest = groups.agg(F.max(F.length(name))).first()[0] or 1
+    length = 3
+    while length < longest and (groups.groupBy(F.substring(name, 1, length)).count().agg(F.max("count")).first()[0] or 0) > rows:
+        length *= 2
+    return min(length, longest)
+
+
 def group_folds(df: DataFrame, group: str, folds: int = V.MAX_FOLDS) -> DataFrame:
     """Adds `fold` so that no group is in two folds and the folds are of even size.
 
@@ -98,7 +112,7 @@ def group_folds(df: DataFrame, group: str, folds: int = V.MAX_FOLDS) -> DataFram
     k = max(min(folds, sum(r["_groups"] for r in table)), 1)
     rows = dealt([(r["_size"], r["_groups"]) for r in table], k)
     places = spark.createDataFrame(rows, "_size bigint, _first bigint, _end bigint, _cycle array<int>")
-    numbered = rank_by_buckets(groups, [F.substring(F.col(group).cast("string"), 1, 3)], [F.col(group)], ["_size"], "_rank")
+    numbered = rank_by_buckets(groups, [F.substring(F.col(group).cast("string"), 1, prefix_length(groups, group))], [F.col(group)], ["_size"], "_rank")
     inside = (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
     turn = ((F.col("_rank") - F.col("_first")) % F.size("_cycle")).cast("int")
     chosen = numbered.join(places, "_size").where(inside).select(group, F.get("_cycle", turn).alias("fold"))

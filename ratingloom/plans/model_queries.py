@@ -329,6 +329,16 @@ def top_factors(spark, sf):
     return AT.top_factors(own, [*KEYS, TARGET], CLASSES, V.ALL_FEATURES)
 
 
+@query("reported_factors")
+def reported_factors(spark, sf):
+    """The first rows of the factor table with company and rating, as the printed report has them."""
+    table, fitted = _fitted(spark, sf)
+    own = AT.attributions(table, fitted, [*KEYS, TARGET], AT.predicted_index(fitted))
+    factors = AT.top_factors(own, [*KEYS, TARGET], CLASSES, V.ALL_FEATURES)
+    names = R.panel(spark, sf).select(*KEYS, "company_name", "rating")
+    return AT.reported_factors(factors.join(names, KEYS, "left"), KEYS)
+
+
 @query("dependence_points")
 def dependence_points(spark, sf):
     """Value, attribution and colour of the three feature pairs, for the largest class."""

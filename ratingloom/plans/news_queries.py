@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ratingloom import fixed_values as V
 from ratingloom.functions import text as TX
+from ratingloom.operators import article_model as AM
 from ratingloom.operators import news as N
 from ratingloom.operators.panel import KEYS
 from ratingloom.plans import roles as R
@@ -391,6 +392,26 @@ def batch_scored_news(spark, sf):
     return rounded(N.aggregate_scores(scored, keys=["source", "lang"]), V.SENTIMENTS)
 
 
+def learned_scores(spark, sf):
+    """doc_id, source, lang, quality, held_out, score of every document, by a model of the labelled ones that are not held out.
+
+    Good quality stands for a positive mood: like it, and unlike toxicity, it is a property of the whole text.
+    """
+    docs = R.table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    labels = R.table(spark, sf, "labels").where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = docs.join(labels, "doc_id", "left").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    learned = rows.where(~F.col("held_out")).withColumn("mood", F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative"))
+    path = scratch_path(spark, "article-model")
+    AM.save(AM.fit(learned, "text", "mood"), spark, path)
+    return N.score_articles(rows, F.col("text"), AM.scorer(AM.load(spark, path), spark, "positive", "negative")).drop("text")
+
+
+@query("learned_news")
+def learned_news(spark, sf):
+    """The news aggregates per source and language from a learned scorer."""
+    return N.aggregate_scores(learned_scores(spark, sf), keys=["source", "lang"])
+
+
 def _count_sql(words) -> str:
     inside = ", ".join(f"'{w}'" for w in words)
     return f"len(list_filter(regexp_split_to_array(lower(text || ' ' || source || ' growth'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w IN ({inside})))"

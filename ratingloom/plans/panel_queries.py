@@ -275,6 +275,21 @@ def renamed_year_join(spark, sf):
     return longs(rounded(out, V.RATIOS), V.FLAGS)
 
 
+@query(
+    "renamed_year_join_ratios",
+    with_roles(
+        ["ratios", "panel"],
+        f"""SELECT r.ticker, r.fiscal_year, f.fiscal_year AS fiscal_year_kam, {rlist(V.RATIOS, "r.")}, {ilist(V.FLAGS, "f.")}
+FROM ratios r JOIN panel f ON r.ticker = f.ticker AND r.fiscal_year = f.fiscal_year""",
+    ),
+)
+def renamed_year_join_ratios(spark, sf):
+    """The same with the ratio table, which is preferred where there is one."""
+    source = R.with_ratios(R.statements(spark, sf)).select(*KEYS, *V.RATIOS)
+    out = P.join_on_renamed_year(R.panel(spark, sf), source, R.agency_financials(spark, sf))
+    return longs(rounded(out.select(*KEYS, "fiscal_year_kam", *V.RATIOS, *V.FLAGS), V.RATIOS), V.FLAGS)
+
+
 # The base has the keys with a final order; supplement rows come from pending ones,
 # so some have no base row. Figures are missing by priority.
 _SUPPLEMENT_SQL = """

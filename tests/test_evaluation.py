@@ -236,3 +236,12 @@ def test_class_weights(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)], "name string")
     got = {r["name"]: r["weight"] for r in MO.with_class_weights(df, "name").distinct().collect()}
     assert got == {"a": 4 / 6, "b": 2.0}
+
+
+def test_groups_whose_names_begin_alike_are_cut_into_buckets(spark, monkeypatch):
+    groups = spark.range(500).select(F.concat(F.lit("the same beginning "), F.lpad(F.col("id").cast("string"), 4, "0")).alias("g"))
+    assert FO.prefix_length(groups, "g", 1000) == 3 and FO.prefix_length(groups, "g", 20) == 23 and FO.prefix_length(groups.where("false"), "g") == 1
+    plain = {r["g"]: r["fold"] for r in FO.group_folds(groups, "g", 4).collect()}
+    monkeypatch.setattr(FO, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(FO.prefix_length, "__defaults__", (20,))
+    assert {r["g"]: r["fold"] for r in FO.group_folds(groups, "g", 4).collect()} == plain
