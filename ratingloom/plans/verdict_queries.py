@@ -243,7 +243,10 @@ def verdict_fallback(spark, sf):
     rows = _replies(spark, sf)
     # the service is asked where the model failed; here it answers for every other year
     service = F.when(F.col("fiscal_year") % 2 == 1, F.concat(F.lit("Certainly.\n"), VD.verdict_json(F.col("verdict"))))
-    steps = [("model", VD.parse_reply(F.col("reply"))), ("service", VD.parse_reply(service)), ("template", F.col("verdict"))]
+    # each reply is parsed once: as columns of their own, which both the verdict and its method read
+    rows = rows.withColumn("_model", VD.parse_reply(F.col("reply")))
+    rows = rows.withColumn("_service", F.when(F.col("_model").isNull(), VD.parse_reply(service)))
+    steps = [("model", F.col("_model")), ("service", F.col("_service")), ("template", F.col("verdict"))]
     chosen, method = VD.choose_verdict(steps, "template_fallback")
     return rows.select(*KEYS, chosen.alias("v"), method.alias("generation_method")).select(*KEYS, F.col("v.company").alias("company"), "generation_method")
 
