@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingloom import fixed_values as V
-from ratingloom.operators.boosting import Boosted, Leaf
+from ratingloom.operators.boosting import Boosted, Leaf, matrix_of
 from ratingloom.operators.models import class_name
 from ratingloom.operators.profiles import with_descriptions
 
+#: Comparisons of a group of leaves whose outcomes are tabled together (two to their power patterns), and rows explained at a time.
+TESTS, EXPLAINED_ROWS = 7, 4_096
+
+
 def base_value(leaves: Sequence[Leaf]) -> float:
     """The model's mean output over its training rows' paths."""
     return float(sum(v * np.prod([share for *_, share in path]) for v, path in leaves))
@@ -30,24 +35,81 @@ def shapley_values(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
     """
     out = np.zeros(x.shape, dtype=float)
     for value, path in leaves:
-        m = len(path)
         follows = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path]
-        for i, (feature, _, _, share) in enumerate(path):
-            coefficients = [np.ones(len(x))]
-            for j, (*_, other) in enumerate(path):
-                if j == i:
-                    continue
-                grown = [c * other for c in coefficients] + [np.zeros(len(x))]
-                for size, c in enumerate(coefficients):
-                    grown[size + 1] = grown[size + 1] + c * follows[j]
-                coefficients = grown
-            weighted = sum(
-                c * (factorial(size) * factorial(m - size - 1) / factorial(m)) for size, c in enumerate(coefficients)
-            )
-            out[:, feature] += value * (follows[i] - share) * weighted
+        for (feature, *_), part in zip(path, _paid(value, path, follows)):
+            out[:, feature] += part
+    return out
+
+
+def _paid(value: float, path: Sequence[tuple[int, float, float, float]], follows: Sequence[np.ndarray]) -> Iterator[np.ndarray]:
+    """What each feature of a leaf's path gets, given who follows it (1 or 0)."""
+    m = len(path)
+    for i, (*_, share) in enumerate(path):
+        coefficients = [np.ones(len(follows[i]))]
+        for j, (*_, other) in enumerate(path):
+            if j == i:
+                continue
+            grown = [c * other for c in coefficients] + [np.zeros(len(follows[i]))]
+            for size, c in enumerate(coefficients):
+                grown[size + 1] = grown[size + 1] + c * follows[j]
+            coefficients = grown
+        weighted = sum(
+            c * (factorial(size) * factorial(m - size - 1) / factorial(m)) for size, c in enumerate(coefficients)
+        )
+        yield value * (follows[i] - share) * weighted
+
+
+@dataclass(frozen=True)
+class Patterns:
+    """Attributions of some leaves over few comparisons, for every pattern of their outcomes.
+
+    What a leaf pays depends on a row only by which of its features follow the path, so rows of
+    the same outcomes share their attributions and these are worked out once per pattern.
+    """
+
+    tests: list[tuple[int, float]]  # (feature, cut): whether a value lies above the cut
+    features: np.ndarray
+    values: np.ndarray  # (patterns, features)
+
+
+def tabled(leaves: Sequence[Leaf]) -> list[Patterns]:
+    """Leaves in the order of their trees, in groups of at most `TESTS` comparisons."""
+    groups: list[tuple[dict[tuple[int, float], None], list[Leaf]]] = []
+    for leaf in leaves:
+        own = {(f, cut): None for f, lo, hi, _ in leaf[1] for cut in (lo, hi) if np.isfinite(cut)}
+        if not groups or len({**groups[-1][0], **own}) > max(TESTS, len(own)):
+            groups.append(({}, []))
+        groups[-1][0].update(own)
+        groups[-1][1].append(leaf)
+    out = []
+    for tests, held in groups:
+        number = {test: i for i, test in enumerate(tests)}
+        features = sorted({f for f, _ in tests})
+        above = (np.arange(2 ** len(tests))[:, None] >> np.arange(len(tests))) & 1 == 1
+        values = np.zeros((len(above), len(features)))
+        for value, path in held:
+            follows = [
+                (above[:, number[f, lo]] if np.isfinite(lo) else True) & (~above[:, number[f, hi]] if np.isfinite(hi) else True) & np.ones(len(above), bool) for f, lo, hi, _ in path
+            ]
+            for i, part in enumerate(_paid(value, path, [f.astype(float) for f in follows])):
+                values[:, features.index(path[i][0])] += part
+        out.append(Patterns(list(tests), np.array(features, int), values))
     return out
 
 
+def pattern_values(x: np.ndarray, tables: Sequence[Patterns]) -> np.ndarray:
+    """The Shapley values of `shapley_values`, looked up per group of leaves."""
+    out = np.zeros((x.shape[1], len(x)))
+    columns = np.ascontiguousarray(x.T)
+    for table in tables:
+        code = np.zeros(len(x), np.int64)
+        for i, (feature, cut) in enumerate(table.tests):
+            code |= (columns[feature] > cut).astype(np.int64) << i
+        for k, feature in enumerate(table.features):
+            out[feature] += table.values[:, k][code]
+    return np.ascontiguousarray(out.T)
+
+
 def predicted_index(fitted: Boosted) -> Column:
     """Number of the class a row is predicted to have."""
     return F.array_position(F.array(*[F.lit(c) for c in fitted.classes]), F.col("predicted_category")) - 1
@@ -73,17 +135,25 @@ def attributions(table: DataFrame, fitted: Boosted, keep: Sequence[str], wanted:
         + ["class_index int", "base double", "shap_values array<double>"]
     )
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            for index, leaves in enumerate(per_class):
-                part = batch[batch["wanted"].isin([index, -1])]
-                if len(part):
-                    values = shapley_values(np.vstack(part["features"].to_numpy()), leaves)
-                    yield part.assign(class_index=index, base=bases[index], shap_values=list(values))
-
-    explained = rows.mapInPandas(explain, schema)
+    tables = [tabled(leaves) for leaves in per_class]
+    shared = table.sparkSession.sparkContext.broadcast(tables)
+    at, width = len(keep) + 2, len(fitted.cuts)
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, EXPLAINED_ROWS):
+                batch = whole.slice(start, EXPLAINED_ROWS)
+                asked = batch.column(batch.num_columns - 1).to_numpy()
+                for index, leaves in enumerate(shared.value):
+                    own = (asked == index) | (asked == -1)
+                    if own.any():
+                        part = batch.filter(pa.array(own))
+                        found = pattern_values(matrix_of(part.column(at), width), leaves)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * width, pa.int32()), pa.array(found.ravel()))
+                        columns = [*part.columns, pa.array(np.full(len(found), index, np.int32)), pa.array(np.full(len(found), bases[index])), lists]
+                        yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "class_index", "base", "shap_values"])
+
+    explained = rows.mapInArrow(explain, schema)
     return explained.withColumn("margin", F.get("margins", F.col("class_index"))).drop("margins", "wanted")
 
 
@@ -92,16 +162,18 @@ def mean_magnitudes(table: DataFrame, fitted: Boosted, features: Sequence[str])
 
     Each batch gives one sum per feature, so no value of a row leaves its task.
     """
-    per_class = fitted.leaves()
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.vstack(batch["features"].to_numpy())
-                total = sum(np.abs(shapley_values(x, leaves)).sum(axis=0) for leaves in per_class)
-                yield pd.DataFrame({"feature_index": np.arange(x.shape[1], dtype=np.int32), "total": total, "n": len(x) * len(per_class)})
-
-    sums = table.select(vector_to_array("features").alias("features")).mapInPandas(add, "feature_index int, total double, n long")
+    shared = table.sparkSession.sparkContext.broadcast([tabled(leaves) for leaves in fitted.leaves()])
+    width = len(fitted.cuts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, EXPLAINED_ROWS):
+                x = matrix_of(whole.column(0).slice(start, EXPLAINED_ROWS), width)
+                total = sum(np.abs(pattern_values(x, leaves)).sum(axis=0) for leaves in shared.value)
+                columns = [pa.array(np.arange(width, dtype=np.int32)), pa.array(total), pa.array(np.full(width, len(x) * len(shared.value), np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["feature_index", "total", "n"])
+
+    sums = table.select(vector_to_array("features").alias("features")).mapInArrow(add, "feature_index int, total double, n long")
     means = sums.groupBy("feature_index").agg((F.sum("total") / F.sum("n")).alias("mean_abs_shap"))
     return means.withColumn("feature", class_name(F.col("feature_index"), features))
 
