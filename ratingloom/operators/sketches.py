@@ -40,7 +40,7 @@ def distinct_estimates(state: DataFrame) -> DataFrame:
 def trigram_rows(df: DataFrame, text: Column, keys: Sequence[str]) -> DataFrame:
     """(keys, gram), one row per three-word run; only to be sketched, it is not shuffled."""
     tokens = df.select(*keys, blank_separated(text).alias("_t")).where(F.size("_t") >= 3)
-    runs = F.transform(F.sequence(F.lit(1), F.size("_t") - 2), lambda i: F.array_join(F.slice("_t", i, F.lit(3)), " "))
+    runs = F.transform(F.sequence(F.lit(0), F.size("_t") - 3), lambda i: F.concat_ws(" ", *[F.get("_t", i + k) for k in range(3)]))
     return tokens.select(*keys, F.explode(runs).alias("gram"))
 
 

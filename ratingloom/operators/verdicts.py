@@ -15,6 +15,9 @@ from ratingloom.operators.panel import KEYS
 
 _c = F.col
 
+#: Characters of the texts whose word runs one task combines.
+RUN_CHARS = 1 << 23
+
 
 # Columns of written numbers, made once per row and used in many texts.
 _TEXT = {name: f"_{name}_text" for name in [*V.RATIOS, "score"]}
@@ -390,12 +393,21 @@ def trigram_diversity(df: DataFrame, text: Column, by: Sequence[str] = ()) -> Da
     """Distinct and total three-word runs, and their quotient, per group.
 
     Runs are counted first, so a frequent one is a single row after the
-    map-side combine.
+    map-side combine. 128 bits of hash stand for a run, so no text is made or moved for it.
     """
-    tokens = df.select(*by, blank_separated(text).alias("_t"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("_t") - 2), lambda i: F.array_join(F.slice("_t", i, F.lit(3)), " "))
-    grams = tokens.where(F.size("_t") >= 3).select(*by, F.explode(runs).alias("_gram"))
-    counted = grams.groupBy(*by, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # where most runs are distinct the combine holds nearly all of a task's runs, so tasks get texts of bounded size
+    texts = df.select(*by, text.alias("_text")).where(_c("_text").isNotNull())
+    parts = -(-(texts.agg(F.sum(F.length("_text").cast("long"))).first()[0] or 0) // RUN_CHARS)
+    if parts > df.sparkSession.sparkContext.defaultParallelism:
+        texts = texts.repartition(parts)
+    tokens = texts.select(*by, blank_separated(_c("_text")).alias("_t")).where(F.size("_t") >= 3)
+    words = lambda i: [F.get("_t", i + k) for k in range(3)]
+    runs = F.transform(
+        F.sequence(F.lit(0), F.size("_t") - 3),
+        lambda i: F.struct(F.xxhash64(*words(i)).alias("_a"), F.xxhash64(F.lit(1), *words(i)).alias("_b")),
+    )
+    grams = tokens.select(*by, F.inline(runs))
+    counted = grams.groupBy(*by, "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
     out = counted.groupBy(*by).agg(
         F.count(F.lit(1)).alias("unique_trigrams"), F.coalesce(F.sum("_n"), F.lit(0)).alias("total_trigrams")
     )
