@@ -16,7 +16,7 @@ from ratingloom.plans.evaluation_queries import _REPORT, rated_panel
 from ratingloom.plans.panel_queries import _YEAR_TEXT_SQL, _year_text
 from ratingloom.plans.registry import query
 from ratingloom.plans.roles import with_roles
-from ratingloom.session import scratch_path
+from ratingloom.session import cut_lineage, scratch_path
 from ratingloom.sources import statements as SS
 from ratingloom.sources import tables as ST
 from ratingloom.sources import versions as SV
@@ -117,9 +117,10 @@ def _write_yearly_documents(spark, sf) -> str:
     text = F.concat(
         F.lit('{\n  "ticker": "'), F.col("ticker"), F.lit('",\n  "balance_sheet": {\n'), F.col("b"), F.lit('\n  },\n  "income_statement": {\n'), F.col("i"), F.lit('\n  },\n  "cashflow": null\n}'),
     )
+    sections = cut_lineage(sections, "yearly-sections")  # counted, then written
     files = max(1, sections.count() // DOCUMENTS_PER_FILE)
     listed = sections.groupBy(F.pmod(F.xxhash64("ticker"), F.lit(files)).alias("file")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(text), ",\n"), F.lit("\n]")).alias("value"))
-    listed.write.partitionBy("file").text(path)  # one array of documents is one file
+    listed.select("value").write.option("maxRecordsPerFile", 1).text(path)  # one array of documents is one file
     return path
 
 
