@@ -88,12 +88,12 @@ def fit(articles: DataFrame, text: str, label: str, epochs: int = EPOCHS, tokens
                 features, values = batch.column(0), batch.column(1)
                 row = np.repeat(np.arange(len(labels)), np.asarray(features.value_lengths()))
                 f, v = features.flatten().to_numpy(), values.flatten().to_numpy()
-                z = np.tile(weights[-1], (len(labels), 1))
-                np.add.at(z, row, v[:, None] * weights[f])
+                z = weights[-1] + np.stack([np.bincount(row, v * weights[f, k], len(labels)) for k in range(shape[1])], axis=1)
                 back = softmax(z) if len(labels) else z
                 back[np.arange(len(labels)), labels] -= 1
                 back *= of_class[labels][:, None]
-                np.add.at(total, f, v[:, None] * back[row])
+                for k in range(shape[1]):
+                    total[:-1, k] += np.bincount(f, v * back[row, k], FEATURES)
                 total[-1] += back.sum(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["g"])
 
