@@ -245,3 +245,10 @@ def test_groups_whose_names_begin_alike_are_cut_into_buckets(spark, monkeypatch)
     monkeypatch.setattr(FO, "BUCKET_ROWS", 20)
     monkeypatch.setattr(FO.prefix_length, "__defaults__", (20,))
     assert {r["g"]: r["fold"] for r in FO.group_folds(groups, "g", 4).collect()} == plain
+
+
+def test_benchmark_keeps_no_model_in_its_plan(training):
+    """Predictions of a fitted model are stored before the next one, so the scores' plan only reads tables."""
+    out = MO.benchmark(training, [MO.decision_tree(), MO.naive_bayes()], "name", 3, ["a", "b", "c"], [0, 1])
+    assert "UDF" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["model"] for r in out.collect()} == {"Decision Tree", "Naive Bayes"}
