@@ -33,8 +33,8 @@ TOGETHER = (B.Boosting, ET.ExtraTrees, PN.Perceptron)
 PARALLEL_FITS = 4
 #: Folds that each of several models of a benchmark fits at a time: their growing trees are in the driver.
 BENCHMARK_FOLDS = 2
-#: Rows of a part of a training table.
-PART_ROWS = 50_000
+#: Rows of a part of a training table, and of a part when there are parts for all cores.
+PART_ROWS, FULL_PART_ROWS = 50_000, 200_000
 
 
 def label_index(c: Column, classes: Sequence[str]) -> Column:
@@ -223,21 +223,28 @@ def benchmark_models(rows: int, rounds: int = V.BOOSTING["rounds"], trees: int =
 
 
 def training_table(
-    df: DataFrame, features: Sequence[str], target: str, classes: Sequence[str], carry: Sequence[str]
+    df: DataFrame, features: Sequence[str], target: str, classes: Sequence[str], carry: Sequence[str], fits: int = 1
 ) -> DataFrame:
     """Vectors, labels, folds and carried columns as a table, read by every fit.
 
     The table has as many parts as its rows fill, so that the many small jobs of a
-    fit do not each start a task per core for a few rows.
+    fit do not each start a task per core for a few rows. Each part costs a pass over all
+    sums of a level or an iteration (for a forest, those of all nodes are sent), so once the
+    parts of the `fits` that run side by side occupy every core, parts grow before there are more of them.
     """
     columns = [*dict.fromkeys([*carry, target]), LABEL, "features"]
     made = assemble(df, features, target, classes)
     made = made.select(*columns, *[c for c in ("fold",) if c in df.columns and c not in columns])
-    return cut_lineage(made.coalesce(max(1, -(-made.count() // PART_ROWS))), "training")
+    return cut_lineage(made.coalesce(part_count(made.count(), df.sparkSession.sparkContext.defaultParallelism, fits)), "training")
+
+
+def part_count(rows: int, cores: int, fits: int) -> int:
+    """Parts of a table of some rows that several fits read at the same time."""
+    return max(1, min(-(-rows // PART_ROWS), max(-(-cores // fits), -(-rows // FULL_PART_ROWS))))
 
 
 def out_of_fold(
-    table: DataFrame, model: Model | Together, folds: Sequence[int], n_features: int, classes: Sequence[str], parallel: int = PARALLEL_FITS
+    table: DataFrame, model: Model | Together, folds: Sequence[int], n_features: int, classes: Sequence[str], parallel: int = V.MAX_FOLDS
 ) -> DataFrame:
     """Predictions of every row by the model fitted on the other folds."""
     if isinstance(model, TOGETHER):  # all folds at once

@@ -285,7 +285,7 @@ def embedding_forest(spark, sf):
     names = [f"x{i}" for i in range(width)]
     wide = vectors.select("vec_id", F.col("label").cast("string").alias("name"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
     folded = FO.stratified_folds(wide, "name", ["vec_id"], V.MAX_FOLDS)
-    table = MO.training_table(folded, names, "name", labels, ["vec_id"])
+    table = MO.training_table(folded, names, "name", labels, ["vec_id"], V.MAX_FOLDS)
     out = MO.out_of_fold(table, MO.random_forest(), range(V.MAX_FOLDS), width, labels)
     return out.select("vec_id", "fold", "name", "predicted_category", "confidence")
 

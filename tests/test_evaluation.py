@@ -1,5 +1,6 @@
 import itertools
 import math
+import threading
 from collections import Counter
 
 import numpy as np
@@ -252,3 +253,33 @@ def test_benchmark_keeps_no_model_in_its_plan(training):
     out = MO.benchmark(training, [MO.decision_tree(), MO.naive_bayes()], "name", 3, ["a", "b", "c"], [0, 1])
     assert "UDF" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r["model"] for r in out.collect()} == {"Decision Tree", "Naive Bayes"}
+
+
+def test_parts_grow_once_the_fits_occupy_every_core(spark, monkeypatch):
+    """Of 1,000 rows in parts of 50 there were 20 parts, whatever the number of fits that read them."""
+    monkeypatch.setattr(MO, "PART_ROWS", 50)
+    monkeypatch.setattr(MO, "FULL_PART_ROWS", 500)
+    df = spark.range(0, 1000, 1, 40).selectExpr("id", "id * 1.0D AS x", "cast(id % 2 AS string) AS name", "cast(id % 5 AS int) AS fold")
+    table = MO.training_table(df, ["x"], "name", ["0", "1"], ["id"], fits=5)
+    assert table.count() == 1000
+    assert len(table.inputFiles()) == max(-(-spark.sparkContext.defaultParallelism // 5), 2)
+
+
+def test_parts_of_small_and_large_tables():
+    assert [MO.part_count(n, 12, 5) for n in (0, 14_000, 140_000, 720_000, 5_000_000)] == [1, 1, 3, 4, 25]
+    assert MO.part_count(840_000, 12, 1) == 12
+
+
+def test_all_folds_are_fitted_at_the_same_time(spark):
+    meet = threading.Barrier(5)
+
+    class Waits:
+        def fit(self, train, n_features, classes):
+            meet.wait(20)  # breaks unless the other folds are being fitted
+            return self
+
+        def predict(self, df):
+            return df
+
+    table = spark.range(50).selectExpr("id", "cast(id % 5 AS int) AS fold")
+    assert MO.out_of_fold(table, Waits(), range(5), 1, ["a"]).count() == 50
