@@ -117,3 +117,9 @@ def test_a_class_without_rows_and_constant_features(spark):
         out = fitted.predict(table).collect()
         assert all(r["predicted_category"] == ("y" if r["label"] else "x") and np.isfinite(r["margins"]).all() for r in out)
         assert fitted.importances()[1] == 0
+
+
+def test_parts_are_worth_their_tasks():
+    """Every 2,000 rows were a part, so a level of small models was mostly the start of its tasks."""
+    assert [B.table_parts(n, 5, 12) for n in (0, 14_000, 84_000, 5_000_000)] == [1, 1, 6, 25]
+    assert [B.table_parts(14_000, fits, 8) for fits in (1, 5, 25, 100)] == [1, 1, 5, 8]

@@ -283,3 +283,23 @@ def test_all_folds_are_fitted_at_the_same_time(spark):
 
     table = spark.range(50).selectExpr("id", "cast(id % 5 AS int) AS fold")
     assert MO.out_of_fold(table, Waits(), range(5), 1, ["a"]).count() == 50
+
+
+def test_a_benchmark_fits_all_folds_of_its_longest_models_at_once(training):
+    """Two folds at a time, and the models in the given order, left the longest one for the end."""
+    meet, begun = threading.Barrier(4), []
+
+    class Waits(MO.Model):
+        def fit(self, train, n_features, classes):
+            begun.append(self.name)
+            if self.jobs == "many":
+                meet.wait(60)  # breaks unless the other folds are being fitted
+            return super().fit(train, n_features, classes)
+
+    make = MO.decision_tree().make
+    models = [Waits(f"few {i}", make) for i in range(4)] + [Waits("many", make, jobs="many")]
+    neighbours = training.select("fold", "name", F.lit("a").alias("predicted_category"))
+    out = MO.benchmark(training.withColumn("fold", F.pmod("id", F.lit(4)).cast("int")), models, "name", 3, ["a", "b", "c"], range(4), {"neighbours": neighbours})
+    assert {r["model"] for r in out.collect()} == {m.name for m in models} | {"neighbours"}
+    assert "many" in begun[:10] and len(begun) == 20
+    assert {m.jobs for m in MO.benchmark_models(100) if m.name in ("Linear SVC", "Logistic Regression")} == {"many"}
