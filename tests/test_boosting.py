@@ -1,6 +1,9 @@
 """Histogram boosting against a plain grower, and its invariants."""
 
+from pathlib import Path
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -123,3 +126,27 @@ def test_parts_are_worth_their_tasks():
     """Every 2,000 rows were a part, so a level of small models was mostly the start of its tasks."""
     assert [B.table_parts(n, 5, 12) for n in (0, 14_000, 84_000, 5_000_000)] == [1, 1, 6, 25]
     assert [B.table_parts(14_000, fits, 8) for fits in (1, 5, 25, 100)] == [1, 1, 5, 8]
+
+
+def test_stored_margins_are_in_row_groups_of_few_blocks(spark, monkeypatch):
+    """Parquet looked at the size after a hundred blocks, so a task held all blocks of its part several times."""
+    df = spark.range(4000).select((F.col("id") % 64).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("label"), (F.col("id") % 2).cast("int").alias("fold"))
+    table = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
+    fits, remove, blocks = [B.Fit((0,), 0), B.Fit((0,), 1)], B.remove_path, []
+
+    def seen(spark, path):
+        for file in Path(path.removeprefix("file:")).glob("*.parquet"):
+            made = pq.ParquetFile(file).metadata
+            blocks.append([made.row_group(i).num_rows for i in range(made.num_row_groups)])
+        remove(spark, path)
+
+    _, _, plain = B.grow(table, fits, 1, 3, B.SECOND_ORDER, 3)
+    monkeypatch.setattr(B, "remove_path", seen)
+    monkeypatch.setattr(B, "BLOCK_BYTES", 1 << 10)
+    monkeypatch.setattr(B, "SUMMED_BYTES", 1 << 12)
+    monkeypatch.setattr(B, "KEPT_BYTES", 0)  # the executors' copies are on disk
+    monkeypatch.setattr(B, "BLOCKS_STORED", B.BLOCKS_STORED | {"parquet.block.size": str(1 << 15)})
+    monkeypatch.setattr(B, "STORED_ROUNDS", 1)
+    _, _, trees = B.grow(table, fits, 1, 3, B.SECOND_ORDER, 3)
+    assert len(blocks) >= 3 and all(sum(own) == 16 and max(own) <= 4 for own in blocks)
+    assert all((a.feature == b.feature).all() and (a.cut == b.cut).all() and np.allclose(a.value, b.value, rtol=0, atol=1e-9) for a, b in zip(plain, trees))
