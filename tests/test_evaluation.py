@@ -303,3 +303,16 @@ def test_a_benchmark_fits_all_folds_of_its_longest_models_at_once(training):
     assert {r["model"] for r in out.collect()} == {m.name for m in models} | {"neighbours"}
     assert "many" in begun[:10] and len(begun) == 20
     assert {m.jobs for m in MO.benchmark_models(100) if m.name in ("Linear SVC", "Logistic Regression")} == {"many"}
+
+
+def test_a_benchmark_gives_the_models_of_many_jobs_few_parts(training, monkeypatch):
+    parts = {}
+
+    class Sees(MO.Model):
+        def fit(self, train, n_features, classes):
+            parts[self.name] = train.rdd.getNumPartitions()
+            return super().fit(train, n_features, classes)
+
+    make, table = MO.decision_tree().make, training.repartition(6).withColumn("fold", F.pmod("id", F.lit(4)).cast("int"))
+    MO.benchmark(table, [Sees("few", make), Sees("many", make, jobs="many")], "name", 3, ["a", "b", "c"], range(4))
+    assert parts == {"few": 6, "many": 1}
